@@ -50,15 +50,18 @@ def _with_columns_if_missing(df: DataFrame, defaults: dict) -> DataFrame:
 def _people_and_signers(df: DataFrame) -> DataFrame:
     df = _with_columns_if_missing(df, {"governador_edicao": K.NAO_IDENTIFICADO, "orgao": None,
                                        "cargo_assinante": None, "estado": None, "tipo_ato": None})
-    # the cleaned text is never blank, so the name and origin rules need no second blank check
-    return (df.withColumn("pessoa", F.col("nome_normalizado"))
-              .withColumn("autoridade_assinante", blank_to("cargo_assinante", K.SEM_IDENTIFICACAO))
-              .withColumn("autoria_ato", C.autoria_ato("cargo_assinante"))
-              .withColumn("governador_edicao", C.governador_limpo("governador_edicao"))
-              .withColumn("representante_governo", C.representante_de_limpo("governador_edicao"))
-              .withColumn("origem_representante", C.origem_de_limpo("governador_edicao", "representante_governo"))
-              .withColumn("representante_origem",
-                          C.representante_origem("representante_governo", "origem_representante")))
+    # three projections (each name depends on the previous one); the cleaned text is never blank,
+    # so the name and origin rules need no second blank check
+    df = df.withColumns({
+        "pessoa": F.col("nome_normalizado"),
+        "autoridade_assinante": blank_to("cargo_assinante", K.SEM_IDENTIFICACAO),
+        "autoria_ato": C.autoria_ato("cargo_assinante"),
+        "governador_edicao": C.governador_limpo("governador_edicao"),
+    })
+    df = df.withColumn("representante_governo", C.representante_de_limpo("governador_edicao"))
+    df = df.withColumn("origem_representante", C.origem_de_limpo("governador_edicao", "representante_governo"))
+    return df.withColumn("representante_origem",
+                         C.representante_origem("representante_governo", "origem_representante"))
 
 
 def clean_movements(mov: DataFrame) -> DataFrame:
@@ -66,8 +69,8 @@ def clean_movements(mov: DataFrame) -> DataFrame:
     autoria_ato, governador_edicao (cleaned), representante_governo, origem_representante,
     representante_origem.  ``mov_id`` is kept as the row-order key when present."""
     df = mov if "mov_id" in mov.columns else mov.withColumn("mov_id", F.monotonically_increasing_id())
-    df = df.withColumn("data_movimentacao", parse_date(df, "data_publicacao"))
-    df = df.withColumn("ano", F.year("data_movimentacao"))
+    d = parse_date(df, "data_publicacao")
+    df = df.withColumns({"data_movimentacao": d, "ano": F.year(d)})
     df = _people_and_signers(df)
     return df.select(*MOV_COLUMNS)
 
@@ -81,9 +84,9 @@ def clean_returns(ret: DataFrame, null_as: bool = True) -> DataFrame:
                                        "dias_desde_exoneracao": None, "data_exoneracao_anterior": None})
     if "tipo_ato" not in df.columns:
         df = df.withColumn("tipo_ato", F.lit(K.NOMEACAO))
-    df = (df.withColumn("data_nomeacao", parse_date(df, "data_publicacao"))
-            .withColumn("data_exoneracao", parse_date(df, "data_exoneracao_anterior")))
-    df = df.withColumn("ano", F.year("data_nomeacao"))
+    d = parse_date(df, "data_publicacao")
+    df = df.withColumns({"data_nomeacao": d, "data_exoneracao": parse_date(df, "data_exoneracao_anterior"),
+                         "ano": F.year(d)})
     df = _people_and_signers(df)
 
     def flag_type(name):
@@ -92,12 +95,11 @@ def clean_returns(ret: DataFrame, null_as: bool = True) -> DataFrame:
             "string" if isinstance(t, (T.StringType, T.NullType)) else "number")
 
     dias = F.col("dias_desde_exoneracao").cast("double")
-    df = (df.withColumn("mudou_cargo", C.norm_bool("mudou_cargo_desde_exoneracao",
-                                                   flag_type("mudou_cargo_desde_exoneracao"), null_as))
-            .withColumn("mudou_orgao", C.norm_bool("mudou_orgao_desde_exoneracao",
-                                                   flag_type("mudou_orgao_desde_exoneracao"), null_as))
-            .withColumn("tempo_cluster", C.tempo_cluster(dias))
-            .withColumn("dias_desde_exoneracao",
-                        F.when(~F.isnan(dias), dias).cast("int")))
+    df = df.withColumns({
+        "mudou_cargo": C.norm_bool("mudou_cargo_desde_exoneracao", flag_type("mudou_cargo_desde_exoneracao"), null_as),
+        "mudou_orgao": C.norm_bool("mudou_orgao_desde_exoneracao", flag_type("mudou_orgao_desde_exoneracao"), null_as),
+        "tempo_cluster": C.tempo_cluster(dias),
+        "dias_desde_exoneracao": F.when(~F.isnan(dias), dias).cast("int"),
+    })
     df = df.withColumn("estado_N", C.estado_evento("tempo_cluster", "mudou_cargo", "mudou_orgao"))
     return df.select(*RET_COLUMNS)

@@ -9,7 +9,8 @@ stopping early once a round changes no entry by more than ``tol``.
 A squaring round is a join of the long matrix with itself on the middle state plus a group-by;
 its size is |S|^3, so it is used only while the state count is at most ``max_square_states``
 (checked); beyond that the vector is iterated instead (x <- x Q, |S|^2 per step).  Lineage is
-cut with ``checkpoint()`` under spark.checkpoint.dir after every round.
+cut after every round by writing the round's result as parquet under spark.checkpoint.dir
+(``materialize``), which also drops the retained plan that ``checkpoint()`` would keep.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 
 def lazy_chain(prob: DataFrame) -> DataFrame:
@@ -45,35 +46,38 @@ def _square(m: DataFrame) -> DataFrame:
 
 
 def steady_state(prob: DataFrame, rounds: int = 30, tol: float = 1e-13, digits: int = 6,
-                 max_square_states: int = 512, max_steps: int = 20000) -> DataFrame:
+                 max_square_states: int = 512, max_steps: int = 20000, per_round: int = 3) -> DataFrame:
     """(evento, prob): limit distribution from the uniform start, rounded to ``digits``.
 
     Actions: the state count, then per round one checkpoint and one scalar convergence check.
     """
     spark = prob.sparkSession
     ensure_checkpoint_dir(spark)
-    prob = prob.select("evento", "prox_evento", "p").checkpoint()
-    q = lazy_chain(prob).filter(F.col("q") != 0.0).checkpoint()
+    prob = materialize(prob.select("evento", "prox_evento", "p"), "markov-p")
+    q = materialize(lazy_chain(prob).filter(F.col("q") != 0.0), "markov-q")
     n_states = prob.select("evento").distinct().count()
     if n_states == 0:
         return spark.createDataFrame([], "evento string, prob double")
     if n_states <= max_square_states:
         m = q
-        for _ in range(rounds):
-            nxt = _square(m).checkpoint()
+        for _ in range(0, rounds, per_round):
+            nxt = m
+            for _ in range(per_round):  # a few squarings per written round: 2^per_round steps
+                nxt = _square(nxt)
+            nxt = materialize(nxt, "markov-sq")
             done = _max_change(nxt, m, ["i", "j"], "q") <= tol
             m = nxt
             if done:
                 break
         x = m.groupBy(F.col("j").alias("s")).agg((F.sum("q") / F.lit(float(n_states))).alias("x"))
     else:
-        x = q.select(F.col("i").alias("s")).distinct().withColumn("x", F.lit(1.0 / n_states)).checkpoint()
+        x = materialize(q.select(F.col("i").alias("s")).distinct().withColumn("x", F.lit(1.0 / n_states)), "markov-x")
         for _ in range(0, max_steps, 10):
             prev = x
             for _ in range(10):
                 x = (x.join(q, F.col("s") == F.col("i"))
                       .groupBy(F.col("j").alias("s")).agg(F.sum(F.col("x") * F.col("q")).alias("x")))
-            x = x.checkpoint()
+            x = materialize(x, "markov-x")
             if _max_change(x, prev, ["s"], "x") <= tol:
                 break
     states = prob.select(F.col("evento").alias("s")).distinct()

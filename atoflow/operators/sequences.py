@@ -50,16 +50,14 @@ def ordered_neighbours(
     w = Window.partitionBy(*key, _B).orderBy(*order)
     pos = F.struct(*[F.col(o) for o in order])
 
-    inner = base
-    inner = inner.withColumn("__is_last", F.lead(F.lit(1)).over(w).isNull())
-    inner = inner.withColumn("__is_first", F.lag(F.lit(1)).over(w).isNull())
+    cols = {"__is_last": F.lead(F.lit(1)).over(w).isNull(), "__is_first": F.lag(F.lit(1)).over(w).isNull()}
     for out, src in leads.items():
-        inner = inner.withColumn(f"__in_{out}", F.lead(src).over(w))
+        cols[f"__in_{out}"] = F.lead(src).over(w)
     for out, src in lags.items():
-        inner = inner.withColumn(f"__in_{out}", F.lag(src).over(w))
+        cols[f"__in_{out}"] = F.lag(src).over(w)
     for out, src in prior_max.items():
-        inner = inner.withColumn(f"__in_{out}",
-                                 F.max(src).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        cols[f"__in_{out}"] = F.max(src).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    inner = base.withColumns(cols)
 
     # one summary row per (key, bucket): first / last / max value, partially aggregated map-side
     aggs = []
@@ -82,13 +80,12 @@ def ordered_neighbours(
     summary = summary.select(*carry)
 
     joined = inner.join(summary, on=[*key, _B], how="left")
+    outs = {}
     for out in leads:
-        joined = joined.withColumn(out, F.when(F.col("__is_last"), F.col(f"__next_{out}"))
-                                   .otherwise(F.col(f"__in_{out}")))
+        outs[out] = F.when(F.col("__is_last"), F.col(f"__next_{out}")).otherwise(F.col(f"__in_{out}"))
     for out in lags:
-        joined = joined.withColumn(out, F.when(F.col("__is_first"), F.col(f"__prev_{out}"))
-                                   .otherwise(F.col(f"__in_{out}")))
+        outs[out] = F.when(F.col("__is_first"), F.col(f"__prev_{out}")).otherwise(F.col(f"__in_{out}"))
     for out in prior_max:
-        joined = joined.withColumn(out, F.greatest(F.col(f"__in_{out}"), F.col(f"__prev_{out}")))
-    keep = [c for c in df.columns] + [o for o in (*leads, *lags, *prior_max) if o not in df.columns]
+        outs[out] = F.greatest(F.col(f"__in_{out}"), F.col(f"__prev_{out}"))
+    keep = [F.col(c) for c in df.columns if c not in outs] + [e.alias(o) for o, e in outs.items()]
     return joined.select(*keep)

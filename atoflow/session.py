@@ -49,3 +49,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, label: str = "table"):
+    """Write ``df`` as parquet under the checkpoint directory and read it back.
+
+    This cuts lineage *and* the retained logical plan (``Dataset.checkpoint`` keeps the origin
+    plan, which doubles per round when an iteration uses its previous result twice).  The files
+    live in the shared checkpoint folder, so a lost executor cannot lose them.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/atoflow-{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
