@@ -39,17 +39,23 @@ def agency_flow_top(df: DataFrame, k: int = K.TOP_N_ORGAOS) -> DataFrame:
     """In/out flow of the k agencies with most acts (ties -> key): (orgao_chave, orgao_grafico,
     tipo_ato, quantidade, fluxo, rotulo, peso_ordem, ranking).
 
-    The ranking is a k-row ``TakeOrderedAndProject``; it is broadcast (size bounded by k) into a
-    left-semi join, so labels and per-type counts are computed on the top agencies only.
+    The rows are read once into (key, spelling, type) counts — partially aggregated map-side, so
+    the shuffle carries at most one row per distinct triple per task.  Ranking (a k-row
+    ``TakeOrderedAndProject``), canonical labels and per-type bars are all derived from that small
+    table; the k-row ranking is broadcast (bounded by k).
     """
-    keyed = with_agency_key(df)
-    counts = keyed.groupBy("orgao_chave").agg(F.count(F.lit(1)).alias("n"))
-    ranking = counts.orderBy(F.desc("n"), F.asc("orgao_chave")).limit(k)
-    ranking = ranking.withColumn("ranking", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("orgao_chave"))))
-    top = keyed.join(F.broadcast(ranking.select("orgao_chave")), "orgao_chave", "left_semi")
-    labels = agency_labels(top).select("orgao_chave", "orgao_grafico")
-    bars = top.groupBy("orgao_chave", "tipo_ato").agg(F.count(F.lit(1)).alias("quantidade"))
-    bars = (bars.join(labels, "orgao_chave").join(F.broadcast(ranking.select("orgao_chave", "ranking")), "orgao_chave")
+    keyed = with_agency_key(df).filter(F.col("tipo_ato").isNotNull())
+    c3 = keyed.groupBy("orgao_chave", "orgao_rotulo", "tipo_ato").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.desc("n"), F.asc("orgao_chave")]
+    ranking = c3.groupBy("orgao_chave").agg(F.sum("n").alias("n")).orderBy(*order).limit(k)
+    ranking = F.broadcast(ranking.withColumn("ranking", F.row_number().over(Window.orderBy(*order)))
+                          .select("orgao_chave", "ranking"))
+    top = c3.join(ranking, "orgao_chave")
+    spell = top.groupBy("orgao_chave", "orgao_rotulo").agg(F.sum("n").alias("n"))
+    labels = spell.groupBy("orgao_chave").agg(
+        F.min_by("orgao_rotulo", F.struct((-F.col("n")).alias("m"), F.col("orgao_rotulo"))).alias("orgao_grafico"))
+    bars = top.groupBy("orgao_chave", "ranking", "tipo_ato").agg(F.sum("n").alias("quantidade"))
+    bars = (bars.join(labels, "orgao_chave")
                 .withColumn("fluxo", signed("quantidade"))
                 .withColumn("rotulo", ptbr_int("quantidade"))
                 .withColumn("peso_ordem", F.sum(F.abs("fluxo")).over(Window.partitionBy("orgao_grafico"))))

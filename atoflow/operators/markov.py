@@ -46,7 +46,7 @@ def _square(m: DataFrame) -> DataFrame:
 
 
 def steady_state(prob: DataFrame, rounds: int = 30, tol: float = 1e-13, digits: int = 6,
-                 max_square_states: int = 512, max_steps: int = 20000, per_round: int = 3) -> DataFrame:
+                 max_square_states: int = 512, max_steps: int = 20000, per_round: int = 5) -> DataFrame:
     """(evento, prob): limit distribution from the uniform start, rounded to ``digits``.
 
     Actions: the state count, then per round one checkpoint and one scalar convergence check.

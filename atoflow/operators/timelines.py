@@ -130,3 +130,36 @@ def returns_summary(ret_c: DataFrame) -> DataFrame:
         F.avg(F.col("mudou_cargo").cast("double")).alias("tx_mudou_cargo"),
         F.avg(F.col("mudou_orgao").cast("double")).alias("tx_mudou_orgao"),
     )
+
+
+def returns_report(ret_c: DataFrame, trans: DataFrame, steady: DataFrame, top_k: int = K.TOP_N_RESUMO) -> DataFrame:
+    """The returns summary as text lines: (secao, ordem, linha).
+
+    Sections: 'resumo' (counts, mean/median days with two decimals, change rates as percentages),
+    'transicoes' (top-k edges 'a → b: n'), 'estacionario' ('state: p' with four decimals, by p desc).
+    """
+    s = returns_summary(ret_c)
+    pct = lambda c: F.concat(F.format_number(F.col(c) * 100, 2), F.lit("%"))
+    two = lambda c: F.format_number(F.col(c), 2)
+    from ..functions.text import ptbr_int
+
+    lines = s.select(F.explode(F.array(
+        F.concat(F.lit("Registros filtrados: "), ptbr_int("registros")),
+        F.concat(F.lit("Pessoas únicas: "), ptbr_int("pessoas")),
+        F.concat(F.lit("Tempo médio de retorno: "), F.replace(two("media_dias"), F.lit(","), F.lit("")), F.lit(" dias")),
+        F.concat(F.lit("Mediana do retorno: "), F.replace(two("mediana_dias"), F.lit(","), F.lit("")), F.lit(" dias")),
+        F.concat(F.lit("Taxa de mudança de cargo: "), pct("tx_mudou_cargo")),
+        F.concat(F.lit("Taxa de mudança de órgão: "), pct("tx_mudou_orgao")),
+    )).alias("linha")).withColumn("ordem", F.monotonically_increasing_id())
+    w_lines = Window.orderBy("ordem")  # six rows
+    stats = lines.select(F.lit("resumo").alias("secao"), F.row_number().over(w_lines).alias("ordem"), "linha")
+    order = [F.desc("n"), F.asc("evento"), F.asc("prox_evento")]
+    top = trans.orderBy(*order).limit(top_k)
+    tops = top.select(F.lit("transicoes").alias("secao"), F.row_number().over(Window.orderBy(*order)).alias("ordem"),
+                      F.concat_ws("", "evento", F.lit(" → "), "prox_evento", F.lit(": "), F.col("n").cast("string"))
+                      .alias("linha"))
+    st_order = [F.desc("prob"), F.asc("evento")]
+    sts = steady.select(F.lit("estacionario").alias("secao"),
+                        F.row_number().over(Window.orderBy(*st_order)).alias("ordem"),
+                        F.concat("evento", F.lit(": "), F.format_string("%.4f", F.col("prob"))).alias("linha"))
+    return stats.unionByName(tops).unionByName(sts)

@@ -11,13 +11,19 @@ from .sequences import ordered_neighbours
 
 def return_events(ret_c: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Unpivot each return row into up to two events: the dismissal ('E', ord 0) and the
-    appointment (its ``estado_N``, ord 1).  Columns: pessoa, data, evento, mov_id, ord (+extra)."""
+    appointment (its ``estado_N``, ord 1).  Columns: pessoa, data, evento, mov_id, ord (+extra).
+
+    One pass over the input (``explode`` of a two-element array), not a union of two scans.
+    """
     extra = extra or []
-    exo = ret_c.select("pessoa", F.col("data_exoneracao").alias("data"), F.lit(K.EVENTO_EXONERACAO).alias("evento"),
-                       "mov_id", F.lit(0).alias("ord"), *extra)
-    nom = ret_c.select("pessoa", F.col("data_nomeacao").alias("data"), F.col("estado_N").alias("evento"),
-                       "mov_id", F.lit(1).alias("ord"), *extra)
-    return exo.unionByName(nom).filter(F.col("data").isNotNull())
+    pair = F.array(
+        F.struct(F.col("data_exoneracao").alias("data"), F.lit(K.EVENTO_EXONERACAO).alias("evento"),
+                 F.lit(0).alias("ord")),
+        F.struct(F.col("data_nomeacao").alias("data"), F.col("estado_N").alias("evento"), F.lit(1).alias("ord")))
+    ev = ret_c.select("pessoa", "mov_id", *extra, F.explode(pair).alias("e"))
+    ev = ev.select("pessoa", F.col("e.data").alias("data"), F.col("e.evento").alias("evento"), "mov_id",
+                   F.col("e.ord").alias("ord"), *extra)
+    return ev.filter(F.col("data").isNotNull())
 
 
 def next_event(ev: DataFrame, key: list[str], order: list[str], bucket: Column) -> DataFrame:
@@ -71,18 +77,25 @@ def states(trans: DataFrame) -> DataFrame:
     return trans.select(F.col("evento").alias("s")).union(trans.select(F.col("prox_evento").alias("s"))).distinct()
 
 
-def transition_matrix(trans: DataFrame) -> DataFrame:
+MAX_STATES = 10000  # same bound Spark applies to pivot columns (spark.sql.pivotMaxValues)
+
+
+def transition_matrix(trans: DataFrame, max_states: int = MAX_STATES) -> DataFrame:
     """Square matrix over all states in long form: (evento, prox_evento, n, p, p_txt).
 
-    Densified with ``pivot`` (state count checked against spark.sql.pivotMaxValues) after adding
-    a zero self-edge per state, then ``unpivot``; rows summing to 0 get p = 0.
+    The sorted state list is one scalar subquery over the edges (a single aggregate), checked
+    against ``max_states`` — the query fails instead of growing past it.  The |S| x |S| grid is
+    exploded from that list, and the observed counts are joined in; rows summing to 0 get p = 0.
     """
-    seeds = states(trans).select(F.col("s").alias("evento"), F.col("s").alias("prox_evento"), F.lit(0).cast("long").alias("n"))
-    edges = trans.select("evento", "prox_evento", F.col("n").cast("long")).unionByName(seeds)
-    wide = edges.groupBy("evento").pivot("prox_evento").agg(F.sum("n"))
-    targets = [c for c in wide.columns if c != "evento"]
-    wide = wide.fillna(0, subset=targets)
-    long = wide.unpivot(["evento"], targets, "prox_evento", "n").withColumn("n", F.col("n").cast("long"))
+    arr = trans.agg(F.array_sort(F.array_distinct(F.concat(F.collect_set("evento"), F.collect_set("prox_evento"))))
+                    .alias("a")).select("a").scalar()
+    guarded = F.when(F.size(arr) <= max_states, arr).otherwise(
+        F.raise_error(F.lit(f"transition matrix has more than {max_states} states")))
+    spark = trans.sparkSession
+    grid = (spark.range(1).select(F.explode(guarded).alias("evento"))
+                 .select("evento", F.explode(guarded).alias("prox_evento")))
+    counts = trans.select("evento", "prox_evento", F.col("n").cast("long").alias("n"))
+    long = grid.join(counts, ["evento", "prox_evento"], "left").fillna(0, subset=["n"])
     total = F.sum("n").over(Window.partitionBy("evento"))
     long = long.withColumn("p", F.col("n") / F.when(total == 0, F.lit(1)).otherwise(total))
     # format_number rounds the exact binary value half-even, like Python's "{:.2f}"
@@ -91,18 +104,26 @@ def transition_matrix(trans: DataFrame) -> DataFrame:
 
 def sankey_edges(trans: DataFrame, k: int = K.TOP_N_TRANSICOES) -> DataFrame:
     """Top-k edges with node ordinals over the sorted labels of those edges:
-    (evento, prox_evento, n, source, target).  Everything after the limit has <= 2k rows."""
+    (evento, prox_evento, n, source, target).
+
+    The k edges are gathered into one array (bounded by k) so the top-k plan is referenced once;
+    labels and ordinals are array functions on that single row.
+    """
     top = trans.orderBy(F.desc("n"), F.asc("evento"), F.asc("prox_evento")).limit(k)
-    labels = states(top).withColumn("idx", F.row_number().over(Window.orderBy("s")) - 1)
-    src = F.broadcast(labels.select(F.col("s").alias("evento"), F.col("idx").alias("source")))
-    dst = F.broadcast(labels.select(F.col("s").alias("prox_evento"), F.col("idx").alias("target")))
-    return top.join(src, "evento").join(dst, "prox_evento").select("evento", "prox_evento", "n", "source", "target")
+    one = top.agg(F.collect_list(F.struct("evento", "prox_evento", "n")).alias("e"))
+    labels = F.array_sort(F.array_distinct(F.concat(F.transform("e", lambda x: x["evento"]),
+                                                    F.transform("e", lambda x: x["prox_evento"]))))
+    one = one.select(F.explode("e").alias("x"), labels.alias("labels"))
+    return one.select(
+        F.col("x.evento").alias("evento"), F.col("x.prox_evento").alias("prox_evento"), F.col("x.n").alias("n"),
+        (F.array_position("labels", F.col("x.evento")) - 1).cast("int").alias("source"),
+        (F.array_position("labels", F.col("x.prox_evento")) - 1).cast("int").alias("target"))
 
 
 def node_degree(trans: DataFrame, k: int = K.TOP_N_TRANSICOES) -> DataFrame:
     """Degree (in + out; a self-loop counts twice) of each node of the top-k edge graph, and the
     drawn node size 8 + 4*degree: (no, grau, tamanho)."""
     top = trans.orderBy(F.desc("n"), F.asc("evento"), F.asc("prox_evento")).limit(k)
-    ends = top.select(F.col("evento").alias("no")).unionAll(top.select(F.col("prox_evento").alias("no")))
+    ends = top.select(F.explode(F.array("evento", "prox_evento")).alias("no"))
     deg = ends.groupBy("no").agg(F.count(F.lit(1)).alias("grau"))
     return deg.withColumn("tamanho", F.lit(8) + F.lit(4) * F.col("grau"))

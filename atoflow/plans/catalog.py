@@ -32,12 +32,24 @@ SLICE = Filters(estado="EUROPE", anos=(1996, 1997, 1998),
                 tipos=(K.NOMEACAO, K.EXONERACAO))
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _memo(kind: str, spark: SparkSession, sf: str, build) -> DataFrame:
+    """Build a base DataFrame (a lazy plan, no data) once per session and directory."""
+    key = (kind, id(spark), sf)
+    df = _PLANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _PLANS[key] = build()
+    return df
+
+
 def mov_c(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_movements(fixtures.movements(spark, sf))
+    return _memo("mov_c", spark, sf, lambda: clean_movements(fixtures.movements(spark, sf)))
 
 
 def ret_c(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_returns(fixtures.returns(spark, sf))
+    return _memo("ret_c", spark, sf, lambda: clean_returns(fixtures.returns(spark, sf)))
 
 
 def _ret_trans(spark, sf):
@@ -98,6 +110,8 @@ SPARK: dict[str, Builder] = {
     "event_transition_matrix": lambda s, sf: _round(transitions.transition_matrix(_event_trans(s, sf)), ["p"]),
     "steady_state": lambda s, sf: markov.steady_state(transitions.transition_matrix(_event_trans(s, sf))),
     "returns_steady_state": lambda s, sf: markov.steady_state(transitions.transition_matrix(_ret_trans(s, sf))),
+    "returns_report": lambda s, sf: timelines.returns_report(
+        ret_c(s, sf), _ret_trans(s, sf), markov.steady_state(transitions.transition_matrix(_ret_trans(s, sf)))),
     "sankey_edges": lambda s, sf: transitions.sankey_edges(_ret_trans(s, sf)),
     "node_degree": lambda s, sf: transitions.node_degree(_ret_trans(s, sf)),
     "short_labels": _short_labels,

@@ -10,10 +10,16 @@ from pyspark.sql import SparkSession
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "atoflow") -> SparkSession:
-    """Build (or reuse) a session with the settings the library assumes.
+    """Reuse the active session untouched (a cluster's settings win), or build a local one.
 
-    On a cluster the caller's settings win; these defaults matter only when nothing is configured.
+    The local defaults size shuffles to the cores; on a cluster size them to the data instead,
+    e.g. ``spark.sql.shuffle.partitions`` so a partition holds ~128-256 MB after AQE coalescing
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), with AQE skew-join splitting enabled.
     """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ensure_checkpoint_dir(active)
+        return active
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder.appName(app_name)

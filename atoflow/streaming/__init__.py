@@ -1,0 +1 @@
+"""Incremental refresh of the dashboard aggregates as new per-state files land."""

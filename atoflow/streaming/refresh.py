@@ -1,0 +1,64 @@
+"""Reload (S7) as Structured Streaming: new ``movimentacoes_pessoas.parquet`` files under
+``<root>/<UF>/`` are picked up incrementally, cleaned with the batch rules, and folded into the
+per-representative summary (dismissals, appointments, balance, acts) kept in the state store.
+
+The reference re-reads every file on a button press; here only new files are read, and the
+aggregate state (one row per representative) survives restarts through the checkpoint folder,
+which defaults to a sub-folder of the shared ``spark.checkpoint.dir``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from .. import constants as K
+from ..operators.cleanse import clean_movements
+from ..session import ensure_checkpoint_dir
+from ..sources.states import state_from_path
+
+MOVEMENT_SCHEMA = T.StructType([
+    T.StructField("nome_normalizado", T.StringType()),
+    T.StructField("data_publicacao", T.StringType()),
+    T.StructField("tipo_ato", T.StringType()),
+    T.StructField("orgao", T.StringType()),
+    T.StructField("cargo_assinante", T.StringType()),
+    T.StructField("governador_edicao", T.StringType()),
+])
+
+
+def movement_stream(spark: SparkSession, root: str, schema: T.StructType = MOVEMENT_SCHEMA,
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming DataFrame of raw movements with ``estado`` from the folder name."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    raw = reader.parquet(f"{root.rstrip('/')}/*/{K.ARQUIVO_MOVIMENTACOES}")
+    return raw.select(*[F.col(f.name) for f in schema.fields], state_from_path().alias("estado"))
+
+
+def summary_by_representative(mov_c: DataFrame) -> DataFrame:
+    """Streaming-safe government summary (no sort: the sink or reader orders it)."""
+    agg = (mov_c.filter(F.col("representante_origem").isNotNull())
+                .groupBy("estado", "representante_origem")
+                .agg(F.count_if(F.col("tipo_ato") == K.EXONERACAO).alias("exoneracao"),
+                     F.count_if(F.col("tipo_ato") == K.NOMEACAO).alias("nomeacao")))
+    return (agg.withColumn("saldo", F.col("nomeacao") - F.col("exoneracao"))
+               .withColumn("atos", F.col("nomeacao") + F.col("exoneracao")))
+
+
+def start_summary_refresh(spark: SparkSession, root: str, query_name: str = "atoflow_summary",
+                          checkpoint_location: str | None = None, available_now: bool = True) -> StreamingQuery:
+    """Start the incremental summary into an in-memory table named ``query_name``.
+
+    ``available_now=True`` processes what is there and stops (a scheduled refresh); otherwise
+    the query keeps running and picks up files as they arrive.
+    """
+    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/atoflow-stream-{query_name}"
+    stream = summary_by_representative(clean_movements(movement_stream(spark, root)))
+    writer = (stream.writeStream.outputMode("complete").format("memory").queryName(query_name)
+              .option("checkpointLocation", ckpt))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()

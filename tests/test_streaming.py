@@ -1,0 +1,34 @@
+"""Incremental refresh: a second file batch updates the running summary."""
+
+import os
+
+import pandas as pd
+
+from atoflow.streaming.refresh import start_summary_refresh
+
+
+def write_mov(root, uf, name, rows):
+    d = os.path.join(root, uf)
+    os.makedirs(d, exist_ok=True)
+    pd.DataFrame(rows, columns=["nome_normalizado", "data_publicacao", "tipo_ato", "orgao", "cargo_assinante",
+                                "governador_edicao"]).to_parquet(os.path.join(d, name))
+
+
+def test_refresh_picks_up_new_files(spark, scratch):
+    root = os.path.join(scratch, "analises")
+    ckpt = os.path.join(scratch, "ckpt")
+    write_mov(root, "rj", "movimentacoes_pessoas.parquet",
+              [("A", "2020-01-01", "nomeacao", "X", "Governador", "Sergio Cabral - Governador"),
+               ("B", "2020-01-02", "exoneracao", "X", "Governador", "Sergio Cabral - Governador")])
+    q = start_summary_refresh(spark, root, "t_refresh", ckpt)
+    q.awaitTermination(120)
+    first = {r["representante_origem"]: r["atos"] for r in spark.table("t_refresh").collect()}
+    assert first == {"Sergio Cabral (Executivo estadual)": 2}
+    write_mov(root, "sp", "movimentacoes_pessoas.parquet",
+              [("C", "2021-01-01", "nomeacao", "Y", "", "")])
+    q = start_summary_refresh(spark, root, "t_refresh", ckpt)
+    q.awaitTermination(120)
+    rows = {(r["estado"], r["representante_origem"]): (r["nomeacao"], r["exoneracao"])
+            for r in spark.table("t_refresh").collect()}
+    assert rows == {("RJ", "Sergio Cabral (Executivo estadual)"): (1, 1),
+                    ("SP", "Nao identificado (Nao identificado)"): (1, 0)}
