@@ -40,6 +40,11 @@ def parse_date(df: DataFrame, name: str):
                                 F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))))
 
 
+def _row_key(df: DataFrame):
+    """Row-order key when the input has none: file order in batch; unavailable in streams."""
+    return F.lit(None).cast("long") if df.isStreaming else F.monotonically_increasing_id()
+
+
 def _with_columns_if_missing(df: DataFrame, defaults: dict) -> DataFrame:
     for name, value in defaults.items():
         if name not in df.columns:
@@ -68,7 +73,7 @@ def clean_movements(mov: DataFrame) -> DataFrame:
     """Movements with derived columns: pessoa, data_movimentacao, ano, autoridade_assinante,
     autoria_ato, governador_edicao (cleaned), representante_governo, origem_representante,
     representante_origem.  ``mov_id`` is kept as the row-order key when present."""
-    df = mov if "mov_id" in mov.columns else mov.withColumn("mov_id", F.monotonically_increasing_id())
+    df = mov if "mov_id" in mov.columns else mov.withColumn("mov_id", _row_key(mov))
     d = parse_date(df, "data_publicacao")
     df = df.withColumns({"data_movimentacao": d, "ano": F.year(d)})
     df = _people_and_signers(df)
@@ -78,7 +83,7 @@ def clean_movements(mov: DataFrame) -> DataFrame:
 def clean_returns(ret: DataFrame, null_as: bool = True) -> DataFrame:
     """Returns with the movement columns plus mudou_cargo, mudou_orgao, tempo_cluster and the
     event state ``estado_N``.  Missing change flags read as ``null_as`` (a CSV gap is truthy)."""
-    df = ret if "mov_id" in ret.columns else ret.withColumn("mov_id", F.monotonically_increasing_id())
+    df = ret if "mov_id" in ret.columns else ret.withColumn("mov_id", _row_key(ret))
     df = _with_columns_if_missing(df, {"mudou_cargo_desde_exoneracao": None,
                                        "mudou_orgao_desde_exoneracao": None,
                                        "dias_desde_exoneracao": None, "data_exoneracao_anterior": None})
