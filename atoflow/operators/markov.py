@@ -39,13 +39,17 @@ def _max_change(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> floa
 
 
 def _square(m: DataFrame) -> DataFrame:
+    """M @ M, rows renormalised to sum 1 (otherwise rounding in the row sums doubles with every
+    squaring and the powers drift away from the limit).  The right side is broadcast: squaring
+    is only used while |S| <= max_square_states, so it holds at most that many squared entries."""
     left = m.select(F.col("i"), F.col("j").alias("k"), F.col("q").alias("a"))
-    right = m.select(F.col("i").alias("k"), F.col("j"), F.col("q").alias("b"))
-    return (left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("q"))
+    right = F.broadcast(m.select(F.col("i").alias("k"), F.col("j"), F.col("q").alias("b")))
+    prod = (left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("q"))
                 .filter(F.col("q") != 0.0))
+    return prod.withColumn("q", F.col("q") / F.sum("q").over(Window.partitionBy("i")))
 
 
-def steady_state(prob: DataFrame, rounds: int = 30, tol: float = 1e-13, digits: int = 6,
+def steady_state(prob: DataFrame, rounds: int = 30, tol: float = 1e-12, digits: int = 6,
                  max_square_states: int = 512, max_steps: int = 20000, per_round: int = 5) -> DataFrame:
     """(evento, prob): limit distribution from the uniform start, rounded to ``digits``.
 

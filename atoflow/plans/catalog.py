@@ -16,7 +16,8 @@ from .. import constants as K
 from ..functions.labels import rotulo_governo_curto, rotulo_representante_curto
 from ..operators import agencies, flows, kpis, markov, timelines, transitions
 from ..operators.cleanse import clean_movements, clean_returns
-from ..operators.filters import Filters, filter_choices, slice_movements
+from ..operators.filters import Filters, filter_choices, representative_choices, slice_movements
+from ..session import materialize
 from ..operators.roles import document_roles
 from ..sources import fixtures
 from ..sources.tables import table
@@ -44,6 +45,11 @@ def _memo(kind: str, spark: SparkSession, sf: str, build) -> DataFrame:
     return df
 
 
+# The representative filter's state and current selection exercised by ``representative_choices``.
+CHOICE_STATE = "AMERICA"
+CHOICE_SELECTED = ("Sergio Cabral (Executivo estadual)", "Ninguem (Nao identificado)")
+
+
 def mov_c(spark: SparkSession, sf: str) -> DataFrame:
     return _memo("mov_c", spark, sf, lambda: clean_movements(fixtures.movements(spark, sf)))
 
@@ -60,6 +66,23 @@ def _event_trans(spark, sf):
     return transitions.transitions(transitions.user_event_sequence(table(spark, sf, "events")))
 
 
+def _steady(trans: DataFrame) -> DataFrame:
+    """Steady state; the (small) edge list is written once to the checkpoint folder first, so the
+    matrix's state list and counts read it instead of re-running the sequence pipeline."""
+    return markov.steady_state(transitions.transition_matrix(materialize(trans, "transitions")))
+
+
+def _returns_report(spark, sf):
+    trans = materialize(_ret_trans(spark, sf), "transitions")
+    steady = markov.steady_state(transitions.transition_matrix(trans))
+    return timelines.returns_report(ret_c(spark, sf), trans, steady)
+
+
+def _representative_choices(spark, sf):
+    options, _ = representative_choices(mov_c(spark, sf), CHOICE_STATE, CHOICE_SELECTED)
+    return options.withColumn("selecionado", F.col("valor").isin(*CHOICE_SELECTED))
+
+
 def _short_labels(spark, sf):
     g = mov_c(spark, sf).select("governador_edicao", "representante_governo").distinct()
     return g.select("governador_edicao", "representante_governo",
@@ -78,6 +101,7 @@ SPARK: dict[str, Builder] = {
     "classify_returns": ret_c,
     "filter_slice": lambda s, sf: slice_movements(mov_c(s, sf), SLICE),
     "filter_choices": lambda s, sf: filter_choices(mov_c(s, sf), ret_c(s, sf)),
+    "representative_choices": _representative_choices,
     "kpi_cards": lambda s, sf: kpis.kpi_cards(mov_c(s, sf)),
     "kpi_cards_slice": lambda s, sf: kpis.kpi_cards(slice_movements(mov_c(s, sf), SLICE)),
     "slice_reading": lambda s, sf: kpis.slice_reading(mov_c(s, sf)),
@@ -108,10 +132,9 @@ SPARK: dict[str, Builder] = {
     "transitions_by_year_top30": lambda s, sf: transitions.transitions_by_year(ret_c(s, sf)),
     "transition_matrix": lambda s, sf: _round(transitions.transition_matrix(_ret_trans(s, sf)), ["p"]),
     "event_transition_matrix": lambda s, sf: _round(transitions.transition_matrix(_event_trans(s, sf)), ["p"]),
-    "steady_state": lambda s, sf: markov.steady_state(transitions.transition_matrix(_event_trans(s, sf))),
-    "returns_steady_state": lambda s, sf: markov.steady_state(transitions.transition_matrix(_ret_trans(s, sf))),
-    "returns_report": lambda s, sf: timelines.returns_report(
-        ret_c(s, sf), _ret_trans(s, sf), markov.steady_state(transitions.transition_matrix(_ret_trans(s, sf)))),
+    "steady_state": lambda s, sf: _steady(_event_trans(s, sf)),
+    "returns_steady_state": lambda s, sf: _steady(_ret_trans(s, sf)),
+    "returns_report": _returns_report,
     "sankey_edges": lambda s, sf: transitions.sankey_edges(_ret_trans(s, sf)),
     "node_degree": lambda s, sf: transitions.node_degree(_ret_trans(s, sf)),
     "short_labels": _short_labels,

@@ -225,7 +225,7 @@ _PAPEL = ("CASE WHEN strpos(governador_edicao, ' - ') > 0 "
 TOP30 = "top AS (SELECT * FROM trans ORDER BY n DESC, evento, prox_evento LIMIT 30)"
 
 
-def oracle_sql(slice_filters) -> dict[str, str]:
+def oracle_sql(slice_filters, choice_state: str = "", choice_selected=()) -> dict[str, str]:
     f = slice_filters
     where = (f"estado = {_q(f.estado)} AND ano IN {_in(f.anos)} AND representante_origem IN {_in(f.representantes)} "
              f"AND autoria_ato IN {_in(f.autorias)} AND tipo_ato IN {_in(f.tipos)}")
@@ -278,6 +278,10 @@ def oracle_sql(slice_filters) -> dict[str, str]:
         "classify_returns": with_base("SELECT * FROM ret_c"),
         "filter_slice": with_base(f"SELECT * FROM mov_c WHERE {where}"),
         "filter_choices": with_base(f"SELECT DISTINCT filtro, valor FROM ({choices}) WHERE valor IS NOT NULL"),
+        "representative_choices": with_base(
+            f"SELECT DISTINCT CAST(representante_origem AS VARCHAR) AS valor, "
+            f"CAST(representante_origem AS VARCHAR) IN {_in(choice_selected)} AS selecionado FROM mov_c "
+            f"WHERE estado = {_q(choice_state)} AND representante_origem IS NOT NULL"),
         "kpi_cards": with_base(kpi),
         "kpi_cards_slice": with_base(kpi + f" WHERE {where}"),
         "slice_reading": with_base(
