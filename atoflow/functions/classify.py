@@ -39,12 +39,25 @@ def representante_de_limpo(g: Column | str) -> Column:
     return F.when(F.instr(g, " - ") > 0, blank_to(head, K.NAO_IDENTIFICADO)).otherwise(g)
 
 
-def origem_de_limpo(g: Column | str, rep: Column | str) -> Column:
-    """``origem`` given the cleaned ``governador_edicao`` and its representative name."""
+# accented letters of Portuguese and their plain forms (for the optional accent-blind lookup)
+_ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇ"
+_PLAIN = "aaaaaeeeeiiiiooooouuuucAAAAAEEEEIIIIOOOOOUUUUC"
+
+
+def fold_accents(c: Column | str) -> Column:
+    return F.translate(col_of(c), _ACCENTED, _PLAIN)
+
+
+def origem_de_limpo(g: Column | str, rep: Column | str, accent_blind: bool = False) -> Column:
+    """``origem`` given the cleaned ``governador_edicao`` and its representative name.
+
+    The dictionary keys are unaccented, so an accented name misses them (the analysed
+    application's behaviour, the default); ``accent_blind=True`` folds accents before the lookup."""
     r = col_of(rep)
+    key = fold_accents(r) if accent_blind else r
     return (F.when(r == F.lit(K.NAO_IDENTIFICADO), F.lit(K.NAO_IDENTIFICADO))
             .otherwise(F.coalesce(
-                F.try_element_at(_origem_map(), r),
+                F.try_element_at(_origem_map(), key),
                 F.when(col_of(g).contains(K.ACTING_MARKER), F.lit(K.ORIGEM_VICE)),
                 F.lit(K.ORIGEM_EXECUTIVO))))
 

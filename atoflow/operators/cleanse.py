@@ -52,7 +52,7 @@ def _with_columns_if_missing(df: DataFrame, defaults: dict) -> DataFrame:
     return df
 
 
-def _people_and_signers(df: DataFrame) -> DataFrame:
+def _people_and_signers(df: DataFrame, accent_blind: bool = False) -> DataFrame:
     df = _with_columns_if_missing(df, {"governador_edicao": K.NAO_IDENTIFICADO, "orgao": None,
                                        "cargo_assinante": None, "estado": None, "tipo_ato": None})
     # three projections (each name depends on the previous one); the cleaned text is never blank,
@@ -64,23 +64,24 @@ def _people_and_signers(df: DataFrame) -> DataFrame:
         "governador_edicao": C.governador_limpo("governador_edicao"),
     })
     df = df.withColumn("representante_governo", C.representante_de_limpo("governador_edicao"))
-    df = df.withColumn("origem_representante", C.origem_de_limpo("governador_edicao", "representante_governo"))
+    df = df.withColumn("origem_representante",
+                       C.origem_de_limpo("governador_edicao", "representante_governo", accent_blind))
     return df.withColumn("representante_origem",
                          C.representante_origem("representante_governo", "origem_representante"))
 
 
-def clean_movements(mov: DataFrame) -> DataFrame:
+def clean_movements(mov: DataFrame, accent_blind: bool = False) -> DataFrame:
     """Movements with derived columns: pessoa, data_movimentacao, ano, autoridade_assinante,
     autoria_ato, governador_edicao (cleaned), representante_governo, origem_representante,
     representante_origem.  ``mov_id`` is kept as the row-order key when present."""
     df = mov if "mov_id" in mov.columns else mov.withColumn("mov_id", _row_key(mov))
     d = parse_date(df, "data_publicacao")
     df = df.withColumns({"data_movimentacao": d, "ano": F.year(d)})
-    df = _people_and_signers(df)
+    df = _people_and_signers(df, accent_blind)
     return df.select(*MOV_COLUMNS)
 
 
-def clean_returns(ret: DataFrame, null_as: bool = True) -> DataFrame:
+def clean_returns(ret: DataFrame, null_as: bool = True, accent_blind: bool = False) -> DataFrame:
     """Returns with the movement columns plus mudou_cargo, mudou_orgao, tempo_cluster and the
     event state ``estado_N``.  Missing change flags read as ``null_as`` (a CSV gap is truthy)."""
     df = ret if "mov_id" in ret.columns else ret.withColumn("mov_id", _row_key(ret))
@@ -92,7 +93,7 @@ def clean_returns(ret: DataFrame, null_as: bool = True) -> DataFrame:
     d = parse_date(df, "data_publicacao")
     df = df.withColumns({"data_nomeacao": d, "data_exoneracao": parse_date(df, "data_exoneracao_anterior"),
                          "ano": F.year(d)})
-    df = _people_and_signers(df)
+    df = _people_and_signers(df, accent_blind)
 
     def flag_type(name):
         t = df.schema[name].dataType

@@ -35,16 +35,16 @@ def slice_movements(mov_c: DataFrame, f: Filters) -> DataFrame:
 
 def filter_choices(mov_c: DataFrame, ret_c: DataFrame) -> DataFrame:
     """(filtro, valor) for every filter: states from the movements; years, raw agencies and
-    representatives from both tables; distinct, non-null, sorted by (filtro, valor)."""
-    def kind(df: DataFrame, name: str, column: str) -> DataFrame:
-        return df.select(F.lit(name).alias("filtro"), F.col(column).cast("string").alias("valor"))
-
-    parts = [kind(mov_c, "estado", "estado")]
-    for name, column in (("ano", "ano"), ("orgao", "orgao"), ("representante_origem", "representante_origem")):
-        parts += [kind(mov_c, name, column), kind(ret_c, name, column)]
-    allv = parts[0]
-    for p in parts[1:]:
-        allv = allv.unionByName(p)
+    representatives from both tables; distinct, non-null, sorted by (filtro, valor).
+
+    Each table is read once: its filter columns are unpivoted with ``explode`` and the union is
+    de-duplicated (partial aggregation first, so each task ships only its distinct pairs)."""
+    def unpivot(df: DataFrame, kinds: list[str]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(k).alias("filtro"), F.col(k).cast("string").alias("valor")) for k in kinds])
+        return df.select(F.explode(pairs).alias("p")).select("p.filtro", "p.valor")
+
+    both = ["ano", "orgao", "representante_origem"]
+    allv = unpivot(mov_c, ["estado", *both]).unionByName(unpivot(ret_c, both))
     return allv.filter(F.col("valor").isNotNull()).distinct().orderBy("filtro", "valor")
 
 

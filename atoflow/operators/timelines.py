@@ -44,11 +44,11 @@ def government_timeline(df: DataFrame, grain: str = "auto") -> DataFrame:
                 .groupBy("periodo", "representante_origem", "tipo_ato").agg(F.count(F.lit(1)).alias("quantidade")))
 
 
-def _ordered_distinct_join(df: DataFrame, keys: list[str], value: str, pos: Column, out: str) -> DataFrame:
+def _ordered_distinct_join(df: DataFrame, keys: list[str], value: str, pos: str, out: str) -> DataFrame:
     """Distinct non-empty values per group, in first-seen order (by ``pos``), joined by ' / '.
 
-    Pre-aggregates (group, value) -> first position so only distinct values are collected.
-    """
+    ``df`` already holds one row per (group, value, ...) with the value's first position, so only
+    distinct values are collected."""
     firsts = (df.filter(F.col(value).isNotNull() & (F.col(value) != ""))
                 .groupBy(*keys, value).agg(F.min(pos).alias("__pos")))
     return firsts.groupBy(*keys).agg(
@@ -63,18 +63,22 @@ def government_series(df: DataFrame) -> DataFrame:
     Columns: periodo, representante_governo, tipo_ato, quantidade (null in gap months),
     quantidade_sinal, papeis (roles in first-seen order, '' in gaps), origem (first-seen origins;
     carried into gaps), rotulo_serie, total_governo (order key: larger first), max_quantidade.
+
+    The rows are read once, into (month, representative, type, role, origin) counts with the first
+    position of each combination; counts, role lists and origin lists all come from that table.
     """
     base = df.filter(F.col("data_movimentacao").isNotNull() & F.col("representante_governo").isNotNull()
                      & F.col("tipo_ato").isNotNull())
     base = base.withColumn("periodo", F.trunc("data_movimentacao", "MM"))
     keys = ["periodo", "representante_governo", "tipo_ato"]
-    pos = F.struct("data_movimentacao", "mov_id")
     _, tail = split_once("governador_edicao", " - ")
     base = base.withColumn("__papel", ustrip(F.coalesce(tail, F.col("governador_edicao"))))
+    combos = base.groupBy(*keys, "__papel", "origem_representante").agg(
+        F.count(F.lit(1)).alias("__n"), F.min(F.struct("data_movimentacao", "mov_id")).alias("__first"))
 
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("quantidade"))
-    papeis = _ordered_distinct_join(base, keys, "__papel", pos, "papeis")
-    origens = _ordered_distinct_join(base, keys, "origem_representante", pos, "origem")
+    counts = combos.groupBy(*keys).agg(F.sum("__n").alias("quantidade"))
+    papeis = _ordered_distinct_join(combos, keys, "__papel", "__first", "papeis")
+    origens = _ordered_distinct_join(combos, keys, "origem_representante", "__first", "origem")
     serie = (counts.join(papeis, keys, "left").join(origens, keys, "left")
                    .fillna({"papeis": K.NAO_IDENTIFICADO, "origem": K.NAO_IDENTIFICADO}))
 

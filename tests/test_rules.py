@@ -82,3 +82,11 @@ def test_ptbr_and_strip(spark):
     df = one_col(spark, ["  x y ", "\x1c a\t\n"])
     assert values(df, ustrip("v")) == ["x y", "a"]
     assert values(df, F.length(ustrip("v"))) == [3, 1]
+
+
+def test_accent_blind_origin(spark):
+    df = one_col(spark, ["Cláudio Bomfim de Castro e Silva - Governador em exercicio"])
+    g = C.governador_limpo("v")
+    r = C.representante_de_limpo(g)
+    assert values(df, C.origem_de_limpo(g, r)) == ["Vice-governadoria"]
+    assert values(df, C.origem_de_limpo(g, r, accent_blind=True)) == ["Executivo estadual"]
