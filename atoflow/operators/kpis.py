@@ -44,12 +44,14 @@ def slice_reading(df: DataFrame) -> DataFrame:
         F.countDistinct("pessoa").alias("pessoas"),
         (F.count_if(F.col("tipo_ato") == K.NOMEACAO) - F.count_if(F.col("tipo_ato") == K.EXONERACAO)).alias("saldo"),
     )
+    gov1 = gov_top.select(F.struct(F.col("representante_origem").alias("l"), "n")).scalar()  # one subquery each
+    org1 = org_top.select(F.struct(F.col("orgao_top").alias("l"), "n")).scalar()
     out = base.select(
         periodo_min_max("anos").alias("periodo"), "registros", "pessoas",
-        F.coalesce(gov_top.select("representante_origem").scalar(), F.lit(K.NAO_IDENTIFICADO)).alias("governo_top"),
-        F.coalesce(gov_top.select("n").scalar(), F.lit(0)).alias("governo_top_total"),
-        F.coalesce(org_top.select("orgao_top").scalar(), F.lit(K.NAO_IDENTIFICADO)).alias("orgao_top"),
-        F.coalesce(org_top.select("n").scalar(), F.lit(0)).alias("orgao_top_total"),
+        F.coalesce(gov1["l"], F.lit(K.NAO_IDENTIFICADO)).alias("governo_top"),
+        F.coalesce(gov1["n"], F.lit(0)).alias("governo_top_total"),
+        F.coalesce(org1["l"], F.lit(K.NAO_IDENTIFICADO)).alias("orgao_top"),
+        F.coalesce(org1["n"], F.lit(0)).alias("orgao_top_total"),
         "saldo",
         F.when(F.col("saldo") >= 0, F.lit(K.DIRECAO_ENTRADAS)).otherwise(F.lit(K.DIRECAO_SAIDAS)).alias("direcao"),
     )
