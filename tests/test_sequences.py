@@ -23,3 +23,22 @@ def test_matches_plain_window_with_hot_key(spark):
     a = {r["id"]: (r["nxt"], r["prv"], r["mx"]) for r in got.collect()}
     b = {r["id"]: (r["nxt"], r["prv"], r["mx"]) for r in exp.collect()}
     assert a == b
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """A key holding a third of the rows lands in one task with a plain window, but in many
+    tasks with the (key, day) split."""
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 97}", i % 50, "ABC"[i % 3]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, k string, d int, v string")
+    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        split = ordered_neighbours(df, ["k"], ["d", "id"], F.col("d"), leads={"nxt": "v"})
+        plain = df.withColumn("nxt", F.lead("v").over(Window.partitionBy("k").orderBy("d", "id")))
+        def tasks(out):  # the window output must be consumed, or Catalyst prunes the window away
+            hot = out.filter(F.col("k") == "hot").select(F.spark_partition_id().alias("p"), "nxt")
+            return len(hot.groupBy("p").agg(F.count("nxt")).collect())
+        assert tasks(plain) == 1
+        assert tasks(split) >= 6
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
