@@ -39,14 +39,18 @@ def _max_change(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> floa
 
 
 def _square(m: DataFrame) -> DataFrame:
-    """M @ M, rows renormalised to sum 1 (otherwise rounding in the row sums doubles with every
-    squaring and the powers drift away from the limit).  The right side is broadcast: squaring
-    is only used while |S| <= max_square_states, so it holds at most that many squared entries."""
+    """M @ M.  The right side is broadcast: squaring is only used while |S| <= max_square_states,
+    so it holds at most that many squared entries."""
     left = m.select(F.col("i"), F.col("j").alias("k"), F.col("q").alias("a"))
     right = F.broadcast(m.select(F.col("i").alias("k"), F.col("j"), F.col("q").alias("b")))
-    prod = (left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("q"))
+    return (left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("q"))
                 .filter(F.col("q") != 0.0))
-    return prod.withColumn("q", F.col("q") / F.sum("q").over(Window.partitionBy("i")))
+
+
+def _renormalise(m: DataFrame) -> DataFrame:
+    """Rows back to sum 1: rounding in the row sums doubles with every squaring, so without this
+    the powers drift away from the limit (done once per written round)."""
+    return m.withColumn("q", F.col("q") / F.sum("q").over(Window.partitionBy("i")))
 
 
 def steady_state(prob: DataFrame, rounds: int = 30, tol: float = 1e-12, digits: int = 6,
@@ -58,18 +62,18 @@ def steady_state(prob: DataFrame, rounds: int = 30, tol: float = 1e-12, digits:
     spark = prob.sparkSession
     ensure_checkpoint_dir(spark)
     prob = materialize(prob.select("evento", "prox_evento", "p"), "markov-p")
-    q = materialize(lazy_chain(prob).filter(F.col("q") != 0.0), "markov-q")
+    q = lazy_chain(prob).filter(F.col("q") != 0.0)
     n_states = prob.select("evento").distinct().count()
     if n_states == 0:
         return spark.createDataFrame([], "evento string, prob double")
     if n_states <= max_square_states:
         m = q
-        for _ in range(0, rounds, per_round):
+        for r in range(0, rounds, per_round):
             nxt = m
             for _ in range(per_round):  # a few squarings per written round: 2^per_round steps
                 nxt = _square(nxt)
-            nxt = materialize(nxt, "markov-sq")
-            done = _max_change(nxt, m, ["i", "j"], "q") <= tol
+            nxt = materialize(_renormalise(nxt), "markov-sq")
+            done = r > 0 and _max_change(nxt, m, ["i", "j"], "q") <= tol
             m = nxt
             if done:
                 break
