@@ -50,15 +50,25 @@ def summary_by_representative(mov_c: DataFrame) -> DataFrame:
 
 
 def start_summary_refresh(spark: SparkSession, root: str, query_name: str = "atoflow_summary",
-                          checkpoint_location: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Start the incremental summary into an in-memory table named ``query_name``.
+                          checkpoint_location: str | None = None, available_now: bool = True,
+                          output_path: str | None = None) -> StreamingQuery:
+    """Start the incremental summary.
 
-    ``available_now=True`` processes what is there and stops (a scheduled refresh); otherwise
-    the query keeps running and picks up files as they arrive.
+    Without ``output_path`` the result is an in-memory table named ``query_name`` (for a driver
+    that shows it); with it, every micro-batch overwrites a parquet table partitioned by
+    ``estado`` with the complete summary (``foreachBatch``; the summary has one row per state
+    and representative).  ``available_now=True`` processes what is there and stops (a scheduled
+    refresh); otherwise the query keeps running and picks up files as they arrive.
     """
     ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/atoflow-stream-{query_name}"
     stream = summary_by_representative(clean_movements(movement_stream(spark, root)))
-    writer = (stream.writeStream.outputMode("complete").format("memory").queryName(query_name)
-              .option("checkpointLocation", ckpt))
+    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", ckpt).queryName(query_name)
+    if output_path:
+        def publish(batch: DataFrame, _epoch: int) -> None:
+            batch.write.mode("overwrite").partitionBy("estado").parquet(output_path)
+
+        writer = writer.foreachBatch(publish)
+    else:
+        writer = writer.format("memory")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -32,3 +32,15 @@ def test_refresh_picks_up_new_files(spark, scratch):
             for r in spark.table("t_refresh").collect()}
     assert rows == {("RJ", "Sergio Cabral (Executivo estadual)"): (1, 1),
                     ("SP", "Nao identificado (Nao identificado)"): (1, 0)}
+
+
+def test_refresh_publishes_parquet(spark, scratch):
+    root = os.path.join(scratch, "analises")
+    out = os.path.join(scratch, "summary")
+    write_mov(root, "rj", "movimentacoes_pessoas.parquet",
+              [("A", "2020-01-01", "nomeacao", "X", "Governador", "Sergio Cabral - Governador"),
+               ("B", "2020-01-02", "nomeacao", "X", "Governador", "Sergio Cabral - Governador")])
+    q = start_summary_refresh(spark, root, "t_publish", os.path.join(scratch, "ckpt"), output_path=out)
+    q.awaitTermination(120)
+    rows = spark.read.parquet(out).collect()
+    assert [(r["estado"], r["nomeacao"], r["saldo"]) for r in rows] == [("RJ", 2, 2)]
