@@ -24,3 +24,11 @@ def orgao_chave(rotulo: Column | str) -> Column:
     k = F.lower(col_of(rotulo))
     k = F.regexp_replace(k, r"(?U)\s*-\s*", " ")
     return ustrip(F.regexp_replace(k, r"(?U)\s+", " "))
+
+
+def orgao_utilizavel(orgao: Column | str) -> Column:
+    """True exactly when ``orgao_chave(orgao_rotulo(orgao))`` is non-empty: the text is present,
+    not a null spelling, and holds something besides whitespace and hyphens (which the label
+    keeps and the key removes).  One cheap test, so a filter needs no label/key regexes."""
+    o = ustrip(col_of(orgao))
+    return ~(o.isNull() | F.lower(o).isin(*K.ORGAO_NULOS) | o.rlike(r"(?U)^[\s-]*$"))

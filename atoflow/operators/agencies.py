@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.agency import orgao_chave, orgao_rotulo
+from ..functions.agency import orgao_chave, orgao_rotulo, orgao_utilizavel
 from ..functions.text import ptbr_int
 from .flows import signed
 
 
 def with_agency_key(df: DataFrame) -> DataFrame:
-    """Add ``orgao_rotulo`` and ``orgao_chave``; rows without an agency are dropped."""
-    out = df.withColumn("orgao_rotulo", orgao_rotulo("orgao")).withColumn("orgao_chave", orgao_chave("orgao_rotulo"))
-    return out.filter(F.col("orgao_chave") != "")
+    """Add ``orgao_rotulo`` and ``orgao_chave``; rows without an agency are dropped.
+
+    The drop tests the raw text (``orgao_utilizavel``), so the pushed-down filter does not
+    evaluate the label and key regexes a second time; label and key share one projection."""
+    rot = orgao_rotulo("orgao")
+    return df.filter(orgao_utilizavel("orgao")).withColumns({"orgao_rotulo": rot, "orgao_chave": orgao_chave(rot)})
 
 
 def agency_labels(keyed: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from atoflow import constants as K
 from atoflow.functions import classify as C
-from atoflow.functions.agency import orgao_chave, orgao_rotulo
+from atoflow.functions.agency import orgao_chave, orgao_rotulo, orgao_utilizavel
 from atoflow.functions.labels import periodo_anos, rotulo_governo_curto, rotulo_representante_curto
 from atoflow.functions.text import ptbr_int, ustrip
 
@@ -30,6 +30,10 @@ def test_agency_label_and_key(spark):
     assert rot == ["Sec. A - B/C", "sec. a - b/c", "-", "", "", "", ""]
     keys = values(df.withColumn("r", orgao_rotulo("v")), orgao_chave("r"))
     assert keys == ["sec. a b/c", "sec. a b/c", "", "", "", "", ""]
+    assert values(df, orgao_utilizavel("v")) == [k != "" for k in keys]
+    more = one_col(spark, [" - / - ", "--", "\t-\n", "a", "-x-", "NULL", "/"])
+    keys = values(more.withColumn("r", orgao_rotulo("v")), orgao_chave("r"))
+    assert values(more, orgao_utilizavel("v")) == [k != "" for k in keys]
 
 
 def test_time_bucket(spark):
