@@ -35,9 +35,9 @@ def parse_date(df: DataFrame, name: str):
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(c)
     s = F.trim(c.cast("string"))
-    return F.to_date(F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")),
-                                F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-                                F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))))
+    # ISO-8601 family only (date, date-time with 'T' or space, fractions, zone); anything else
+    # -> null, like a coerced parse whose format was fixed by ISO-formatted values
+    return F.to_date(F.coalesce(F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))))
 
 
 def _row_key(df: DataFrame):

@@ -52,21 +52,29 @@ def state_from_path(path_col: Column | None = None) -> Column:
 
 
 def read_movements(spark: SparkSession, dirs: list[str]) -> DataFrame:
+    """One scan over every state's parquet file; schemas are merged (files may differ), known
+    columns are projected (the scan reads only those) and absent ones are added as null."""
     paths = [f"{d}/{K.ARQUIVO_MOVIMENTACOES}" for d in dirs]
-    df = spark.read.parquet(*paths)
-    return df.select(*[F.col(c) for c in K.COLUNAS_MOVIMENTACAO], state_from_path().alias("estado"))
+    df = spark.read.option("mergeSchema", True).parquet(*paths)
+    cols = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in K.COLUNAS_MOVIMENTACAO]
+    return df.select(*cols, state_from_path().alias("estado"))
 
 
 def _null_sentinels(c: str) -> Column:
     return F.when(F.col(c).isin(*K.CSV_NULOS), F.lit(None).cast("string")).otherwise(F.col(c))
 
 
-def read_returns(spark: SparkSession, dirs: list[str]) -> DataFrame:
+def read_returns(spark: SparkSession, dirs: list[str], multiline: bool = True) -> DataFrame:
     """All state CSVs; each file is read with its own header (files may differ in columns) and
-    the known columns are unioned by name."""
+    the known columns are unioned by name.
+
+    ``multiline=True`` parses quoted fields containing line breaks exactly as the pandas reader
+    does, but a multi-line CSV cannot be split, so each file is one task.  For very large inputs
+    read once and keep the cleaned table as partitioned parquet (``write_partitioned``), or pass
+    ``multiline=False`` when the files are known to hold no embedded line breaks."""
     frames = []
     for d in dirs:
-        raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        raw = (spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
                .csv(f"{d}/{K.ARQUIVO_RETORNOS}"))
         cols = []
         for c in K.COLUNAS_RETORNO:

@@ -48,9 +48,12 @@ def test_q7_dates_parse_to_null_when_malformed(spark):
     mov = movements(spark, [(1, "RJ", "A", "2020-01-05", "nomeacao", "X", "", ""),
                             (2, "RJ", "A", "2020-01-05 10:30:00", "nomeacao", "X", "", ""),
                             (3, "RJ", "A", "05/01/2020", "nomeacao", "X", "", ""),
-                            (4, "RJ", "A", "bad", "nomeacao", "X", "", "")])
+                            (4, "RJ", "A", "bad", "nomeacao", "X", "", ""),
+                            (5, "RJ", "A", "2020-01-05T23:10:00.250", "nomeacao", "X", "", ""),
+                            (6, "RJ", "A", "2020-13-01", "nomeacao", "X", "", "")])
     got = {r["mov_id"]: (r["data_movimentacao"], r["ano"]) for r in mov.collect()}
-    assert got == {1: (dt.date(2020, 1, 5), 2020), 2: (dt.date(2020, 1, 5), 2020), 3: (None, None), 4: (None, None)}
+    assert got == {1: (dt.date(2020, 1, 5), 2020), 2: (dt.date(2020, 1, 5), 2020), 3: (None, None), 4: (None, None),
+                   5: (dt.date(2020, 1, 5), 2020), 6: (None, None)}
 
 
 def test_q12_first_seen_order_follows_date_then_row(spark):
