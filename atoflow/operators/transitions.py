@@ -92,7 +92,9 @@ def transition_matrix(trans: DataFrame, max_states: int = MAX_STATES) -> DataFra
     guarded = F.when(F.size(arr) <= max_states, arr).otherwise(
         F.raise_error(F.lit(f"transition matrix has more than {max_states} states")))
     spark = trans.sparkSession
-    grid = (spark.range(1).select(F.explode(guarded).alias("evento"))
+    # the source states are hash-spread before the second explode, so the |S|^2 cells are
+    # generated in parallel rather than in the single task that holds the one-row list
+    grid = (spark.range(1).select(F.explode(guarded).alias("evento")).repartition("evento")
                  .select("evento", F.explode(guarded).alias("prox_evento")))
     counts = trans.select("evento", "prox_evento", F.col("n").cast("long").alias("n"))
     long = grid.join(counts, ["evento", "prox_evento"], "left").fillna(0, subset=["n"])
