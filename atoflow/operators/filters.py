@@ -22,10 +22,19 @@ class Filters:
 
 def slice_movements(mov_c: DataFrame, f: Filters) -> DataFrame:
     """Apply the predicates; Catalyst pushes them into the scan (and prunes ``estado`` partitions
-    when the table is written partitioned by state)."""
+    when the table is written partitioned by state).
+
+    A year set also adds the date range it implies on ``data_movimentacao``: ``year(date) IN``
+    cannot reach a parquet reader, but the range is unwrapped through the date cast and pushed,
+    so row groups outside the selected years are skipped.  The result is unchanged.
+    """
     out = mov_c
     if f.estado:
         out = out.filter(F.col("estado") == F.lit(f.estado))
+    if f.anos and "data_movimentacao" in mov_c.columns:
+        lo, hi = min(f.anos), max(f.anos)
+        out = out.filter((F.col("data_movimentacao") >= F.make_date(F.lit(lo), F.lit(1), F.lit(1)))
+                         & (F.col("data_movimentacao") < F.make_date(F.lit(hi + 1), F.lit(1), F.lit(1))))
     for column, values in (("ano", f.anos), ("representante_origem", f.representantes),
                            ("orgao", f.orgaos), ("autoria_ato", f.autorias), ("tipo_ato", f.tipos)):
         if values:
