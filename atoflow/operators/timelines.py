@@ -165,5 +165,5 @@ def returns_report(ret_c: DataFrame, trans: DataFrame, steady: DataFrame, top_k:
     st_order = [F.desc("prob"), F.asc("evento")]
     sts = steady.select(F.lit("estacionario").alias("secao"),
                         F.row_number().over(Window.orderBy(*st_order)).alias("ordem"),
-                        F.concat("evento", F.lit(": "), F.format_string("%.4f", F.col("prob"))).alias("linha"))
+                        F.concat("evento", F.lit(": "), F.format_number(F.col("prob"), 4)).alias("linha"))
     return stats.unionByName(tops).unionByName(sts)
