@@ -2,7 +2,7 @@
 ``<root>/<UF>/`` are picked up incrementally, cleaned with the batch rules, and folded into the
 per-representative summary (dismissals, appointments, balance, acts) kept in the state store.
 
-The reference re-reads every file on a button press; here only new files are read, and the
+A full reload re-reads every file on each press; here only new files are read, and the
 aggregate state (one row per representative) survives restarts through the checkpoint folder,
 which defaults to a sub-folder of the shared ``spark.checkpoint.dir``.
 """

@@ -17,7 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from atoflow.operators.filters import Filters  # noqa: E402
-from atoflow.plans import catalog, dashboard  # noqa: E402
+from atoflow.plans import catalog, panels  # noqa: E402
 from atoflow.session import get_session  # noqa: E402
 
 
@@ -44,7 +44,7 @@ def main() -> None:
     f = Filters(estado="EUROPE")
 
     def one_update():
-        view = dashboard.update(mov, f, cache=False)  # the base table is cached already
+        view = panels.update(mov, f, cache=False)  # the base table is cached already
         for df in (view.cards, view.flow, view.balance, view.series, view.timeline, view.agencies,
                    view.agencies_period, view.summary, view.reading):
             df.collect()

@@ -2,7 +2,7 @@
 
 from atoflow.operators import flows, kpis
 from atoflow.operators.filters import Filters, slice_movements
-from atoflow.plans import catalog, dashboard
+from atoflow.plans import catalog, panels
 
 from .conftest import SF_SMALL
 
@@ -10,7 +10,7 @@ from .conftest import SF_SMALL
 def test_update_panels(spark):
     mov = catalog.mov_c(spark, SF_SMALL)
     f = Filters(estado="ASIA", tipos=("nomeacao", "exoneracao"))
-    view = dashboard.update(mov, f)
+    view = panels.update(mov, f)
     try:
         assert view.cards.first()["atos"] == slice_movements(mov, f).count()
         assert sorted(map(tuple, view.summary.collect())) == sorted(
@@ -21,5 +21,5 @@ def test_update_panels(spark):
         assert view.agencies_period.first()["periodo"]
     finally:
         view.release()
-    period = dashboard.update(mov, Filters(anos=(2019, 2021)), cache=False).agencies_period.first()["periodo"]
+    period = panels.update(mov, Filters(anos=(2019, 2021)), cache=False).agencies_period.first()["periodo"]
     assert period == "2019, 2021"
