@@ -222,6 +222,19 @@ STEADY_BODY = (f"SELECT s AS evento, round(x / (SELECT sum(x) FROM v WHERE step
 _PAPEL = ("CASE WHEN strpos(governador_edicao, ' - ') > 0 "
           "THEN substr(governador_edicao, strpos(governador_edicao, ' - ') + 3) ELSE governador_edicao END")
 
+# squaring form of the same limit (for slowly mixing chains): 30 squarings = 2^30 lazy steps,
+# rows renormalised at every step; the working table is joined with itself
+STEADY_SQUARE = (MATRIX + ",\n"
+                 "rs AS (SELECT evento, sum(p) AS s FROM m GROUP BY evento),\n"
+                 "q AS (SELECT m.evento AS i, m.prox_evento AS j, 0.5 * (m.p + CASE WHEN m.evento = m.prox_evento AND rs.s = 0 "
+                 "THEN 1 ELSE 0 END) + CASE WHEN m.evento = m.prox_evento THEN 0.5 ELSE 0 END AS q FROM m JOIN rs USING (evento)),\n"
+                 "sq(r, i, j, q) AS (SELECT 0, i, j, CAST(q AS DOUBLE) FROM q WHERE q <> 0 "
+                 "UNION ALL SELECT a.r + 1, a.i, b.j, sum(a.q * b.q) / sum(sum(a.q * b.q)) OVER (PARTITION BY a.i) "
+                 "FROM sq a JOIN sq b ON a.j = b.i WHERE a.r < 30 GROUP BY a.r, a.i, b.j),\n"
+                 "lim AS (SELECT j AS s, sum(q) / (SELECT count(*) FROM st) AS x FROM sq WHERE r = 30 GROUP BY j),\n"
+                 "pi AS (SELECT st.s, coalesce(lim.x, 0) AS x FROM st LEFT JOIN lim USING (s))")
+SQUARE_BODY = "SELECT s AS evento, round(x / (SELECT sum(x) FROM pi), 6) AS prob FROM pi"
+
 TOP30 = "top AS (SELECT * FROM trans ORDER BY n DESC, evento, prox_evento LIMIT 30)"
 
 
@@ -372,6 +385,7 @@ def oracle_sql(slice_filters, choice_state: str = "", choice_selected=()) -> dic
         "event_transition_matrix": with_base("SELECT evento, prox_evento, n, round(p, 9) AS p, printf('%.2f', p) AS p_txt FROM m",
                                              EVENT_SEQ + ",\n" + MATRIX),
         "steady_state": with_base(STEADY_BODY, EVENT_SEQ + ",\n" + STEADY, recursive=True),
+        "returns_steady_state": with_base(SQUARE_BODY, RET_SEQ + ",\n" + STEADY_SQUARE, recursive=True),
         "sankey_edges": with_base(
             "SELECT t.evento, t.prox_evento, t.n, a.idx AS source, b.idx AS target FROM top t "
             "JOIN lab a ON a.s = t.evento JOIN lab b ON b.s = t.prox_evento",
