@@ -235,6 +235,20 @@ STEADY_SQUARE = (MATRIX + ",\n"
                  "pi AS (SELECT st.s, coalesce(lim.x, 0) AS x FROM st LEFT JOIN lim USING (s))")
 SQUARE_BODY = "SELECT s AS evento, round(x / (SELECT sum(x) FROM pi), 6) AS prob FROM pi"
 
+REPORT_BODY = (
+    "SELECT 'resumo' AS secao, CAST(k AS INTEGER) AS ordem, linha FROM (VALUES "
+    "(1, (SELECT 'Registros filtrados: ' || " + "replace(format('{:,}', count(*)), ',', '.') FROM ret_c)), "
+    "(2, (SELECT 'Pessoas únicas: ' || replace(format('{:,}', count(DISTINCT pessoa)), ',', '.') FROM ret_c)), "
+    "(3, (SELECT 'Tempo médio de retorno: ' || printf('%.2f', avg(CAST(dias_desde_exoneracao AS DOUBLE))) || ' dias' FROM ret_c)), "
+    "(4, (SELECT 'Mediana do retorno: ' || printf('%.2f', median(CAST(dias_desde_exoneracao AS DOUBLE))) || ' dias' FROM ret_c)), "
+    "(5, (SELECT 'Taxa de mudança de cargo: ' || printf('%.2f', avg(CAST(mudou_cargo AS DOUBLE)) * 100) || '%' FROM ret_c)), "
+    "(6, (SELECT 'Taxa de mudança de órgão: ' || printf('%.2f', avg(CAST(mudou_orgao AS DOUBLE)) * 100) || '%' FROM ret_c))"
+    ") v(k, linha) "
+    "UNION ALL SELECT 'transicoes', CAST(row_number() OVER (ORDER BY n DESC, evento, prox_evento) AS INTEGER), "
+    "evento || ' → ' || prox_evento || ': ' || CAST(n AS VARCHAR) FROM (SELECT * FROM trans ORDER BY n DESC, evento, prox_evento LIMIT 10) "
+    "UNION ALL SELECT 'estacionario', CAST(row_number() OVER (ORDER BY p DESC, s) AS INTEGER), s || ': ' || printf('%.4f', p) "
+    "FROM (SELECT s, round(x / (SELECT sum(x) FROM pi), 6) AS p FROM pi)")
+
 TOP30 = "top AS (SELECT * FROM trans ORDER BY n DESC, evento, prox_evento LIMIT 30)"
 
 
@@ -386,6 +400,7 @@ def oracle_sql(slice_filters, choice_state: str = "", choice_selected=()) -> dic
                                              EVENT_SEQ + ",\n" + MATRIX),
         "steady_state": with_base(STEADY_BODY, EVENT_SEQ + ",\n" + STEADY, recursive=True),
         "returns_steady_state": with_base(SQUARE_BODY, RET_SEQ + ",\n" + STEADY_SQUARE, recursive=True),
+        "returns_report": with_base(REPORT_BODY, RET_SEQ + ",\n" + STEADY_SQUARE, recursive=True),
         "sankey_edges": with_base(
             "SELECT t.evento, t.prox_evento, t.n, a.idx AS source, b.idx AS target FROM top t "
             "JOIN lab a ON a.s = t.evento JOIN lab b ON b.s = t.prox_evento",
