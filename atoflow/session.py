@@ -43,7 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only where the session has none.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that setting is always used as is.
-    Only when it is unset (local tests) a scratch folder is created.
+    Only in local mode (tests, bench) is a scratch folder created when it is unset; on a cluster an
+    unset folder is an error rather than a silent machine-local path.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (executors must reach it); "
+                               "a machine-local scratch folder is used only in local mode")
         configured = tempfile.mkdtemp(prefix="atoflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
