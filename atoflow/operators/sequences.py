@@ -33,6 +33,8 @@ def ordered_neighbours(
     leads: Mapping[str, str] | None = None,
     lags: Mapping[str, str] | None = None,
     prior_max: Mapping[str, str] | None = None,
+    coarser: Sequence | None = None,
+    _depth: int = 0,
 ) -> DataFrame:
     """Add, per row, within ``key`` ordered by ``order`` (which must make rows unique):
 
@@ -44,6 +46,12 @@ def ordered_neighbours(
     ``bucket`` must be non-decreasing along ``order`` inside a key (e.g. ``to_date(ts)`` when
     ``order`` starts with ``ts``).  Rows with a null key are treated as their own key, so callers
     drop them first when the semantics require it.
+
+    ``coarser``: optional functions, finest first, each mapping a bucket column to a coarser
+    monotone bucket (e.g. ``[lambda b: b["day"]]`` when ``bucket`` is a (day, id block) struct).
+    The carry across buckets is then computed by this same operator over the per-bucket summary,
+    so a single heavy bucket region can be cut finely while every window stays bounded; without
+    it, one window per key runs over that key's bucket summaries.
     """
     leads, lags, prior_max = dict(leads or {}), dict(lags or {}), dict(prior_max or {})
     key, order = list(key), list(order)
@@ -71,16 +79,27 @@ def ordered_neighbours(
     for out, src in prior_max.items():
         aggs.append(F.max(src).alias(f"__max_{out}"))
     summary = base.groupBy(*key, _B).agg(*aggs)
-    wb = Window.partitionBy(*key).orderBy(_B)
-    carry = [F.col(k) for k in key] + [F.col(_B)]
-    for out in leads:
-        carry.append(F.lead(f"__first_{out}").over(wb).alias(f"__next_{out}"))
-    for out in lags:
-        carry.append(F.lag(f"__last_{out}").over(wb).alias(f"__prev_{out}"))
-    for out in prior_max:
-        carry.append(F.max(f"__max_{out}").over(wb.rowsBetween(Window.unboundedPreceding, -1))
-                     .alias(f"__prev_{out}"))
-    summary = summary.select(*carry)
+    if coarser:
+        b = f"__b{_depth}"
+        summary = ordered_neighbours(
+            summary.withColumnRenamed(_B, b), key, [b], coarser[0](F.col(b)),
+            leads={f"__next_{o}": f"__first_{o}" for o in leads},
+            lags={f"__prev_{o}": f"__last_{o}" for o in lags},
+            prior_max={f"__prev_{o}": f"__max_{o}" for o in prior_max},
+            coarser=list(coarser[1:]), _depth=_depth + 1)
+        summary = summary.select(*key, F.col(b).alias(_B), *[F.col(f"__next_{o}") for o in leads],
+                                 *[F.col(f"__prev_{o}") for o in (*lags, *prior_max)])
+    else:
+        wb = Window.partitionBy(*key).orderBy(_B)
+        carry = [F.col(k) for k in key] + [F.col(_B)]
+        for out in leads:
+            carry.append(F.lead(f"__first_{out}").over(wb).alias(f"__next_{out}"))
+        for out in lags:
+            carry.append(F.lag(f"__last_{out}").over(wb).alias(f"__prev_{out}"))
+        for out in prior_max:
+            carry.append(F.max(f"__max_{out}").over(wb.rowsBetween(Window.unboundedPreceding, -1))
+                         .alias(f"__prev_{out}"))
+        summary = summary.select(*carry)
 
     # joined on (key, bucket): the full rows keep the partitioning of their window exchange
     joined = inner.join(summary, on=[*key, _B], how="left")
@@ -93,3 +112,23 @@ def ordered_neighbours(
         outs[out] = F.greatest(F.col(f"__in_{out}"), F.col(f"__prev_{out}"))
     keep = [F.col(c) for c in df.columns if c not in outs] + [e.alias(o) for o, e in outs.items()]
     return joined.select(*keep)
+
+
+ID_BLOCK = 1 << 20
+
+
+def day_and_id_block(date_col: str, id_col: str):
+    """Buckets for an order (date, unique id, ...): (day, id block) under days.
+
+    A bucket holds at most 2^20 rows (ids are unique), the carry runs per (key, day) over that
+    day's blocks, and then per key over days (bounded by the calendar).  Returns
+    ``(bucket, coarser)`` for ``ordered_neighbours``."""
+    fine = F.struct(F.col(date_col).alias("day"), F.floor(F.col(id_col) / ID_BLOCK).alias("blk"))
+    return fine, [lambda b: b["day"]]
+
+
+def second_under_hour(ts_col: str):
+    """Buckets for an order (timestamp, ...): seconds, carried per (key, hour), then per key over
+    hours.  Only a time truncation is monotone in timestamp order, so this is the finest split
+    that keeps buckets contiguous."""
+    return F.date_trunc("second", F.col(ts_col)), [lambda b: F.date_trunc("hour", b)]

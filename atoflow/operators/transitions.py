@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .sequences import ordered_neighbours
+from .sequences import day_and_id_block, ordered_neighbours, second_under_hour
 
 
 def return_events(ret_c: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -26,26 +26,29 @@ def return_events(ret_c: DataFrame, extra: list[str] | None = None) -> DataFrame
     return ev.filter(F.col("data").isNotNull())
 
 
-def next_event(ev: DataFrame, key: list[str], order: list[str], bucket: Column) -> DataFrame:
+def next_event(ev: DataFrame, key: list[str], order: list[str], bucket: Column, coarser=None) -> DataFrame:
     """``prox_evento`` = the person's next event (null on the last); null persons are dropped
-    (they form no group).  Skew-split over (key, bucket)."""
+    (they form no group).  Skew-split over (key, bucket), carried through ``coarser`` buckets."""
     ev = ev.filter(F.col(key[-1]).isNotNull())
-    return ordered_neighbours(ev, key=key, order=order, bucket=bucket, leads={"prox_evento": "evento"})
+    return ordered_neighbours(ev, key=key, order=order, bucket=bucket, leads={"prox_evento": "evento"},
+                              coarser=coarser)
 
 
 def event_sequence(ret_c: DataFrame) -> DataFrame:
     """(pessoa, data, evento, prox_evento, mov_id, ord) from the returns table."""
     ev = return_events(ret_c)
-    return next_event(ev, ["pessoa"], ["data", "mov_id", "ord"], F.col("data"))
+    bucket, coarser = day_and_id_block("data", "mov_id")
+    return next_event(ev, ["pessoa"], ["data", "mov_id", "ord"], bucket, coarser)
 
 
 def user_event_sequence(events: DataFrame) -> DataFrame:
     """(pessoa, data, evento, prox_evento) from a raw (user_id, ts, event_type, event_id) log.
-    Buckets are hours, so one very active user is still spread over many tasks."""
+    Buckets are seconds carried through hours, so one very active user is spread over many tasks."""
     ev = events.select(F.col("user_id").alias("pessoa"), F.col("ts").alias("data"),
                        F.col("event_type").alias("evento"), "event_id")
     ev = ev.filter(F.col("data").isNotNull())
-    return next_event(ev, ["pessoa"], ["data", "event_id"], F.date_trunc("hour", F.col("data")))
+    bucket, coarser = second_under_hour("data")
+    return next_event(ev, ["pessoa"], ["data", "event_id"], bucket, coarser)
 
 
 def transitions(seq: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -66,7 +69,8 @@ def transitions_by_year(ret_c: DataFrame, k: int = K.TOP_N_TRANSICOES) -> DataFr
     """Top-k transitions per appointment year; each year's sequences are built only from that
     year's rows.  (ano, evento, prox_evento, n, rank)."""
     ev = return_events(ret_c.filter(F.col("ano").isNotNull()), extra=["ano"])
-    seq = next_event(ev, ["ano", "pessoa"], ["data", "mov_id", "ord"], F.col("data"))
+    bucket, coarser = day_and_id_block("data", "mov_id")
+    seq = next_event(ev, ["ano", "pessoa"], ["data", "mov_id", "ord"], bucket, coarser)
     trans = transitions(seq, by=["ano"])
     w = Window.partitionBy("ano").orderBy(F.desc("n"), F.asc("evento"), F.asc("prox_evento"))
     return trans.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sequences import ordered_neighbours
+from ..operators.sequences import day_and_id_block, ordered_neighbours
 from .tables import table
 
 MOV_SQL = """
@@ -46,9 +46,9 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     mov = movements(spark, sf_dir).filter(F.col("nome_normalizado").isNotNull())
     mov = mov.withColumn("__exo_date", F.when(F.col("tipo_ato") == "exoneracao", F.col("data_publicacao")))
+    bucket, coarser = day_and_id_block("data_publicacao", "mov_id")
     seq = ordered_neighbours(
-        mov, key=["nome_normalizado"], order=["data_publicacao", "mov_id"],
-        bucket=F.col("data_publicacao"),
+        mov, key=["nome_normalizado"], order=["data_publicacao", "mov_id"], bucket=bucket, coarser=coarser,
         lags={"orgao_ant": "orgao"}, prior_max={"data_exoneracao_anterior": "__exo_date"})
     ret = seq.filter((F.col("tipo_ato") == "nomeacao") & F.col("data_exoneracao_anterior").isNotNull())
     return ret.select(

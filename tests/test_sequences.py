@@ -42,3 +42,46 @@ def test_hot_key_is_spread_over_tasks(spark):
         assert tasks(split) >= 6
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
+
+
+def test_multilevel_split_matches_plain_window(spark):
+    rnd = random.Random(3)
+    rows = [(i, "hot" if i % 2 == 0 else f"k{rnd.randint(0, 20)}", rnd.randint(0, 30), rnd.choice("ABCD"),
+             rnd.choice([None, 2, 4, 8])) for i in range(2500)]
+    df = spark.createDataFrame(rows, "id long, k string, d int, v string, x int")
+    w = Window.partitionBy("k").orderBy("d", "id")
+    exp = {r["id"]: tuple(r[1:]) for r in df.select(
+        "id", F.lead("v").over(w), F.lag("v").over(w),
+        F.max("x").over(w.rowsBetween(Window.unboundedPreceding, -1))).collect()}
+    fine = F.struct(F.col("d").alias("d"), F.floor(F.col("id") / 64).alias("blk"))
+    for coarser in ([lambda b: b["d"]], [lambda b: b["d"], lambda b: F.floor(b / 10)]):
+        got = ordered_neighbours(df, ["k"], ["d", "id"], fine, leads={"nxt": "v"}, lags={"prv": "v"},
+                                 prior_max={"mx": "x"}, coarser=coarser)
+        assert {r["id"]: (r["nxt"], r["prv"], r["mx"]) for r in got.collect()} == exp
+
+
+def test_hot_person_day_is_spread_over_tasks(spark):
+    """Even when one key's rows all fall on one day, (day, id block) buckets spread them."""
+    from atoflow.operators.sequences import day_and_id_block
+
+    rows = [(i * 500_000, "hot" if i % 3 == 0 else f"k{i % 97}", 7 if i % 3 == 0 else i % 50, "ABC"[i % 3])
+            for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, k string, d int, v string")
+    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bucket, coarser = day_and_id_block("d", "id")
+        split = ordered_neighbours(df, ["k"], ["d", "id"], bucket, leads={"nxt": "v"}, coarser=coarser)
+        day_only = ordered_neighbours(df, ["k"], ["d", "id"], F.col("d"), leads={"nxt": "v"})
+
+        def tasks(out):
+            hot = out.filter(F.col("k") == "hot").select(F.spark_partition_id().alias("p"), "nxt")
+            return len(hot.groupBy("p").agg(F.count("nxt")).collect())
+
+        assert tasks(day_only) == 1
+        assert tasks(split) >= 6
+        w = Window.partitionBy("k").orderBy("d", "id")
+        exp = {r["id"]: r["nxt"] for r in df.select("id", F.lead("v").over(w).alias("nxt")).collect()}
+        assert {r["id"]: r["nxt"] for r in split.collect()} == exp
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
