@@ -4,9 +4,9 @@ A plain ``Window.partitionBy(key)`` sends every row of a key to one task; if one
 holds a third of all rows that task becomes the job.  Here the sequence of each key is cut into
 buckets that are contiguous in the sort order (e.g. the day of the date).  The window runs per
 (key, bucket), so a hot key is spread over many tasks.  Only the first/last/max value of each
-bucket is then carried across bucket borders by a second window over the per-bucket summary
-(one row per key and bucket, built with map-side partial aggregation from a column-pruned read),
-and joined back on (key, bucket) — the partitioning the first window already produced, so the
+bucket is then carried across bucket borders over the per-bucket summary (one row per key and
+bucket, built with map-side partial aggregation from a column-pruned read) — by one window per key,
+or, with ``coarser`` buckets, by this same operator one level up — and joined back on (key, bucket) — the partitioning the first window already produced, so the
 full rows are shuffled exactly once.  (Deriving the summary from the window output instead was
 measured to duplicate the full-row exchange: the pruned branch does not match for reuse.)
 """
@@ -21,10 +21,6 @@ from pyspark.sql import functions as F
 _B = "__seq_bucket"
 
 
-def _c(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def ordered_neighbours(
     df: DataFrame,
     key: Sequence[str],
@@ -117,18 +113,20 @@ def ordered_neighbours(
 ID_BLOCK = 1 << 20
 
 
-def day_and_id_block(date_col: str, id_col: str):
-    """Buckets for an order (date, unique id, ...): (day, id block) under days.
+def day_and_id_block(date_col: str, id_col: str, carry_by_day: bool = False):
+    """Buckets for an order (date, unique id, ...): (day, id block).
 
-    A bucket holds at most 2^20 rows (ids are unique), the carry runs per (key, day) over that
-    day's blocks, and then per key over days (bounded by the calendar).  Returns
-    ``(bucket, coarser)`` for ``ordered_neighbours``."""
+    A bucket holds at most 2^20 rows (ids are unique).  The carry window then holds one row per
+    (day, id block) of a key — at most the key's days plus its id span / 2^20 (about 10^6 for
+    10^12 dense ids), which one task handles.  ``carry_by_day=True`` adds a level that carries per
+    (key, day) first (more stages; only for id spans far beyond that).  Returns ``(bucket, coarser)``
+    for ``ordered_neighbours``."""
     fine = F.struct(F.col(date_col).alias("day"), F.floor(F.col(id_col) / ID_BLOCK).alias("blk"))
-    return fine, [lambda b: b["day"]]
+    return fine, ([lambda b: b["day"]] if carry_by_day else None)
 
 
-def second_under_hour(ts_col: str):
-    """Buckets for an order (timestamp, ...): seconds, carried per (key, hour), then per key over
-    hours.  Only a time truncation is monotone in timestamp order, so this is the finest split
-    that keeps buckets contiguous."""
-    return F.date_trunc("second", F.col(ts_col)), [lambda b: F.date_trunc("hour", b)]
+def second_buckets(ts_col: str, carry_by_hour: bool = False):
+    """Buckets for an order (timestamp, ...): seconds — only a time truncation is monotone in
+    timestamp order.  The carry window holds one row per second a key was active (bounded by the
+    time span); ``carry_by_hour=True`` adds a per-(key, hour) level."""
+    return F.date_trunc("second", F.col(ts_col)), ([lambda b: F.date_trunc("hour", b)] if carry_by_hour else None)

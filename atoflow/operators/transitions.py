@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .sequences import day_and_id_block, ordered_neighbours, second_under_hour
+from .sequences import day_and_id_block, ordered_neighbours, second_buckets
 
 
 def return_events(ret_c: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -43,11 +43,11 @@ def event_sequence(ret_c: DataFrame) -> DataFrame:
 
 def user_event_sequence(events: DataFrame) -> DataFrame:
     """(pessoa, data, evento, prox_evento) from a raw (user_id, ts, event_type, event_id) log.
-    Buckets are seconds carried through hours, so one very active user is spread over many tasks."""
+    Buckets are seconds, so one very active user is spread over many tasks."""
     ev = events.select(F.col("user_id").alias("pessoa"), F.col("ts").alias("data"),
                        F.col("event_type").alias("evento"), "event_id")
     ev = ev.filter(F.col("data").isNotNull())
-    bucket, coarser = second_under_hour("data")
+    bucket, coarser = second_buckets("data")
     return next_event(ev, ["pessoa"], ["data", "event_id"], bucket, coarser)
 
 

@@ -72,6 +72,8 @@ def test_hot_person_day_is_spread_over_tasks(spark):
     try:
         bucket, coarser = day_and_id_block("d", "id")
         split = ordered_neighbours(df, ["k"], ["d", "id"], bucket, leads={"nxt": "v"}, coarser=coarser)
+        bucket2, coarser2 = day_and_id_block("d", "id", carry_by_day=True)
+        split2 = ordered_neighbours(df, ["k"], ["d", "id"], bucket2, leads={"nxt": "v"}, coarser=coarser2)
         day_only = ordered_neighbours(df, ["k"], ["d", "id"], F.col("d"), leads={"nxt": "v"})
 
         def tasks(out):
@@ -79,9 +81,10 @@ def test_hot_person_day_is_spread_over_tasks(spark):
             return len(hot.groupBy("p").agg(F.count("nxt")).collect())
 
         assert tasks(day_only) == 1
-        assert tasks(split) >= 6
+        assert tasks(split) >= 6 and tasks(split2) >= 6
         w = Window.partitionBy("k").orderBy("d", "id")
         exp = {r["id"]: r["nxt"] for r in df.select("id", F.lead("v").over(w).alias("nxt")).collect()}
         assert {r["id"]: r["nxt"] for r in split.collect()} == exp
+        assert {r["id"]: r["nxt"] for r in split2.collect()} == exp
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
