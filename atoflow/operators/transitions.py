@@ -37,7 +37,7 @@ def next_event(ev: DataFrame, key: list[str], order: list[str], bucket: Column,
 def event_sequence(ret_c: DataFrame) -> DataFrame:
     """(pessoa, data, evento, prox_evento, mov_id, ord) from the returns table."""
     ev = return_events(ret_c)
-    bucket, coarser = day_and_id_block("data", "mov_id")
+    bucket, coarser = day_and_id_block(F.unix_date(F.col("data")), "mov_id")
     return next_event(ev, ["pessoa"], ["data", "mov_id", "ord"], bucket, coarser)
 
 
@@ -69,7 +69,7 @@ def transitions_by_year(ret_c: DataFrame, k: int = K.TOP_N_TRANSICOES) -> DataFr
     """Top-k transitions per appointment year; each year's sequences are built only from that
     year's rows.  (ano, evento, prox_evento, n, rank)."""
     ev = return_events(ret_c.filter(F.col("ano").isNotNull()), extra=["ano"])
-    bucket, coarser = day_and_id_block("data", "mov_id")
+    bucket, coarser = day_and_id_block(F.unix_date(F.col("data")), "mov_id")
     seq = next_event(ev, ["ano", "pessoa"], ["data", "mov_id", "ord"], bucket, coarser)
     trans = transitions(seq, by=["ano"])
     w = Window.partitionBy("ano").orderBy(F.desc("n"), F.asc("evento"), F.asc("prox_evento"))

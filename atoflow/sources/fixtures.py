@@ -46,7 +46,7 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     mov = movements(spark, sf_dir).filter(F.col("nome_normalizado").isNotNull())
     mov = mov.withColumn("__exo_date", F.when(F.col("tipo_ato") == "exoneracao", F.col("data_publicacao")))
-    bucket, coarser = day_and_id_block("data_publicacao", "mov_id")
+    bucket, coarser = day_and_id_block(F.unix_date(F.col("data_publicacao")), "mov_id")
     seq = ordered_neighbours(
         mov, key=["nome_normalizado"], order=["data_publicacao", "mov_id"], bucket=bucket, coarser=coarser,
         lags={"orgao_ant": "orgao"}, prior_max={"data_exoneracao_anterior": "__exo_date"})

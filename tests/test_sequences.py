@@ -70,9 +70,9 @@ def test_hot_person_day_is_spread_over_tasks(spark):
     prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        bucket, coarser = day_and_id_block("d", "id")
+        bucket, coarser = day_and_id_block(F.col("d"), "id")
         split = ordered_neighbours(df, ["k"], ["d", "id"], bucket, leads={"nxt": "v"}, coarser=coarser)
-        bucket2, coarser2 = day_and_id_block("d", "id", carry_by_day=True)
+        bucket2, coarser2 = day_and_id_block(F.col("d"), "id", carry_by_day=True)
         split2 = ordered_neighbours(df, ["k"], ["d", "id"], bucket2, leads={"nxt": "v"}, coarser=coarser2)
         day_only = ordered_neighbours(df, ["k"], ["d", "id"], F.col("d"), leads={"nxt": "v"})
 
