@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def read_documents(spark: SparkSession, path_glob: str) -> DataFrame:
     """(path, text) — one row per file; undecodable bytes become U+FFFD instead of failing."""
-    df = spark.read.option("wholetext", True).text(path_glob)
+    # the argument, not .option(): text() would reset the option to its own default (False)
+    df = spark.read.text(path_glob, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
