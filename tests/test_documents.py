@@ -18,7 +18,8 @@ def test_documents_to_roles(spark, scratch):
     got = {os.path.basename(r["path"]): r["text"] for r in docs.collect()}
     assert got == texts  # one row per file, whole text (line breaks kept)
 
-    acts = spark.createDataFrame([(1, p) for p in [r["path"] for r in docs.collect()]] + [(3, "file:/nowhere/ed3.md")],
+    paths = [r["path"] for r in docs.collect()]
+    acts = spark.createDataFrame([(i, p) for i, p in enumerate(paths)] + [(3, "file:/nowhere/ed3.md")],
                                  "act long, path string")
     roles = document_roles(with_document(acts, docs))
     labels = {r["act"]: r["governador_edicao"] for r in roles.collect()}
