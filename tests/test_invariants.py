@@ -42,3 +42,15 @@ def test_series_months_are_contiguous(spark):
         months = (r["hi"].year - r["lo"].year) * 12 + r["hi"].month - r["lo"].month + 1
         assert r["n"] == months
     assert set(r[0] for r in s.select("tipo_ato").distinct().collect()) <= {"nomeacao", "exoneracao"}
+
+
+def test_rows_carry_their_canonical_agency_label(spark):
+    from atoflow.operators import agencies
+
+    mov = catalog.mov_c(spark, SF_SMALL)
+    labelled = agencies.with_agency_label(mov)
+    labels = {r["orgao_chave"]: r["orgao_grafico"]
+              for r in agencies.agency_labels(agencies.with_agency_key(mov)).collect()}
+    rows = labelled.select("orgao_chave", "orgao_grafico").distinct().collect()
+    assert rows and all(labels[r["orgao_chave"]] == r["orgao_grafico"] for r in rows)
+    assert labelled.count() == agencies.with_agency_key(mov).count()
