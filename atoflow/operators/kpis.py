@@ -31,23 +31,29 @@ def _top1(counts: DataFrame, label: str) -> DataFrame:
 
 def slice_reading(df: DataFrame) -> DataFrame:
     """One row: periodo (min-max years), registros, pessoas, governo_top, governo_top_total,
-    orgao_top, orgao_top_total (stripped raw agency), saldo, direcao, and the pt-BR texts."""
-    gov = (df.filter(F.col("representante_origem").isNotNull())
-             .groupBy("representante_origem").agg(F.count(F.lit(1)).alias("n")))
-    gov_top = _top1(gov, "representante_origem")
-    org = (df.select(ustrip("orgao").alias("orgao_top")).filter(F.col("orgao_top") != "")
-             .groupBy("orgao_top").agg(F.count(F.lit(1)).alias("n")))
-    org_top = _top1(org, "orgao_top")
-    base = df.agg(
+    orgao_top, orgao_top_total (stripped raw agency), saldo, direcao, and the pt-BR texts.
+
+    The slice is read into one (representative, agency, type, year) count table, partially
+    aggregated map-side; totals, balance, years and both top-1 values come from it (its exchange
+    is reused by each branch).  Only the distinct-people count reads the slice separately."""
+    org = ustrip("orgao")
+    c = (df.select("representante_origem", F.when(org != "", org).alias("orgao_top"), "tipo_ato", "ano")
+           .groupBy("representante_origem", "orgao_top", "tipo_ato", "ano").agg(F.count(F.lit(1)).alias("n")))
+    gov = (c.filter(F.col("representante_origem").isNotNull())
+            .groupBy("representante_origem").agg(F.sum("n").alias("n")))
+    orgs = c.filter(F.col("orgao_top").isNotNull()).groupBy("orgao_top").agg(F.sum("n").alias("n"))
+    gov1 = _top1(gov, "representante_origem").select(
+        F.struct(F.col("representante_origem").alias("l"), "n")).scalar()  # one subquery each
+    org1 = _top1(orgs, "orgao_top").select(F.struct(F.col("orgao_top").alias("l"), "n")).scalar()
+    pessoas = df.agg(F.countDistinct("pessoa").alias("p")).select("p").scalar()
+    base = c.agg(
         F.collect_set("ano").alias("anos"),
-        F.count(F.lit(1)).alias("registros"),
-        F.countDistinct("pessoa").alias("pessoas"),
-        (F.count_if(F.col("tipo_ato") == K.NOMEACAO) - F.count_if(F.col("tipo_ato") == K.EXONERACAO)).alias("saldo"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("registros"),
+        (F.coalesce(F.sum(F.when(F.col("tipo_ato") == K.NOMEACAO, F.col("n"))), F.lit(0))
+         - F.coalesce(F.sum(F.when(F.col("tipo_ato") == K.EXONERACAO, F.col("n"))), F.lit(0))).alias("saldo"),
     )
-    gov1 = gov_top.select(F.struct(F.col("representante_origem").alias("l"), "n")).scalar()  # one subquery each
-    org1 = org_top.select(F.struct(F.col("orgao_top").alias("l"), "n")).scalar()
     out = base.select(
-        periodo_min_max("anos").alias("periodo"), "registros", "pessoas",
+        periodo_min_max("anos").alias("periodo"), "registros", pessoas.alias("pessoas"),
         F.coalesce(gov1["l"], F.lit(K.NAO_IDENTIFICADO)).alias("governo_top"),
         F.coalesce(gov1["n"], F.lit(0)).alias("governo_top_total"),
         F.coalesce(org1["l"], F.lit(K.NAO_IDENTIFICADO)).alias("orgao_top"),
