@@ -9,7 +9,7 @@ from atoflow.llm.common import SPACES, fresh, shared_table
 
 #: A chunk ends after a sentence mark whose preceding character has a code divisible by three (one
 #: mark in three or so, chosen by the content alone), at 64 to 4,096 characters.
-BEFORE_CUT = "".join(chr(c) for c in range(0x21, 0x250) if c % 3 == 0 and chr(c).isalnum())
+BEFORE_CUT = "".join(chr(c) for c in range(0x21, 0x100) if c % 3 == 0 and chr(c).isalnum())
 CHUNK = rf"(?s).{{64,4094}}?[{BEFORE_CUT}][.!?]|.{{1,4096}}"
 MAX_ROUNDS = 8
 
