@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from atoflow.llm.common import fresh
 
 #: Expected numbers of confirmed and of unlabelled texts that the fit reads.
-MAX_POSITIVE, MAX_UNLABELLED = 20_000, 40_000
+MAX_POSITIVE, MAX_UNLABELLED = 10_000, 20_000
 #: Word and word-prefix features of the classifier.
 FEATURES = 2048
 MIN_COUNT = 3
@@ -60,25 +60,36 @@ class Model:
         return score
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05,
+class Rows:
+    """Rows of present features: their numbers one row after the other, and how many each row has."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.flat, self.n = flat.astype(np.int64), len(lengths)
+        self.row = np.repeat(np.arange(self.n), lengths)
+
+    def prob(self, w: np.ndarray) -> np.ndarray:
+        z = w[-1] + np.bincount(self.row, weights=w[self.flat], minlength=self.n)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def mean_gradient(self, of: np.ndarray, d: int) -> np.ndarray:
+        return np.append(np.bincount(self.flat, weights=of[self.row], minlength=d), of.sum()) / self.n
+
+
+def fit_nnpu(pos: Rows, unl: Rows, d: int, prior: float, steps: int = 400, rate: float = 0.05,
              decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic classifier by the non-negative PU risk.
 
     Risk: prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)]).  Where the
     corrected negative part falls below zero its gradient is reversed, as the method prescribes.
     """
-    d = pos.shape[1]
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     w[d] = np.log(prior / (1 - prior))
-    pos = np.hstack([pos, np.ones((len(pos), 1), pos.dtype)]).astype(np.float32)
-    unl = np.hstack([unl, np.ones((len(unl), 1), unl.dtype)]).astype(np.float32)
     for t in range(1, steps + 1):
-        sp = 1 / (1 + np.exp(-np.clip(pos @ w.astype(np.float32), -30, 30)))
-        su = 1 / (1 + np.exp(-np.clip(unl @ w.astype(np.float32), -30, 30)))
+        sp, su = pos.prob(w), unl.prob(w)
         negative = -np.log1p(-np.minimum(su, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-7)).mean()
-        g_pos = -prior * (pos.T @ (1 - sp)) / len(pos)
-        g_neg = (unl.T @ su) / len(unl) - prior * (pos.T @ sp) / len(pos)
-        g = (g_pos + g_neg if negative >= 0 else -g_neg).astype(np.float64)
+        g_pos = -prior * pos.mean_gradient(1 - sp, d)
+        g_neg = unl.mean_gradient(su, d) - prior * pos.mean_gradient(sp, d)
+        g = g_pos + g_neg if negative >= 0 else -g_neg
         g[:d] += decay * w[:d]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
@@ -113,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_docs = docs.count()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(~held_out("id"))
     rows = rows.join(picked, "id", "left").withColumn("u", share(max_unlabelled, n_docs * 2 / 3) | F.col("id").isNull())
-    rows = rows.filter("p = 1 or u").select("id", F.coalesce("p", F.lit(0)).alias("p"), F.col("u").cast("int").alias("u"), "text")
+    rows = rows.filter("p = 1 or u").select(F.coalesce("p", F.lit(0)).alias("p"), F.col("u").cast("int").alias("u"), "text")
 
     def count(batches):
         totals: dict[str, list[int]] = {}
@@ -149,16 +160,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def find(batches):
         for b in batches:
             hits = [sorted(place[f] for f in text_features(t) if f in place) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("p"), b.column("u"), pa.array(hits, pa.list_(pa.int32()))], names=["id", "p", "u", "hits"])
-
-    id_type = rows.schema["id"].dataType.simpleString()
-    sample = rows.mapInArrow(find, f"id {id_type}, p int, u int, hits array<int>").toPandas()  # the bounded sample
-    sample = sample.sort_values("id", kind="stable")
-    x = np.zeros((len(sample), len(names)), np.float32)
-    for i, hits in enumerate(sample["hits"]):
-        x[i, list(hits)] = 1
-    w, bias = fit_nnpu(x[sample["p"].to_numpy() == 1], x[sample["u"].to_numpy() == 1], prior)
+            yield pa.RecordBatch.from_arrays([b.column("p"), b.column("u"), pa.array(hits, pa.list_(pa.int32()))], names=["p", "u", "hits"])
+
+    found = rows.mapInArrow(find, "p int, u int, hits array<int>").toArrow()  # the bounded sample's features
+    hits = found["hits"].combine_chunks()
+    lengths, flat = np.diff(hits.offsets.to_numpy()), hits.flatten().to_numpy()
+    sides = []
+    for side in ("p", "u"):
+        mine = found[side].to_numpy() == 1
+        sides.append(Rows(flat[np.repeat(mine, lengths)], lengths[mine]))
+    w, bias = fit_nnpu(*sides, len(names), prior)
     return Model({f: float(a) for f, a in zip(names, w)}, bias)
 
 

@@ -41,14 +41,20 @@ def test_labels_of_held_out_rows_are_not_learnt(spark):
 def test_risk_is_kept_non_negative():
     """Few positives that a flexible model can memorise: the plain unbiased risk would run far below zero."""
     rng = np.random.default_rng(0)
-    x = (rng.random((400, 300)) < 0.1).astype(np.float32)
-    y = rng.random(400) < 0.3
-    x[:, 0] = y
-    w, bias = toxicity.fit_nnpu(x[y][:20], x, 0.3)
-    s = 1 / (1 + np.exp(-(x @ w + bias)))
-    lost = -np.log(1 - s)
+    sparse = lambda m: toxicity.Rows(np.nonzero(m)[1], (m > 0).sum(1))
+
+    def fitted(rows, features, known):
+        x = (rng.random((rows, features)) < 0.1).astype(np.float32)
+        y = rng.random(rows) < 0.3
+        x[:, 0] = y
+        w, bias = toxicity.fit_nnpu(sparse(x[y][:known]), sparse(x), features, 0.3)
+        s = 1 / (1 + np.exp(-(x @ w + bias)))
+        return y, s, -np.log(1 - s), w
+
+    y, s, lost, w = fitted(400, 300, 20)
     assert lost.mean() - 0.3 * lost[y][:20].mean() > -0.1 and np.abs(w).max() < 50
-    assert s[y].mean() > s[~y].mean() and w[0] == w.max()
+    y, s, _, w = fitted(3000, 50, 300)
+    assert w[0] == w.max() and ((s > 0.7) == y).mean() > 0.99
 
 
 def test_awkward_rows(spark):
