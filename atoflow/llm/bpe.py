@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import zlib
@@ -23,8 +24,8 @@ SPLIT = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Characters of text after which a task closes a block of documents.
 BLOCK_CHARS = 16 << 20
-#: The words of all blocks are dealt by hash to so many shares, each encoded by one task at a time.
-SHARES = 256
+#: The words of all blocks are dealt by hash to so many shares for each shuffle partition.
+SHARES_PER_PARTITION = 4
 
 
 class Splitter:
@@ -63,11 +64,14 @@ def piece_table(vocabulary: str) -> list[bytes]:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """Whole numbers, compressed byte plane by byte plane: the high planes are mostly zero."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(b: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def _ranges(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -76,35 +80,37 @@ def _ranges(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
 
 
-BLOCK_SCHEMA = "block string, share int, ids binary, lens binary, body binary"
+BLOCK_SCHEMA = "block string, share int, ids binary, lens binary, body binary, places binary"
 
 
-def split_blocks(docs: DataFrame, vocabulary: str, shares: int = SHARES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def split_blocks(docs: DataFrame, vocabulary: str, shares: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Split all texts into words, block by block.
 
     A block (some documents of one task) gives one row with share -1: its document numbers, words
-    per document and word numbers (counted within the block, by share, in order of first use), and
-    one row for each share that some of its distinct words fall into: these words, once each.
+    per document, the words as ranks by frequency within the block (small numbers, which pack well),
+    and the ranks in the order of the shares; and one row for each share that some of its distinct
+    words fall into: these words, once each and sorted.
     """
     special = special_tokens(vocabulary)
 
     def rows(name, uids, counts, numbers, table):
-        keys = list(table)
-        share = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % shares for w in keys), np.int64, len(keys))
-        order = np.argsort(share, kind="stable")
-        place = np.empty(len(keys), np.uint32)
-        place[order] = np.arange(len(keys), dtype=np.uint32)
-        yield name, -1, _pack(np.array(uids, np.int64)), _pack(np.array(counts, np.int64)), _pack(place[np.concatenate(numbers)] if numbers else place[:0])
-        bounds = np.searchsorted(share[order], np.arange(shares + 1))
-        for s in np.flatnonzero(np.diff(bounds)).tolist():
-            own = [keys[i].encode("utf-8", "surrogatepass") for i in order[bounds[s]:bounds[s + 1]]]
-            yield name, s, b"", _pack(np.array([len(w) for w in own], np.uint32)), zstandard.ZstdCompressor(level=1).compress(b"".join(own))
+        keys = [w.encode("utf-8", "surrogatepass") for w in table]
+        flat = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
+        rank = np.empty(len(keys), np.uint32)
+        rank[np.argsort(-np.bincount(flat, minlength=len(keys)), kind="stable")] = np.arange(len(keys), dtype=np.uint32)
+        share = [zlib.crc32(w) % shares for w in keys]
+        order = sorted(range(len(keys)), key=lambda i: (share[i], keys[i]))
+        yield (name, -1, _pack(np.array(uids, np.int64)), _pack(np.array(counts, np.int64)), _pack(rank[flat]), _pack(rank[order]))
+        for s, own in itertools.groupby(order, key=share.__getitem__):
+            own = [keys[i] for i in own]
+            yield (name, s, b"", _pack(np.array([len(w) for w in own], np.uint32)),
+                   zstandard.ZstdCompressor(level=3).compress(b"".join(own)), b"")
 
     def batch(found):
         cols = list(zip(*found))
         return pa.RecordBatch.from_arrays(
             [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])],
-            names=["block", "share", "ids", "lens", "body"])
+            names=["block", "share", "ids", "lens", "body", "places"])
 
     def run(batches):
         from pyspark import TaskContext
@@ -128,7 +134,7 @@ def split_blocks(docs: DataFrame, vocabulary: str, shares: int = SHARES, block_c
     return docs.mapInArrow(run, BLOCK_SCHEMA)
 
 
-def encode_words(blocks: DataFrame, vocabulary, shares: int = SHARES) -> DataFrame:
+def encode_words(blocks: DataFrame, vocabulary) -> DataFrame:
     """Ids of the blocks' words: rows ``(block, share, ids, lens)``.
 
     All words of a share meet in one task, share after share, so each distinct word is encoded
@@ -172,13 +178,14 @@ def _block_ids(left: pa.Table, right: pa.Table):
     ids = [_unpack(x, np.uint32) for x in right["ids"].to_pylist()]
     lens = np.concatenate(per_word).astype(np.int64) if per_word else np.zeros(0, np.int64)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    starts = np.cumsum(lens) - lens
-    for u, c, n in zip(*(left[x].to_pylist() for x in ("ids", "lens", "body"))):
-        numbers, at = _unpack(n, np.uint32), 0
+    for u, c, n, p in zip(*(left[x].to_pylist() for x in ("ids", "lens", "body", "places"))):
+        place, numbers, at = _unpack(p, np.uint32), _unpack(n, np.uint32), 0
+        length, start = np.zeros((2, len(place)), np.int64)
+        length[place], start[place] = lens, np.cumsum(lens) - lens
         for uid, count in zip(_unpack(u, np.int64).tolist(), _unpack(c, np.int64).tolist()):
             own = numbers[at:at + count]
             at += count
-            yield uid, flat[_ranges(lens[own], starts[own])]
+            yield uid, flat[_ranges(length[own], start[own])]
 
 
 def join_back(blocks: DataFrame, ids: DataFrame, each, schema: str) -> DataFrame:
@@ -190,7 +197,7 @@ def join_back(blocks: DataFrame, ids: DataFrame, each, schema: str) -> DataFrame
         made = list(zip(*(each(uid, x) for uid, x in _block_ids(left, right)))) or [[] for _ in types]
         return pa.table([pa.array(c, arrow[t]) for c, (_, t) in zip(made, types)], names=[n for n, _ in types])
 
-    docs = blocks.filter("share < 0").select("block", "ids", "lens", "body")
+    docs = blocks.filter("share < 0").select("block", "ids", "lens", "body", "places")
     return docs.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(run, schema)
 
 
@@ -199,7 +206,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",
-           shares: int = SHARES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+           shares: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows ``(uid, ids)`` of every text: its ids in order.  See :func:`encode_digests`."""
     blocks, ids, _ = _prepared(docs, vocabulary_path, id_col, text_col, shares, block_chars)
     return join_back(blocks, ids, lambda uid, x: (uid if uid != NULL_ID else None, x.astype(np.int32)), "uid long, ids array<int>")
@@ -212,10 +219,12 @@ NULL_ID = -(1 << 63)
 def _prepared(docs, vocabulary_path, id_col, text_col, shares, block_chars):
     with open(vocabulary_path, encoding="utf-8") as f:  # the driver's file; its text goes to the tasks
         vocabulary = f.read()
+    shares = shares or SHARES_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary, some MB
     src = numbered(docs, id_col, text_col).withColumn("uid", F.coalesce("uid", F.lit(NULL_ID)))
-    blocks = shared_table(split_blocks(src, _slim(vocabulary), shares, block_chars), "word-blocks", "none")
-    return blocks, encode_words(blocks, known, shares), vocabulary
+    # bucketed by block, so the documents' words are written once and never shuffled
+    blocks = shared_table(split_blocks(src, _slim(vocabulary), shares, block_chars), "word-blocks", "none", bucket="block")
+    return blocks, encode_words(blocks, known), vocabulary
 
 
 def _slim(vocabulary: str) -> str:
@@ -223,7 +232,7 @@ def _slim(vocabulary: str) -> str:
 
 
 def encode_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",
-                   shares: int = SHARES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                   shares: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256 (of the whole text's ids, decoded again).
 
     Equal to encoding each text alone without added special tokens; marks of special tokens in a

@@ -14,18 +14,28 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
-def shared_table(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def shared_table(df: DataFrame, label: str, compression: str = "zstd", bucket: str | None = None) -> DataFrame:
     """Write ``df`` under the session's checkpoint folder and read it back.
 
     The folder is the shared one that the cluster names, so the rows outlive any executor.  It is
     marked for deletion when the application ends; loops drop superseded tables with
-    :func:`drop_table`.
+    :func:`drop_table`.  With ``bucket`` the rows are laid out in as many buckets by that column as
+    the session has shuffle partitions, and a join or grouping on it needs no exchange of them.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    _fs(spark, path)[0].deleteOnExit(_fs(spark, path)[1])
-    out = spark.read.schema(df.schema).parquet(path)
+    name = f"{label}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    writer = df.write.option("compression", compression)
+    if bucket:
+        table = name.replace("-", "_")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        writer.bucketBy(parts, bucket).option("path", path).saveAsTable(table)
+        out = spark.table(table)
+    else:
+        writer.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    fs, hadoop_path = _fs(spark, path)
+    fs.deleteOnExit(hadoop_path)
     out._shared_path = path
     return out
 
