@@ -42,12 +42,14 @@ def agency_flow_top(df: DataFrame, k: int = K.TOP_N_ORGAOS) -> DataFrame:
     """In/out flow of the k agencies with most acts (ties -> key): (orgao_chave, orgao_grafico,
     tipo_ato, quantidade, fluxo, rotulo, peso_ordem, ranking).
 
+    Rows without an act type count for the ranking and the label but have no bar.
+
     The rows are read once into (key, spelling, type) counts — partially aggregated map-side, so
     the shuffle carries at most one row per distinct triple per task.  Ranking (a k-row
     ``TakeOrderedAndProject``), canonical labels and per-type bars are all derived from that small
     table; the k-row ranking is broadcast (bounded by k).
     """
-    keyed = with_agency_key(df).filter(F.col("tipo_ato").isNotNull())
+    keyed = with_agency_key(df)
     c3 = keyed.groupBy("orgao_chave", "orgao_rotulo", "tipo_ato").agg(F.count(F.lit(1)).alias("n"))
     order = [F.desc("n"), F.asc("orgao_chave")]
     ranking = c3.groupBy("orgao_chave").agg(F.sum("n").alias("n")).orderBy(*order).limit(k)
@@ -57,7 +59,7 @@ def agency_flow_top(df: DataFrame, k: int = K.TOP_N_ORGAOS) -> DataFrame:
     spell = top.groupBy("orgao_chave", "orgao_rotulo").agg(F.sum("n").alias("n"))
     labels = spell.groupBy("orgao_chave").agg(
         F.min_by("orgao_rotulo", F.struct((-F.col("n")).alias("m"), F.col("orgao_rotulo"))).alias("orgao_grafico"))
-    bars = top.groupBy("orgao_chave", "ranking", "tipo_ato").agg(F.sum("n").alias("quantidade"))
+    bars = top.filter(F.col("tipo_ato").isNotNull()).groupBy("orgao_chave", "ranking", "tipo_ato").agg(F.sum("n").alias("quantidade"))
     bars = (bars.join(labels, "orgao_chave")
                 .withColumn("fluxo", signed("quantidade"))
                 .withColumn("rotulo", ptbr_int("quantidade"))

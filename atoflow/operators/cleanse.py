@@ -24,6 +24,9 @@ RET_COLUMNS = [
 ]
 
 
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?( ?(Z|[+-]\d{2}(:?\d{2})?))?)?$"
+
+
 def parse_date(df: DataFrame, name: str):
     """Date column, unparseable -> null: ``pd.to_datetime(errors='coerce')`` with ISO input."""
     if name not in df.columns:
@@ -35,14 +38,14 @@ def parse_date(df: DataFrame, name: str):
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(c)
     s = F.trim(c.cast("string"))
-    # ISO-8601 family only (date, date-time with 'T' or space, fractions, zone); anything else
-    # -> null, like a coerced parse whose format was fixed by ISO-formatted values
-    return F.to_date(F.coalesce(F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))))
+    # a full ISO-8601 date, alone or with a time and a zone; its written calendar date counts,
+    # whatever the zone or the session's; anything else -> null
+    return F.when(s.rlike(ISO_DATE), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
 
 
 def _row_key(df: DataFrame):
-    """Row-order key when the input has none: file order in batch; unavailable in streams."""
-    return F.lit(None).cast("long") if df.isStreaming else F.monotonically_increasing_id()
+    """Row-order key when the input has none: unique, ascending within a file split."""
+    return F.monotonically_increasing_id()
 
 
 def _with_columns_if_missing(df: DataFrame, defaults: dict) -> DataFrame:

@@ -1,17 +1,13 @@
-"""Steady state of the transition chain, computed distributed.
-
-Rows that sum to zero are made absorbing; the lazy chain Q = (I + P) / 2 has the same stationary
-vectors as P and is aperiodic, so the distribution reached from the uniform start converges.  For
-a reducible chain (e.g. an absorbing end state) that limit is the well-defined answer; it can be
-approached very slowly, so the matrix is squared: after k rounds Q^(2^k) (2^30 steps by default),
-stopping early once a round changes no entry by more than ``tol``.  Convergence is geometric, so
-a change below 1e-9 between Q^(2^k) and Q^(2^(k+5)) leaves an error far below the 6 digits kept.
-
-A squaring round is a join of the long matrix with itself on the middle state plus a group-by;
-its size is |S|^3, so it is used only while the state count is at most ``max_square_states``
-(checked); beyond that the vector is iterated instead (x <- x Q, |S|^2 per step).  Lineage is
-cut after every round by writing the round's result as parquet under spark.checkpoint.dir
-(``materialize``), which also drops the retained plan that ``checkpoint()`` would keep.
+"""Steady state of the transition chain, computed distributed from its sparse edges.
+
+States without an outgoing edge are made absorbing; the lazy chain Q = (I + P) / 2 has the same
+stationary vectors as P and is aperiodic, so the distribution reached from the uniform start
+converges.  For a reducible chain (e.g. an absorbing end state) that limit is the well-defined
+answer; it can be approached very slowly, so the matrix is squared: after k rounds Q^(2^k).  A
+squaring is a join of the edges with themselves on the middle state plus a group-by, the same for
+any number of states.  Every ``per_round`` squarings the result is written to the shared folder,
+which cuts lineage; the round before is deleted.  Convergence is geometric, so a change below
+1e-9 between Q^(2^k) and Q^(2^(k+5)) leaves an error far below the 6 digits kept.
 """
 
 from __future__ import annotations
@@ -19,33 +15,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, materialize
-
+from ..session import discard, materialize
 
-def lazy_chain(prob: DataFrame) -> DataFrame:
-    """(i, j, q) for Q = (I + P') / 2, P' = P with zero rows made absorbing."""
-    rowsum = F.sum("p").over(Window.partitionBy("evento"))
-    p = prob.select("evento", "prox_evento", "p").withColumn("__rs", rowsum)
-    same = F.col("evento") == F.col("prox_evento")
-    p = p.withColumn("p2", F.col("p") + F.when(same & (F.col("__rs") == 0), F.lit(1.0)).otherwise(F.lit(0.0)))
-    q = 0.5 * F.col("p2") + F.when(same, F.lit(0.5)).otherwise(F.lit(0.0))
-    return p.select(F.col("evento").alias("i"), F.col("prox_evento").alias("j"), q.alias("q"))
 
-
-def _max_change(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> float:
-    d = (a.join(b.withColumnRenamed(value, "__old"), keys, "full")
-          .agg(F.max(F.abs(F.coalesce(F.col(value), F.lit(0.0)) - F.coalesce(F.col("__old"), F.lit(0.0)))).alias("d"))
-          .first()["d"])
-    return 0.0 if d is None else d
+def lazy_chain(trans: DataFrame) -> DataFrame:
+    """(i, j, q) for Q = (I + P) / 2 from edges (evento, prox_evento, n); no row for q = 0."""
+    edges = trans.select(F.col("evento").alias("i"), F.col("prox_evento").alias("j"), F.col("n").cast("double").alias("n"))
+    ends = edges.select(F.col("j").alias("s")).union(edges.select(F.col("i").alias("s"))).distinct()
+    stay = ends.join(edges.groupBy("i").agg(F.sum("n").alias("out")), F.col("s") == F.col("i"), "left")
+    # an absorbing state stays with certainty, any other with one half besides its own loop
+    half = stay.select(F.col("s").alias("i"), F.col("s").alias("j"),
+                       F.when(F.coalesce("out", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.lit(0.5)).alias("q"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("i"))
+    moves = edges.filter("n > 0").select("i", "j", (0.5 * share).alias("q"))
+    return moves.union(half).groupBy("i", "j").agg(F.sum("q").alias("q"))
 
 
 def _square(m: DataFrame) -> DataFrame:
-    """M @ M.  The right side is broadcast: squaring is only used while |S| <= max_square_states,
-    so it holds at most that many squared entries."""
     left = m.select(F.col("i"), F.col("j").alias("k"), F.col("q").alias("a"))
-    right = F.broadcast(m.select(F.col("i").alias("k"), F.col("j"), F.col("q").alias("b")))
+    right = m.select(F.col("i").alias("k"), F.col("j"), F.col("q").alias("b"))
+    # products below 1e-300 are no part of any kept digit
     return (left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("q"))
-                .filter(F.col("q") != 0.0))
+                .filter(F.col("q") > 1e-300))
 
 
 def _renormalise(m: DataFrame) -> DataFrame:
@@ -54,42 +45,35 @@ def _renormalise(m: DataFrame) -> DataFrame:
     return m.withColumn("q", F.col("q") / F.sum("q").over(Window.partitionBy("i")))
 
 
-def steady_state(prob: DataFrame, rounds: int = 30, tol: float = 1e-9, digits: int = 6,
-                 max_square_states: int = 512, max_steps: int = 20000, per_round: int = 5) -> DataFrame:
+def _max_change(a: DataFrame, b: DataFrame) -> float:
+    both = a.select("i", "j", "q").union(b.select("i", "j", (-F.col("q")).alias("q")))
+    d = both.groupBy("i", "j").agg(F.abs(F.sum("q")).alias("d")).agg(F.max("d")).first()[0]
+    return d or 0.0
+
+
+def steady_state(trans: DataFrame, rounds: int = 60, tol: float = 1e-9, digits: int = 6,
+                 per_round: int = 5) -> DataFrame:
     """(evento, prob): limit distribution from the uniform start, rounded to ``digits``.
 
-    Actions: the state count, then per round one checkpoint and one scalar convergence check.
+    Takes the edges (evento, prox_evento, n); no edges give no rows.  Raises if 2^``rounds`` steps
+    do not converge.  Actions: per round one written table and one scalar convergence check.
     """
-    spark = prob.sparkSession
-    ensure_checkpoint_dir(spark)
-    prob = materialize(prob.select("evento", "prox_evento", "p"), "markov-p")
-    q = lazy_chain(prob).filter(F.col("q") != 0.0)
-    n_states = prob.select("evento").distinct().count()
-    if n_states == 0:
-        return spark.createDataFrame([], "evento string, prob double")
-    if n_states <= max_square_states:
-        m = q
-        for r in range(0, rounds, per_round):
-            nxt = m
-            for _ in range(per_round):  # a few squarings per written round: 2^per_round steps
-                nxt = _square(nxt)
-            nxt = materialize(_renormalise(nxt), "markov-sq")
-            done = r > 0 and _max_change(nxt, m, ["i", "j"], "q") <= tol
-            m = nxt
-            if done:
-                break
-        x = m.groupBy(F.col("j").alias("s")).agg((F.sum("q") / F.lit(float(n_states))).alias("x"))
+    m = materialize(lazy_chain(trans), "markov")
+    for _ in range(0, rounds, per_round):
+        nxt = m
+        for _ in range(per_round):
+            nxt = _square(nxt)
+        nxt = materialize(_renormalise(nxt), "markov")
+        change = _max_change(nxt, m)
+        discard(m)
+        m = nxt
+        if change <= tol:
+            break
     else:
-        x = materialize(q.select(F.col("i").alias("s")).distinct().withColumn("x", F.lit(1.0 / n_states)), "markov-x")
-        for _ in range(0, max_steps, 10):
-            prev = x
-            for _ in range(10):
-                x = (x.join(q, F.col("s") == F.col("i"))
-                      .groupBy(F.col("j").alias("s")).agg(F.sum(F.col("x") * F.col("q")).alias("x")))
-            x = materialize(x, "markov-x")
-            if _max_change(x, prev, ["s"], "x") <= tol:
-                break
-    states = prob.select(F.col("evento").alias("s")).distinct()
-    x = states.join(x, "s", "left").fillna(0.0, subset=["x"])
-    total = x.agg(F.sum("x").alias("t")).select("t").scalar()
+        raise RuntimeError(f"no steady state: the last {per_round} squarings still change entries by {change:g}")
+    n_states = m.select("i").distinct().count()
+    x = m.groupBy(F.col("j").alias("s")).agg((F.sum("q") / F.lit(float(max(n_states, 1)))).alias("x"))
+    # a state that the limit never visits keeps its row
+    x = x.union(m.select(F.col("i").alias("s"), F.lit(0.0).alias("x"))).groupBy("s").agg(F.sum("x").alias("x"))
+    total = F.coalesce(x.agg(F.sum("x").alias("t")).select("t").scalar(), F.lit(1.0))
     return x.select(F.col("s").alias("evento"), F.round(F.col("x") / total, digits).alias("prob"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .flows import grid
 from .sequences import day_and_id_block, ordered_neighbours, second_buckets
 
 
@@ -81,27 +82,16 @@ def states(trans: DataFrame) -> DataFrame:
     return trans.select(F.col("evento").alias("s")).union(trans.select(F.col("prox_evento").alias("s"))).distinct()
 
 
-MAX_STATES = 10000  # same bound Spark applies to pivot columns (spark.sql.pivotMaxValues)
-
-
-def transition_matrix(trans: DataFrame, max_states: int = MAX_STATES) -> DataFrame:
+def transition_matrix(trans: DataFrame) -> DataFrame:
     """Square matrix over all states in long form: (evento, prox_evento, n, p, p_txt).
 
-    The sorted state list is one scalar subquery over the edges (a single aggregate), checked
-    against ``max_states`` — the query fails instead of growing past it.  The |S| x |S| grid is
-    exploded from that list, and the observed counts are joined in; rows summing to 0 get p = 0.
+    The result has |S| x |S| cells by definition; they are made by :func:`flows.grid`, and the
+    observed counts are joined in; rows summing to 0 get p = 0.
     """
-    arr = trans.agg(F.array_sort(F.array_distinct(F.concat(F.collect_set("evento"), F.collect_set("prox_evento"))))
-                    .alias("a")).select("a").scalar()
-    guarded = F.when(F.size(arr) <= max_states, arr).otherwise(
-        F.raise_error(F.lit(f"transition matrix has more than {max_states} states")))
-    spark = trans.sparkSession
-    # the source states are hash-spread before the second explode, so the |S|^2 cells are
-    # generated in parallel rather than in the single task that holds the one-row list
-    grid = (spark.range(1).select(F.explode(guarded).alias("evento")).repartition("evento")
-                 .select("evento", F.explode(guarded).alias("prox_evento")))
+    s = states(trans)
+    cells = grid(s.withColumnRenamed("s", "evento"), s.withColumnRenamed("s", "prox_evento"))
     counts = trans.select("evento", "prox_evento", F.col("n").cast("long").alias("n"))
-    long = grid.join(counts, ["evento", "prox_evento"], "left").fillna(0, subset=["n"])
+    long = cells.join(counts, ["evento", "prox_evento"], "left").fillna(0, subset=["n"])
     total = F.sum("n").over(Window.partitionBy("evento"))
     long = long.withColumn("p", F.col("n") / F.when(total == 0, F.lit(1)).otherwise(total))
     # format_number rounds the exact binary value half-even, like Python's "{:.2f}"

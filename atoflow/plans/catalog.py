@@ -29,33 +29,22 @@ Builder = Callable[[SparkSession, str], DataFrame]
 SLICE = Filters(estado="EUROPE", anos=(1996, 1997, 1998),
                 representantes=("Sergio Cabral (Executivo estadual)", "Rodrigo Bacellar (ALERJ)",
                                 "Nao identificado (Nao identificado)"),
-                autorias=(K.AUTORIA_GOVERNADOR, K.AUTORIA_SECRETARIA, K.AUTORIA_OUTRO),
+                autorias=(K.AUTORIA_GOVERNADOR, K.AUTORIA_SECRETARIA),
+                orgaos=("NATION_3 - DEPTO", "NATION_8-Depto", "NATION_13 / SUB", "nation_18  -depto", "NATION_18 - DEPTO"),
                 tipos=(K.NOMEACAO, K.EXONERACAO))
 
 
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def _memo(kind: str, spark: SparkSession, sf: str, build) -> DataFrame:
-    """Build a base DataFrame (a lazy plan, no data) once per session and directory."""
-    key = (kind, id(spark), sf)
-    df = _PLANS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _PLANS[key] = build()
-    return df
-
-
 # The representative filter's state and current selection exercised by ``representative_choices``.
 CHOICE_STATE = "AMERICA"
 CHOICE_SELECTED = ("Sergio Cabral (Executivo estadual)", "Ninguem (Nao identificado)")
 
 
 def mov_c(spark: SparkSession, sf: str) -> DataFrame:
-    return _memo("mov_c", spark, sf, lambda: clean_movements(fixtures.movements(spark, sf)))
+    return clean_movements(fixtures.movements(spark, sf))
 
 
 def ret_c(spark: SparkSession, sf: str) -> DataFrame:
-    return _memo("ret_c", spark, sf, lambda: clean_returns(fixtures.returns(spark, sf)))
+    return clean_returns(fixtures.returns(spark, sf))
 
 
 def _ret_trans(spark, sf):
@@ -67,15 +56,12 @@ def _event_trans(spark, sf):
 
 
 def _steady(trans: DataFrame) -> DataFrame:
-    """Steady state; the (small) edge list is written once to the checkpoint folder first, so the
-    matrix's state list and counts read it instead of re-running the sequence pipeline."""
-    return markov.steady_state(transitions.transition_matrix(materialize(trans, "transitions")))
+    return markov.steady_state(trans)
 
 
 def _returns_report(spark, sf):
     trans = materialize(_ret_trans(spark, sf), "transitions")
-    steady = markov.steady_state(transitions.transition_matrix(trans))
-    return timelines.returns_report(ret_c(spark, sf), trans, steady)
+    return timelines.returns_report(ret_c(spark, sf), trans, markov.steady_state(trans))
 
 
 def _representative_choices(spark, sf):
@@ -116,7 +102,7 @@ SPARK: dict[str, Builder] = {
     "sector_flow_top10": lambda s, sf: flows.government_flow(mov_c(s, sf), eixo=K.EIXO_SETOR),
     "sector_balance_top10": lambda s, sf: flows.government_balance(mov_c(s, sf), eixo=K.EIXO_SETOR),
     "government_summary": lambda s, sf: flows.government_summary(mov_c(s, sf)),
-    "government_timeline_year": lambda s, sf: timelines.government_timeline(mov_c(s, sf), grain="auto"),
+    "government_timeline_year": lambda s, sf: timelines.government_timeline(mov_c(s, sf), grain="year"),
     "government_timeline_month": lambda s, sf: timelines.government_timeline(mov_c(s, sf), grain="month"),
     "government_series": lambda s, sf: timelines.government_series(mov_c(s, sf)),
     "returns_timeline": lambda s, sf: timelines.returns_timeline(ret_c(s, sf)),

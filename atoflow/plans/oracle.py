@@ -173,7 +173,7 @@ def _flow_sql(force: str | None) -> str:
 
 _COUNTS = ("cnt AS (SELECT representante_origem, count(*) FILTER (WHERE tipo_ato = 'exoneracao') AS exoneracao, "
            "count(*) FILTER (WHERE tipo_ato = 'nomeacao') AS nomeacao FROM mov_c "
-           "WHERE representante_origem IS NOT NULL GROUP BY 1)")
+           "WHERE representante_origem IS NOT NULL AND tipo_ato IS NOT NULL GROUP BY 1)")
 
 
 def _balance_sql(force: str | None) -> str:
@@ -255,7 +255,7 @@ TOP30 = "top AS (SELECT * FROM trans ORDER BY n DESC, evento, prox_evento LIMIT
 def oracle_sql(slice_filters, choice_state: str = "", choice_selected=()) -> dict[str, str]:
     f = slice_filters
     where = (f"estado = {_q(f.estado)} AND ano IN {_in(f.anos)} AND representante_origem IN {_in(f.representantes)} "
-             f"AND autoria_ato IN {_in(f.autorias)} AND tipo_ato IN {_in(f.tipos)}")
+             f"AND autoria_ato IN {_in(f.autorias)} AND tipo_ato IN {_in(f.tipos)} AND orgao IN {_in(f.orgaos)}")
     kpi = ("SELECT count(*) AS atos, count(*) FILTER (WHERE autoria_ato = 'Governador') AS atos_governador, "
            "count(*) FILTER (WHERE autoria_ato = 'Secretaria/Subsecretaria') AS atos_secretarias, "
            "count(*) FILTER (WHERE tipo_ato = 'exoneracao') AS exoneracoes, "

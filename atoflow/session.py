@@ -66,12 +66,27 @@ def materialize(df, label: str = "table"):
 
     This cuts lineage *and* the retained logical plan (``Dataset.checkpoint`` keeps the origin
     plan, which doubles per round when an iteration uses its previous result twice).  The files
-    live in the shared checkpoint folder, so a lost executor cannot lose them.
+    live in the shared checkpoint folder, so a lost executor cannot lose them; they are deleted by
+    ``discard`` or when the application ends.
     """
     import uuid
 
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/atoflow-{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/atoflow-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, where = _hadoop(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized = path
+    return out
+
+
+def discard(df) -> None:
+    """Delete a table made by ``materialize`` that nothing reads any more."""
+    fs, path = _hadoop(df.sparkSession, df._materialized)
+    fs.delete(path, True)
+
+
+def _hadoop(spark, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where

@@ -17,15 +17,17 @@ from .tables import table
 MOV_SQL = """
 SELECT o.o_orderkey AS mov_id, r.r_name AS estado, c.c_name AS nome_normalizado,
        CAST(o.o_orderdate AS DATE) AS data_publicacao,
-       CASE o.o_orderstatus WHEN 'F' THEN 'exoneracao' WHEN 'O' THEN 'nomeacao' ELSE 'outro' END AS tipo_ato,
+       CASE WHEN o.o_orderkey % 97 = 0 OR (o.o_orderkey % 13 = 0 AND o.o_custkey % 9 = 4) THEN NULL
+            WHEN o.o_orderstatus = 'F' THEN 'exoneracao' WHEN o.o_orderstatus = 'O' THEN 'nomeacao' ELSE 'outro' END AS tipo_ato,
        CASE o.o_orderkey % 5 WHEN 0 THEN concat(n.n_name, ' - DEPTO') WHEN 1 THEN concat(n.n_name, '-Depto')
             WHEN 2 THEN concat(lower(n.n_name), '  -depto') WHEN 3 THEN concat(n.n_name, ' / SUB') ELSE '' END AS orgao,
        CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 'Governador - Titular' WHEN '2' THEN 'Secretário de Estado'
             WHEN '3' THEN '  SUBSECRETARIO - X' WHEN '4' THEN '' ELSE NULL END AS cargo_assinante,
-       CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'Sergio Cabral - Governador'
+       CASE WHEN o.o_orderkey % 13 = 0 THEN concat('Pessoa ', o.o_custkey % 9, CASE WHEN o.o_orderkey % 2 = 0 THEN ' - Governador' ELSE ' - Governador em exercicio' END)
+            ELSE CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'Sergio Cabral - Governador'
             WHEN 'BUILDING' THEN 'Francisco Dornelles - Governador em exercicio'
             WHEN 'FURNITURE' THEN 'Rodrigo Bacellar - Governador em exercicio'
-            WHEN 'HOUSEHOLD' THEN 'Fulano de Tal - Governador em exercicio' ELSE '' END AS governador_edicao
+            WHEN 'HOUSEHOLD' THEN 'Fulano de Tal - Governador em exercicio' ELSE '' END END AS governador_edicao
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
 JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey
 """

@@ -53,17 +53,38 @@ def state_from_path(path_col: Column | None = None) -> Column:
 
 def read_movements(spark: SparkSession, dirs: list[str]) -> DataFrame:
     """One scan over every state's parquet file; schemas are merged (files may differ), known
-    columns are projected (the scan reads only those) and absent ones are added as null."""
+    columns are projected (the scan reads only those); a missing one is an error, as in a read
+    that names its columns."""
     paths = [f"{d}/{K.ARQUIVO_MOVIMENTACOES}" for d in dirs]
     df = spark.read.option("mergeSchema", True).parquet(*paths)
-    cols = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in K.COLUNAS_MOVIMENTACAO]
-    return df.select(*cols, state_from_path().alias("estado"))
+    missing = [c for c in K.COLUNAS_MOVIMENTACAO if c not in df.columns]
+    if missing:
+        raise ValueError(f"movements lack the columns {missing}")
+    return df.select(*K.COLUNAS_MOVIMENTACAO, state_from_path().alias("estado"))
 
 
 def _null_sentinels(c: str) -> Column:
     return F.when(F.col(c).isin(*K.CSV_NULOS), F.lit(None).cast("string")).otherwise(F.col(c))
 
 
+FLAGS = ("mudou_cargo_desde_exoneracao", "mudou_orgao_desde_exoneracao")
+
+
+def _flags(df: DataFrame) -> DataFrame:
+    """Change flags of one file as 'sim' / 'nao' where the whole column is boolean (True/False) or
+    numeric (not 0); other columns stay as written.  One aggregate over the file, like the type
+    inference of a CSV reader."""
+    is_bool = lambda c: F.col(c).isin("True", "TRUE", "true", "False", "FALSE", "false")
+    number = lambda c: F.col(c).try_cast("double")
+    kinds = df.agg(*(F.struct(F.bool_and(is_bool(c)).alias("b"), F.bool_and(number(c).isNotNull() | F.col(c).isNull()).alias("n"))
+                     .alias(c) for c in FLAGS)).first()
+    for c in FLAGS:
+        true = F.lower(c) == "true" if kinds[c].b else number(c) != 0 if kinds[c].n else None
+        if true is not None:
+            df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.when(true, F.lit("sim")).otherwise(F.lit("nao"))))
+    return df
+
+
 def read_returns(spark: SparkSession, dirs: list[str], multiline: bool = True) -> DataFrame:
     """All state CSVs; each file is read with its own header (files may differ in columns) and
     the known columns are unioned by name.
@@ -79,7 +100,7 @@ def read_returns(spark: SparkSession, dirs: list[str], multiline: bool = True) -
         cols = []
         for c in K.COLUNAS_RETORNO:
             cols.append(_null_sentinels(c).alias(c) if c in raw.columns else F.lit(None).cast("string").alias(c))
-        frames.append(raw.select(*cols, state_from_path().alias("estado")))
+        frames.append(_flags(raw.select(*cols, state_from_path().alias("estado"))))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

@@ -25,7 +25,7 @@ def brute(prob_rows):
 def check(spark, trans):
     prob = transitions.transition_matrix(trans)
     exp = brute([(r["evento"], r["prox_evento"], r["p"]) for r in prob.collect()])
-    got = {r["evento"]: r["prob"] for r in markov.steady_state(prob).collect()}
+    got = {r["evento"]: r["prob"] for r in markov.steady_state(trans).collect()}
     assert set(got) == set(exp)
     for k in exp:
         assert abs(got[k] - exp[k]) < 2e-6, k

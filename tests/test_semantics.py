@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from atoflow.operators import flows, kpis, timelines, transitions
+from atoflow.operators import agencies, flows, kpis, timelines, transitions
 from atoflow.operators.cleanse import clean_movements, clean_returns
 
 MOV_SCHEMA = ("mov_id long, estado string, nome_normalizado string, data_publicacao string, tipo_ato string, "
@@ -50,10 +50,37 @@ def test_q7_dates_parse_to_null_when_malformed(spark):
                             (3, "RJ", "A", "05/01/2020", "nomeacao", "X", "", ""),
                             (4, "RJ", "A", "bad", "nomeacao", "X", "", ""),
                             (5, "RJ", "A", "2020-01-05T23:10:00.250", "nomeacao", "X", "", ""),
-                            (6, "RJ", "A", "2020-13-01", "nomeacao", "X", "", "")])
+                            (6, "RJ", "A", "2020-13-01", "nomeacao", "X", "", ""),
+                            *((10 + i, "RJ", "A", d, "nomeacao", "X", "", "") for i, d in enumerate(
+                                ["T10:00", "2020", "2020-01", "2020-1-5", "2020-01-05x", "2020-02-30", "", None]))])
+    zoned = movements(spark, [(7, "RJ", "A", "2020-01-05T23:00:00-03:00", "nomeacao", "X", "", ""),
+                              (8, "RJ", "A", " 2020-01-05 00:30:00+09:00", "nomeacao", "X", "", "")])
+    assert [r["data_movimentacao"] for r in zoned.collect()] == [dt.date(2020, 1, 5)] * 2
     got = {r["mov_id"]: (r["data_movimentacao"], r["ano"]) for r in mov.collect()}
     assert got == {1: (dt.date(2020, 1, 5), 2020), 2: (dt.date(2020, 1, 5), 2020), 3: (None, None), 4: (None, None),
-                   5: (dt.date(2020, 1, 5), 2020), 6: (None, None)}
+                   5: (dt.date(2020, 1, 5), 2020), 6: (None, None), **{10 + i: (None, None) for i in range(8)}}
+
+
+def test_acts_without_a_type(spark):
+    """They count for an agency's rank and label, but a representative with no other acts has no row."""
+    rows = [(i, "RJ", "A", "2020-01-05", t, o, "", g) for i, (t, o, g) in enumerate(
+        [(None, "SEC Z", "Ana - Governadora")] * 5 + [("nomeacao", "Sec z", "Bia - Governadora")]
+        + [("nomeacao", "Sec a", "Bia - Governadora")] * 2)]
+    mov = movements(spark, rows)
+    top = {r["orgao_chave"]: (r["ranking"], r["orgao_grafico"], r["quantidade"]) for r in agencies.agency_flow_top(mov).collect()}
+    assert sorted(top.values()) == [(1, "SEC Z", 1), (2, "Sec a", 2)]
+    for df in (flows.government_summary(mov), flows.government_balance(mov), flows.government_flow(mov)):
+        assert [r["representante_origem"] for r in df.collect()] == ["Bia (Executivo estadual)"]
+
+
+def test_sector_axis_keeps_ten_labels(spark):
+    rows = [(100 * i + k, "RJ", "A", "2020-01-05", "nomeacao", "X", "", f"Setor{i:02d} - Chefe")
+            for i in range(12) for k in range(i + 1)]
+    mov = movements(spark, rows).withColumn("origem_representante", F.lit("Setor"))
+    for df in (flows.government_flow(mov), flows.government_balance(mov)):
+        assert sorted(r["representante_origem"][:7] for r in df.collect()) == [f"Setor{i:02d}" for i in range(2, 12)]
+    mixed = mov.withColumn("origem_representante", F.when(F.col("mov_id") == 0, "Vice").otherwise("Setor"))
+    assert flows.government_flow(mixed).count() == flows.government_balance(mixed).count() == 12
 
 
 def test_q12_first_seen_order_follows_date_then_row(spark):

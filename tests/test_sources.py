@@ -63,3 +63,24 @@ def test_partitioned_sink_prunes(spark, scratch):
     back = spark.read.parquet(out).filter(F.col("estado") == "RJ")
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and back.count() == 3
+
+
+@pytest.mark.parametrize("written,expected", [
+    (["True", "False", ""], [True, False, True]), (["1", "0", "2.0"], [True, False, True]),
+    (["sim", "True", "1"], [True, False, False]), (["Sim", "nao", ""], [True, False, True])])
+def test_change_flags_follow_the_whole_column(spark, scratch, written, expected):
+    """Booleans and numbers count by value, other columns by 'sim'; a gap is true."""
+    write_state(scratch, "rj")
+    pd.DataFrame({"nome_normalizado": ["A", "B", "C"], "data_publicacao": ["2020-03-01"] * 3,
+                  "mudou_cargo_desde_exoneracao": written}).to_csv(
+        os.path.join(scratch, "rj", "retornos_apos_exoneracao.csv"), index=False)
+    ret, _ = states.reload(spark, scratch)
+    assert [r["mudou_cargo"] for r in ret.orderBy("pessoa").collect()] == expected
+
+
+def test_missing_movement_column_is_an_error(spark, scratch):
+    write_state(scratch, "rj")
+    path = os.path.join(scratch, "rj", "movimentacoes_pessoas.parquet")
+    pd.read_parquet(path).drop(columns="tipo_ato").to_parquet(path)
+    with pytest.raises(ValueError):
+        states.reload(spark, scratch)
