@@ -18,6 +18,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _B = "__seq_bucket"
 
 
@@ -110,25 +112,51 @@ def ordered_neighbours(
     return joined.select(*keep)
 
 
+#: A key with more rows than this is cut into buckets; others fit one window.
+HOT_ROWS = 200_000
+
+
+def neighbours(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column, coarser: Sequence,
+               leads: Mapping[str, str] | None = None, lags: Mapping[str, str] | None = None,
+               prior_max: Mapping[str, str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The columns of :func:`ordered_neighbours`, whose buckets are used for hot keys alone.
+
+    Keys with more than ``hot_rows`` rows are found by one map-side aggregated count over the key
+    columns (at most rows / ``hot_rows`` of them) and written to the shared folder, so Spark knows
+    the table's size when it picks the join.  All other keys take one window over at most
+    ``hot_rows`` rows and one exchange; hot keys take the bucketed windows and every level of the
+    carry.  The answer is the same either way.  Keys must not be null.
+    """
+    leads, lags, prior_max = dict(leads or {}), dict(lags or {}), dict(prior_max or {})
+    hot = materialize(df.groupBy(*key).count().filter(F.col("count") > hot_rows).select(*key), "hot-keys")
+    w = Window.partitionBy(*key).orderBy(*order)
+    outs = {o: F.lead(src).over(w) for o, src in leads.items()} | {o: F.lag(src).over(w) for o, src in lags.items()}
+    outs |= {o: F.max(src).over(w.rowsBetween(Window.unboundedPreceding, -1)) for o, src in prior_max.items()}
+    if hot.isEmpty():
+        return df.withColumns(outs)
+    cold = df.join(hot, list(key), "left_anti").withColumns(outs)
+    rest = ordered_neighbours(df.join(hot, list(key), "left_semi"), key, order, bucket, leads, lags, prior_max, coarser)
+    return cold.unionByName(rest)
+
+
 ID_BLOCK = 1 << 20
 
 
-def day_and_id_block(day: Column, id_col: str, carry_by_day: bool = False):
+def day_and_id_block(day: Column, id_col: str):
     """Buckets for an order (date, unique id, ...): (day, id block), encoded in one long
     ``day * 2^44 + floor(id / 2^20)`` — monotone in (date, id) for ids within +-2^63, and cheaper
     to hash and sort than a struct.  ``day`` is the day number (e.g. ``unix_date(date)``).
 
-    A bucket holds at most 2^20 rows (ids are unique).  The carry window then holds one row per
-    (day, id block) of a key — at most the key's days plus its id span / 2^20 (about 10^6 for
-    10^12 dense ids), which one task handles.  ``carry_by_day=True`` adds a level that carries per
-    (key, day) first (more stages; only for id spans far beyond that).  Returns ``(bucket, coarser)``
-    for ``ordered_neighbours``."""
+    A bucket holds at most 2^20 rows (ids are unique); the carry runs per (key, day) over id blocks,
+    then per key over days.  Returns ``(bucket, coarser)`` for ``ordered_neighbours``."""
     fine = day.cast("long") * F.lit(1 << 44) + F.floor(F.col(id_col) / ID_BLOCK).cast("long")
-    return fine, ([lambda b: F.floor(b / F.lit(1 << 44))] if carry_by_day else None)
+    return fine, [lambda b: F.floor(b / F.lit(1 << 44))]
 
 
-def second_buckets(ts_col: str, carry_by_hour: bool = False):
-    """Buckets for an order (timestamp, ...): seconds — only a time truncation is monotone in
-    timestamp order.  The carry window holds one row per second a key was active (bounded by the
-    time span); ``carry_by_hour=True`` adds a per-(key, hour) level."""
-    return F.date_trunc("second", F.col(ts_col)), ([lambda b: F.date_trunc("hour", b)] if carry_by_hour else None)
+def instant_and_id_block(ts_col: str, id_col: str):
+    """Buckets for an order (timestamp, unique id): (instant, id block), so that even rows of one
+    instant are spread.  The carry runs over id blocks per (key, instant, 1,024 blocks), then per
+    (key, second), per (key, hour) and per key over hours.  Returns ``(bucket, coarser)``."""
+    fine = F.struct(F.col(ts_col).alias("ts"), F.floor(F.col(id_col) / ID_BLOCK).alias("block"))
+    return fine, [lambda b: F.struct(b["ts"].alias("ts"), F.floor(b["block"] / 1024).alias("block")),
+                  lambda b: F.date_trunc("second", b["ts"]), lambda b: F.date_trunc("hour", b)]

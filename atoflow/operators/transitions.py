@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .flows import grid
-from .sequences import day_and_id_block, ordered_neighbours, second_buckets
+from .sequences import day_and_id_block, instant_and_id_block, neighbours
 
 
 def return_events(ret_c: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -27,12 +27,11 @@ def return_events(ret_c: DataFrame, extra: list[str] | None = None) -> DataFrame
     return ev.filter(F.col("data").isNotNull())
 
 
-def next_event(ev: DataFrame, key: list[str], order: list[str], bucket: Column, coarser=None) -> DataFrame:
+def next_event(ev: DataFrame, key: list[str], order: list[str], bucket: Column, coarser) -> DataFrame:
     """``prox_evento`` = the person's next event (null on the last); null persons are dropped
-    (they form no group).  Skew-split over (key, bucket), carried through ``coarser`` buckets."""
+    (they form no group).  Hot persons are split over (key, bucket) and carried through ``coarser`` buckets."""
     ev = ev.filter(F.col(key[-1]).isNotNull())
-    return ordered_neighbours(ev, key=key, order=order, bucket=bucket, leads={"prox_evento": "evento"},
-                              coarser=coarser)
+    return neighbours(ev, key, order, bucket, coarser, leads={"prox_evento": "evento"})
 
 
 def event_sequence(ret_c: DataFrame) -> DataFrame:
@@ -44,11 +43,11 @@ def event_sequence(ret_c: DataFrame) -> DataFrame:
 
 def user_event_sequence(events: DataFrame) -> DataFrame:
     """(pessoa, data, evento, prox_evento) from a raw (user_id, ts, event_type, event_id) log.
-    Buckets are seconds, so one very active user is spread over many tasks."""
+    A very active user is cut by instant and id block, so it is spread over many tasks."""
     ev = events.select(F.col("user_id").alias("pessoa"), F.col("ts").alias("data"),
                        F.col("event_type").alias("evento"), "event_id")
     ev = ev.filter(F.col("data").isNotNull())
-    bucket, coarser = second_buckets("data")
+    bucket, coarser = instant_and_id_block("data", "event_id")
     return next_event(ev, ["pessoa"], ["data", "event_id"], bucket, coarser)
 
 

@@ -2,7 +2,7 @@
 
 The movements view is shared SQL text: Spark runs it with the tables bound as DataFrame
 parameters, the DuckDB oracle runs the same text over its views.  The returns view needs ordered
-per-person windows; Spark computes them with the skew-split ``ordered_neighbours`` operator, the
+per-person windows; Spark computes them with the skew-split ``neighbours`` operator, the
 oracle with plain SQL windows.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sequences import day_and_id_block, ordered_neighbours
+from ..operators.sequences import day_and_id_block, neighbours
 from .tables import table
 
 MOV_SQL = """
@@ -49,8 +49,8 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     mov = movements(spark, sf_dir).filter(F.col("nome_normalizado").isNotNull())
     mov = mov.withColumn("__exo_date", F.when(F.col("tipo_ato") == "exoneracao", F.col("data_publicacao")))
     bucket, coarser = day_and_id_block(F.unix_date(F.col("data_publicacao")), "mov_id")
-    seq = ordered_neighbours(
-        mov, key=["nome_normalizado"], order=["data_publicacao", "mov_id"], bucket=bucket, coarser=coarser,
+    seq = neighbours(
+        mov, ["nome_normalizado"], ["data_publicacao", "mov_id"], bucket, coarser,
         lags={"orgao_ant": "orgao"}, prior_max={"data_exoneracao_anterior": "__exo_date"})
     ret = seq.filter((F.col("tipo_ato") == "nomeacao") & F.col("data_exoneracao_anterior").isNotNull())
     return ret.select(
