@@ -14,8 +14,16 @@ from atoflow.session import get_session  # noqa: E402
 
 
 def final_plan(df) -> str:
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return plan.split("+- == Initial Plan ==")[0]
+    """The plan that ran, subqueries included: every initial plan is left out, by its indentation."""
+    out, hidden = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :|+-"))
+        if hidden is not None and depth > hidden:
+            continue
+        hidden = depth if "== Initial Plan ==" in line else None
+        if hidden is None:
+            out.append(line)
+    return "\n".join(out)
 
 
 def scans(plan: str) -> list[str]:
@@ -30,19 +38,23 @@ def scans(plan: str) -> list[str]:
             c = re.sub(r"#\d+L?", "", cols.group(1))
             p = re.sub(r"#\d+L?", "", pushed.group(1)) if pushed else "[]"
             out.append(f"`{loc.group(1)}` [{c}] pushed {p}")
-    return sorted(set(out))
+    return [f"{n} x {x}" if (n := out.count(x)) > 1 else x for x in sorted(set(out))]
 
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session()
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
     lines = ["# PLANS — executed plan shape per registered query",
              "",
              f"Generated by `tools/plan_report.py` at `{sf}` (local mode; AQE final plans, so broadcast choices",
              "reflect measured sizes at this scale). Counts are physical operators in the final plan: shuffle",
              "exchanges, exchanges reused instead of recomputed, broadcast exchanges, sort-merge and broadcast-hash",
              "joins, window operators, top-k (`TakeOrderedAndProject`) and Arrow Python stages. Scans list the",
-             "columns actually read and the filters pushed into the parquet reader.",
+             "columns actually read, the filters pushed into the parquet reader, and how often a scan occurs,",
+             "scalar subqueries included. Jobs that run while a query is built (the steady state's rounds, the count",
+             "of hot keys, the training-data operators' written tables) are not part of the plan.",
              "",
              "| query | shuffles | reused | broadcasts | SMJ | BHJ | windows | top-k | python | scans |",
              "|---|---|---|---|---|---|---|---|---|---|"]
