@@ -9,7 +9,7 @@ import re
 import sys
 
 sys.path.insert(0, ".")
-import __spark_entry__ as E  # noqa: E402
+from atoflow.plans import catalog  # noqa: E402
 from atoflow.session import get_session  # noqa: E402
 
 
@@ -58,7 +58,7 @@ def main() -> None:
              "",
              "| query | shuffles | reused | broadcasts | SMJ | BHJ | windows | top-k | python | scans |",
              "|---|---|---|---|---|---|---|---|---|---|"]
-    for name, build in E.queries().items():
+    for name, build in catalog.SPARK.items():
         df = build(spark, sf)
         df.collect()
         p = final_plan(df)
