@@ -23,6 +23,11 @@ DIRECAO_ENTRADAS = "mais entradas que saidas"
 DIRECAO_SAIDAS = "mais saidas que entradas"
 SEM_PERIODO = "sem período"
 SEM_PERIODO_RESUMO = "sem periodo"
+TITULO_RESUMO = "RESUMO ANALÍTICO"
+TITULO_TRANSICOES = "Top transições:"
+TITULO_ESTACIONARIO = "Estado estacionário:"
+NAO_CALCULAVEL = "Não calculável para o filtro atual."
+SEM_DADOS = "Sem dados para os filtros selecionados."
 
 # ---- fixed values: sizes and thresholds ------------------------------------------------------
 TOP_N_TRANSICOES = 30

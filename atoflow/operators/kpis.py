@@ -10,8 +10,12 @@ from ..functions.labels import periodo_anos, periodo_min_max
 from ..functions.text import ptbr_int, ustrip
 
 
+CARDS = ["atos", "atos_governador", "atos_secretarias", "exoneracoes", "nomeacoes", "saldo", "pessoas"]
+
+
 def kpi_cards(df: DataFrame) -> DataFrame:
-    """One row: atos, atos_governador, atos_secretarias, exoneracoes, nomeacoes, saldo, pessoas."""
+    """One row: atos, atos_governador, atos_secretarias, exoneracoes, nomeacoes, saldo, pessoas, and the
+    text of each (``_txt``, pt-BR thousands)."""
     row = df.agg(
         F.count(F.lit(1)).alias("atos"),
         F.count_if(F.col("autoria_ato") == K.AUTORIA_GOVERNADOR).alias("atos_governador"),
@@ -20,8 +24,8 @@ def kpi_cards(df: DataFrame) -> DataFrame:
         F.count_if(F.col("tipo_ato") == K.NOMEACAO).alias("nomeacoes"),
         F.countDistinct("pessoa").alias("pessoas"),
     )
-    return row.select("atos", "atos_governador", "atos_secretarias", "exoneracoes", "nomeacoes",
-                      (F.col("nomeacoes") - F.col("exoneracoes")).alias("saldo"), "pessoas")
+    row = row.withColumn("saldo", F.col("nomeacoes") - F.col("exoneracoes"))
+    return row.select(*CARDS, *(ptbr_int(c).alias(f"{c}_txt") for c in CARDS))
 
 
 def _top1(counts: DataFrame, label: str) -> DataFrame:
@@ -61,7 +65,15 @@ def slice_reading(df: DataFrame) -> DataFrame:
         "saldo",
         F.when(F.col("saldo") >= 0, F.lit(K.DIRECAO_ENTRADAS)).otherwise(F.lit(K.DIRECAO_SAIDAS)).alias("direcao"),
     )
-    return out.withColumn("saldo_txt", F.concat(ptbr_int("saldo"), F.lit(" ("), F.col("direcao"), F.lit(")")))
+    # the thousands mark is exchanged in the whole item, so a comma in a name becomes a point too
+    item = lambda name, n: F.replace(F.concat(name, F.lit(" ("), F.format_number(n, 0), F.lit(")")), F.lit(","), F.lit("."))
+    return out.withColumns({
+        "registros_txt": ptbr_int("registros"),
+        "pessoas_txt": ptbr_int("pessoas"),
+        "governo_top_txt": item(F.col("governo_top"), F.col("governo_top_total")),
+        "orgao_top_txt": item(F.col("orgao_top"), F.col("orgao_top_total")),
+        "saldo_txt": F.concat(ptbr_int("saldo"), F.lit(" ("), F.col("direcao"), F.lit(")")),
+    })
 
 
 def period_label(df: DataFrame, by: list[str] | None = None) -> DataFrame:

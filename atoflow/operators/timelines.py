@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.labels import rotulo_representante_curto
-from ..functions.text import split_once, ustrip
+from ..functions.text import ptbr_int, split_once, ustrip
 from .flows import axis_mode
 
 
@@ -137,33 +137,42 @@ def returns_summary(ret_c: DataFrame) -> DataFrame:
 
 
 def returns_report(ret_c: DataFrame, trans: DataFrame, steady: DataFrame, top_k: int = K.TOP_N_RESUMO) -> DataFrame:
-    """The returns summary as text lines: (secao, ordem, linha).
+    """The returns summary as text lines: (secao, ordem, linha), blank and heading lines included.
 
-    Sections: 'resumo' (counts, mean/median days with two decimals, change rates as percentages),
-    'transicoes' (top-k edges 'a → b: n'), 'estacionario' ('state: p' with four decimals, by p desc).
+    Sections in reading order: 'resumo' (title, counts, mean and median days with two decimals,
+    'nan' where no row has days, change rates as percentages), 'transicoes' (top-k edges
+    'a → b: n'), 'estacionario' ('state: p' with four decimals, by p descending, or the line that it
+    cannot be computed).  No rows give one line that says so.
     """
-    s = returns_summary(ret_c)
-    pct = lambda c: F.concat(F.format_number(F.col(c) * 100, 2), F.lit("%"))
-    two = lambda c: F.format_number(F.col(c), 2)
-    from ..functions.text import ptbr_int
-
-    lines = s.select(F.explode(F.array(
+    s = returns_summary(ret_c).withColumn("estados", steady.agg(F.count(F.lit(1)).alias("c")).select("c").scalar())
+    fixed = lambda c: F.replace(F.format_number(c, 2), F.lit(","), F.lit(""))
+    days = lambda c: F.concat(F.coalesce(F.when(~F.isnan(c), fixed(F.col(c))), F.lit("nan")), F.lit(" dias"))
+    pct = lambda c: F.concat(fixed(F.col(c) * 100), F.lit("%"))
+    line = lambda secao, ordem, text: F.struct(
+        F.lit(secao).alias("secao"), F.lit(ordem).alias("ordem"), text.alias("linha"))
+    resumo = [
+        F.lit(K.TITULO_RESUMO), F.lit(""),
         F.concat(F.lit("Registros filtrados: "), ptbr_int("registros")),
         F.concat(F.lit("Pessoas únicas: "), ptbr_int("pessoas")),
-        F.concat(F.lit("Tempo médio de retorno: "), F.replace(two("media_dias"), F.lit(","), F.lit("")), F.lit(" dias")),
-        F.concat(F.lit("Mediana do retorno: "), F.replace(two("mediana_dias"), F.lit(","), F.lit("")), F.lit(" dias")),
+        F.concat(F.lit("Tempo médio de retorno: "), days("media_dias")),
+        F.concat(F.lit("Mediana do retorno: "), days("mediana_dias")),
         F.concat(F.lit("Taxa de mudança de cargo: "), pct("tx_mudou_cargo")),
         F.concat(F.lit("Taxa de mudança de órgão: "), pct("tx_mudou_orgao")),
-    )).alias("linha")).withColumn("ordem", F.monotonically_increasing_id())
-    w_lines = Window.orderBy("ordem")  # six rows
-    stats = lines.select(F.lit("resumo").alias("secao"), F.row_number().over(w_lines).alias("ordem"), "linha")
+        F.lit("")]
+    lines = [line("resumo", i, t) for i, t in enumerate(resumo, 1)]
+    lines += [line("transicoes", 1, F.lit(K.TITULO_TRANSICOES)),
+              line("estacionario", 1, F.lit("")), line("estacionario", 2, F.lit(K.TITULO_ESTACIONARIO))]
+    no_steady = F.array(line("estacionario", 3, F.lit(K.NAO_CALCULAVEL)))
+    shown = F.when(F.col("registros") == 0, F.array(line("resumo", 1, F.lit(K.SEM_DADOS)))).when(
+        F.col("estados") == 0, F.concat(F.array(*lines), no_steady)).otherwise(F.array(*lines))
+    stats = s.select(F.inline(shown))
     order = [F.desc("n"), F.asc("evento"), F.asc("prox_evento")]
     top = trans.orderBy(*order).limit(top_k)
-    tops = top.select(F.lit("transicoes").alias("secao"), F.row_number().over(Window.orderBy(*order)).alias("ordem"),
+    tops = top.select(F.lit("transicoes").alias("secao"), (F.row_number().over(Window.orderBy(*order)) + 1).alias("ordem"),
                       F.concat_ws("", "evento", F.lit(" → "), "prox_evento", F.lit(": "), F.col("n").cast("string"))
                       .alias("linha"))
     st_order = [F.desc("prob"), F.asc("evento")]
     sts = steady.select(F.lit("estacionario").alias("secao"),
-                        F.row_number().over(Window.orderBy(*st_order)).alias("ordem"),
+                        (F.row_number().over(Window.orderBy(*st_order)) + 2).alias("ordem"),
                         F.concat("evento", F.lit(": "), F.format_number(F.col("prob"), 4)).alias("linha"))
     return stats.unionByName(tops).unionByName(sts)

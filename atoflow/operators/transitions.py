@@ -67,13 +67,16 @@ def top_transitions(trans: DataFrame, k: int = K.TOP_N_TRANSICOES) -> DataFrame:
 
 def transitions_by_year(ret_c: DataFrame, k: int = K.TOP_N_TRANSICOES) -> DataFrame:
     """Top-k transitions per appointment year; each year's sequences are built only from that
-    year's rows.  (ano, evento, prox_evento, n, rank)."""
+    year's rows.  (ano, evento, prox_evento, n, rank, source, target).
+
+    The node ordinals run over the sorted labels of all years' top edges (k rows a year, one row here)."""
     ev = return_events(ret_c.filter(F.col("ano").isNotNull()), extra=["ano"])
     bucket, coarser = day_and_id_block(F.unix_date(F.col("data")), "mov_id")
     seq = next_event(ev, ["ano", "pessoa"], ["data", "mov_id", "ord"], bucket, coarser)
     trans = transitions(seq, by=["ano"])
     w = Window.partitionBy("ano").orderBy(F.desc("n"), F.asc("evento"), F.asc("prox_evento"))
-    return trans.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = trans.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return _with_ordinals(top, ["ano", "evento", "prox_evento", "n", "rank"])
 
 
 def states(trans: DataFrame) -> DataFrame:
@@ -105,12 +108,17 @@ def sankey_edges(trans: DataFrame, k: int = K.TOP_N_TRANSICOES) -> DataFrame:
     labels and ordinals are array functions on that single row.
     """
     top = trans.orderBy(F.desc("n"), F.asc("evento"), F.asc("prox_evento")).limit(k)
-    one = top.agg(F.collect_list(F.struct("evento", "prox_evento", "n")).alias("e"))
+    return _with_ordinals(top, ["evento", "prox_evento", "n"])
+
+
+def _with_ordinals(edges: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of a bounded list of edges, and the ordinals of their ends over its sorted labels."""
+    one = edges.agg(F.collect_list(F.struct(*columns)).alias("e"))
     labels = F.array_sort(F.array_distinct(F.concat(F.transform("e", lambda x: x["evento"]),
                                                     F.transform("e", lambda x: x["prox_evento"]))))
     one = one.select(F.explode("e").alias("x"), labels.alias("labels"))
     return one.select(
-        F.col("x.evento").alias("evento"), F.col("x.prox_evento").alias("prox_evento"), F.col("x.n").alias("n"),
+        *(F.col(f"x.{c}").alias(c) for c in columns),
         (F.array_position("labels", F.col("x.evento")) - 1).cast("int").alias("source"),
         (F.array_position("labels", F.col("x.prox_evento")) - 1).cast("int").alias("target"))
 

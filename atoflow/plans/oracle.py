@@ -237,16 +237,18 @@ SQUARE_BODY = "SELECT s AS evento, round(x / (SELECT sum(x) FROM pi), 6) AS prob
 
 REPORT_BODY = (
     "SELECT 'resumo' AS secao, CAST(k AS INTEGER) AS ordem, linha FROM (VALUES "
-    "(1, (SELECT 'Registros filtrados: ' || " + "replace(format('{:,}', count(*)), ',', '.') FROM ret_c)), "
-    "(2, (SELECT 'Pessoas únicas: ' || replace(format('{:,}', count(DISTINCT pessoa)), ',', '.') FROM ret_c)), "
-    "(3, (SELECT 'Tempo médio de retorno: ' || printf('%.2f', avg(CAST(dias_desde_exoneracao AS DOUBLE))) || ' dias' FROM ret_c)), "
-    "(4, (SELECT 'Mediana do retorno: ' || printf('%.2f', median(CAST(dias_desde_exoneracao AS DOUBLE))) || ' dias' FROM ret_c)), "
-    "(5, (SELECT 'Taxa de mudança de cargo: ' || printf('%.2f', avg(CAST(mudou_cargo AS DOUBLE)) * 100) || '%' FROM ret_c)), "
-    "(6, (SELECT 'Taxa de mudança de órgão: ' || printf('%.2f', avg(CAST(mudou_orgao AS DOUBLE)) * 100) || '%' FROM ret_c))"
+    "(1, 'RESUMO ANALÍTICO'), (2, ''), (9, ''), (3, (SELECT 'Registros filtrados: ' || " + "replace(format('{:,}', count(*)), ',', '.') FROM ret_c)), "
+    "(4, (SELECT 'Pessoas únicas: ' || replace(format('{:,}', count(DISTINCT pessoa)), ',', '.') FROM ret_c)), "
+    "(5, (SELECT 'Tempo médio de retorno: ' || printf('%.2f', avg(CAST(dias_desde_exoneracao AS DOUBLE))) || ' dias' FROM ret_c)), "
+    "(6, (SELECT 'Mediana do retorno: ' || printf('%.2f', median(CAST(dias_desde_exoneracao AS DOUBLE))) || ' dias' FROM ret_c)), "
+    "(7, (SELECT 'Taxa de mudança de cargo: ' || printf('%.2f', avg(CAST(mudou_cargo AS DOUBLE)) * 100) || '%' FROM ret_c)), "
+    "(8, (SELECT 'Taxa de mudança de órgão: ' || printf('%.2f', avg(CAST(mudou_orgao AS DOUBLE)) * 100) || '%' FROM ret_c))"
     ") v(k, linha) "
-    "UNION ALL SELECT 'transicoes', CAST(row_number() OVER (ORDER BY n DESC, evento, prox_evento) AS INTEGER), "
+    "UNION ALL SELECT * FROM (VALUES ('transicoes', 1, 'Top transições:'), ('estacionario', 1, ''), "
+    "('estacionario', 2, 'Estado estacionário:')) h "
+    "UNION ALL SELECT 'transicoes', CAST(row_number() OVER (ORDER BY n DESC, evento, prox_evento) + 1 AS INTEGER), "
     "evento || ' → ' || prox_evento || ': ' || CAST(n AS VARCHAR) FROM (SELECT * FROM trans ORDER BY n DESC, evento, prox_evento LIMIT 10) "
-    "UNION ALL SELECT 'estacionario', CAST(row_number() OVER (ORDER BY p DESC, s) AS INTEGER), s || ': ' || printf('%.4f', p) "
+    "UNION ALL SELECT 'estacionario', CAST(row_number() OVER (ORDER BY p DESC, s) + 2 AS INTEGER), s || ': ' || printf('%.4f', p) "
     "FROM (SELECT s, round(x / (SELECT sum(x) FROM pi), 6) AS p FROM pi)")
 
 TOP30 = "top AS (SELECT * FROM trans ORDER BY n DESC, evento, prox_evento LIMIT 30)"
@@ -262,6 +264,8 @@ def oracle_sql(slice_filters, choice_state: str = "", choice_selected=()) -> dic
            "count(*) FILTER (WHERE tipo_ato = 'nomeacao') AS nomeacoes, "
            "count(*) FILTER (WHERE tipo_ato = 'nomeacao') - count(*) FILTER (WHERE tipo_ato = 'exoneracao') AS saldo, "
            "count(DISTINCT pessoa) AS pessoas FROM mov_c")
+    cards = ("atos", "atos_governador", "atos_secretarias", "exoneracoes", "nomeacoes", "saldo", "pessoas")
+    with_texts = lambda sql: "SELECT *, " + ", ".join(f"{ptbr(c)} AS {c}_txt" for c in cards) + f" FROM ({sql})"
     choices = " UNION ALL ".join(
         [f"SELECT 'estado' AS filtro, CAST(estado AS VARCHAR) AS valor FROM mov_c"]
         + [f"SELECT '{k}', CAST({k} AS VARCHAR) FROM {t}" for k in ("ano", "orgao", "representante_origem")
@@ -309,15 +313,18 @@ def oracle_sql(slice_filters, choice_state: str = "", choice_selected=()) -> dic
             f"SELECT DISTINCT CAST(representante_origem AS VARCHAR) AS valor, "
             f"CAST(representante_origem AS VARCHAR) IN {_in(choice_selected)} AS selecionado FROM mov_c "
             f"WHERE estado = {_q(choice_state)} AND representante_origem IS NOT NULL"),
-        "kpi_cards": with_base(kpi),
-        "kpi_cards_slice": with_base(kpi + f" WHERE {where}"),
+        "kpi_cards": with_base(with_texts(kpi)),
+        "kpi_cards_slice": with_base(with_texts(kpi + f" WHERE {where}")),
         "slice_reading": with_base(
+            f"SELECT *, {ptbr('registros')} AS registros_txt, {ptbr('pessoas')} AS pessoas_txt, "
+            "replace(governo_top || format(' ({:,})', governo_top_total), ',', '.') AS governo_top_txt, "
+            "replace(orgao_top || format(' ({:,})', orgao_top_total), ',', '.') AS orgao_top_txt FROM ("
             "SELECT CASE WHEN lo IS NULL THEN 'sem periodo' WHEN lo = hi THEN CAST(lo AS VARCHAR) "
             "ELSE CAST(lo AS VARCHAR) || '-' || CAST(hi AS VARCHAR) END AS periodo, registros, pessoas, "
             "coalesce((SELECT l FROM g), 'Nao identificado') AS governo_top, coalesce((SELECT n FROM g), 0) AS governo_top_total, "
             "coalesce((SELECT l FROM o), 'Nao identificado') AS orgao_top, coalesce((SELECT n FROM o), 0) AS orgao_top_total, "
             "saldo, direcao, " + ptbr("saldo") + " || ' (' || direcao || ')' AS saldo_txt FROM "
-            "(SELECT *, CASE WHEN saldo >= 0 THEN 'mais entradas que saidas' ELSE 'mais saidas que entradas' END AS direcao FROM b)",
+            "(SELECT *, CASE WHEN saldo >= 0 THEN 'mais entradas que saidas' ELSE 'mais saidas que entradas' END AS direcao FROM b))",
             "g AS (SELECT representante_origem AS l, count(*) AS n FROM mov_c WHERE representante_origem IS NOT NULL "
             "GROUP BY 1 ORDER BY n DESC, l LIMIT 1),\n"
             f"o AS (SELECT {strip('orgao')} AS l, count(*) AS n FROM mov_c WHERE orgao IS NOT NULL AND {strip('orgao')} <> '' "
@@ -388,12 +395,15 @@ def oracle_sql(slice_filters, choice_state: str = "", choice_selected=()) -> dic
             "SELECT evento, prox_evento, n, CAST(row_number() OVER (ORDER BY n DESC, evento, prox_evento) AS INTEGER) AS rank "
             "FROM trans QUALIFY rank <= 30", RET_SEQ),
         "transitions_by_year_top30": with_base(
-            "SELECT ano, evento, prox_evento, n, CAST(row_number() OVER (PARTITION BY ano ORDER BY n DESC, evento, prox_evento) "
-            "AS INTEGER) AS rank FROM t QUALIFY rank <= 30",
+            "SELECT y.*, a.idx AS source, b.idx AS target FROM y JOIN lab a ON a.s = y.evento JOIN lab b ON b.s = y.prox_evento",
             _ret_events(", ano") + ",\n"
             "seq AS (SELECT ano, evento, lead(evento) OVER (PARTITION BY ano, pessoa ORDER BY data, mov_id, ord) AS prox_evento "
             "FROM ev WHERE data IS NOT NULL AND pessoa IS NOT NULL AND ano IS NOT NULL),\n"
-            "t AS (SELECT ano, evento, prox_evento, count(*) AS n FROM seq WHERE prox_evento IS NOT NULL GROUP BY ALL)"),
+            "t AS (SELECT ano, evento, prox_evento, count(*) AS n FROM seq WHERE prox_evento IS NOT NULL GROUP BY ALL),\n"
+            "y AS (SELECT ano, evento, prox_evento, n, CAST(row_number() OVER (PARTITION BY ano ORDER BY n DESC, evento, prox_evento) "
+            "AS INTEGER) AS rank FROM t QUALIFY rank <= 30),\n"
+            "lab AS (SELECT s, CAST(row_number() OVER (ORDER BY s) - 1 AS INTEGER) AS idx FROM "
+            "(SELECT evento AS s FROM y UNION SELECT prox_evento FROM y))"),
         "transition_matrix": with_base("SELECT evento, prox_evento, n, round(p, 9) AS p, printf('%.2f', p) AS p_txt FROM m",
                                        RET_SEQ + ",\n" + MATRIX),
         "event_transition_matrix": with_base("SELECT evento, prox_evento, n, round(p, 9) AS p, printf('%.2f', p) AS p_txt FROM m",

@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +48,10 @@ def complete_states(spark: SparkSession, root: str) -> list[tuple[str, str]]:
 
 
 def state_from_path(path_col: Column | None = None) -> Column:
-    """Upper-cased name of the file's parent folder."""
+    """Upper-cased name of the folder that holds the input, be it one file or a folder of part files."""
     p = path_col if path_col is not None else F.col("_metadata.file_path")
-    return F.upper(F.regexp_extract(p, r"/([^/]+)/[^/]+$", 1))
+    names = "|".join(re.escape(n) for n in (K.ARQUIVO_MOVIMENTACOES, K.ARQUIVO_RETORNOS))
+    return F.upper(F.regexp_extract(p, rf"/([^/]+)/(?:{names})(?:/[^/]+)?$", 1))
 
 
 def read_movements(spark: SparkSession, dirs: list[str]) -> DataFrame:
