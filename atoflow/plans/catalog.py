@@ -19,7 +19,7 @@ from ..operators.cleanse import clean_movements, clean_returns
 from ..operators.filters import Filters, filter_choices, representative_choices, slice_movements
 from ..session import materialize
 from ..operators.roles import document_roles
-from ..sources import fixtures
+from ..sources import fixtures, states
 from ..sources.tables import table
 from . import oracle as O
 
@@ -34,6 +34,9 @@ SLICE = Filters(estado="EUROPE", anos=(1996, 1997, 1998),
                 tipos=(K.NOMEACAO, K.EXONERACAO))
 
 
+# Three representatives: the adaptive timeline is monthly.
+FEW = ("Sergio Cabral (Executivo estadual)", "Rodrigo Bacellar (ALERJ)", "Nao identificado (Nao identificado)")
+
 # The representative filter's state and current selection exercised by ``representative_choices``.
 CHOICE_STATE = "AMERICA"
 CHOICE_SELECTED = ("Sergio Cabral (Executivo estadual)", "Ninguem (Nao identificado)")
@@ -76,6 +79,22 @@ def _short_labels(spark, sf):
                     rotulo_governo_curto("governador_edicao").alias("rotulo_governo_curto"))
 
 
+def _agencies_as_sectors(spark, sf):
+    """All movements with the agency in the representative's place, so that every origin is a sector."""
+    return mov_c(spark, sf).withColumns({"representante_origem": F.col("orgao"), "origem_representante": F.lit(K.EIXO_SETOR)})
+
+
+def _scan_states(spark, sf):
+    """Both cleaned tables read back from per-state folders (two files each, one state incomplete)."""
+    ret, mov = states.reload(spark, fixtures.state_folders(spark, sf))
+    none = lambda t, *names: [F.lit(None).cast(t).alias(n) for n in names]
+    common = ["estado", "pessoa", "tipo_ato", "orgao", "autoridade_assinante", "ano", "representante_origem"]
+    return mov.select(F.lit("movimentacoes").alias("tabela"), *common, F.col("data_movimentacao").alias("data"),
+                      *none("date", "data_exoneracao"), *none("int", "dias_desde_exoneracao"), *none("string", "estado_N")).unionByName(
+        ret.select(F.lit("retornos").alias("tabela"), *common, F.col("data_nomeacao").alias("data"),
+                   "data_exoneracao", "dias_desde_exoneracao", "estado_N"))
+
+
 def _round(df: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, F.round(F.col(c), digits))
@@ -124,6 +143,10 @@ SPARK: dict[str, Builder] = {
     "sankey_edges": lambda s, sf: transitions.sankey_edges(_ret_trans(s, sf)),
     "node_degree": lambda s, sf: transitions.node_degree(_ret_trans(s, sf)),
     "short_labels": _short_labels,
-    "document_roles": lambda s, sf: document_roles(table(s, sf, "documents").select(
-        F.col("doc_id"), F.col("text"))),
+    "document_roles": lambda s, sf: document_roles(fixtures.gazette(s, sf)),
+    "scan_states": _scan_states,
+    "sector_flow_auto": lambda s, sf: flows.government_flow(_agencies_as_sectors(s, sf)),
+    "sector_balance_auto": lambda s, sf: flows.government_balance(_agencies_as_sectors(s, sf)),
+    "government_timeline_few": lambda s, sf: timelines.government_timeline(
+        slice_movements(mov_c(s, sf), Filters(representantes=FEW)), grain="auto"),
 }

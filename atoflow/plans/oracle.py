@@ -8,7 +8,7 @@ against a separate implementation of the same semantics.
 from __future__ import annotations
 
 from .. import constants as K
-from ..sources.fixtures import MOV_SQL
+from ..sources.fixtures import GAZETTE_SQL, MOV_SQL, STATE_FLAGS
 
 
 def _q(s: str) -> str:
@@ -158,13 +158,17 @@ def _signed(q: str) -> str:
     return f"CASE WHEN tipo_ato = {_q(K.EXONERACAO)} THEN -{q} ELSE {q} END"
 
 
-def _flow_sql(force: str | None) -> str:
-    axis = _q(force) if force else _axis_sql()
+SETORES = ("setores AS (SELECT * REPLACE (orgao AS representante_origem, "
+           f"{_q(K.EIXO_SETOR)} AS origem_representante) FROM mov_c),\n")
+
+
+def _flow_sql(force: str | None, src: str = "mov_c", first: str = "") -> str:
+    axis = _q(force) if force else _axis_sql(src)
     return with_base(
         "SELECT representante_origem, tipo_ato, quantidade, fluxo, rotulo, peso_ordem FROM b "
         f"WHERE {axis} <> {_q(K.EIXO_SETOR)} OR representante_origem IN "
         f"(SELECT representante_origem FROM w ORDER BY peso_ordem DESC, representante_origem DESC LIMIT {K.TOP_N_SETOR})",
-        "b0 AS (SELECT representante_origem, tipo_ato, count(*) AS quantidade FROM mov_c "
+        first + f"b0 AS (SELECT representante_origem, tipo_ato, count(*) AS quantidade FROM {src} "
         "WHERE representante_origem IS NOT NULL AND tipo_ato IS NOT NULL GROUP BY ALL),\n"
         f"b AS (SELECT *, {_signed('quantidade')} AS fluxo, {ptbr('quantidade')} AS rotulo, "
         "CAST(sum(quantidade) OVER (PARTITION BY representante_origem) AS BIGINT) AS peso_ordem FROM b0),\n"
@@ -176,14 +180,14 @@ _COUNTS = ("cnt AS (SELECT representante_origem, count(*) FILTER (WHERE tipo_ato
            "WHERE representante_origem IS NOT NULL AND tipo_ato IS NOT NULL GROUP BY 1)")
 
 
-def _balance_sql(force: str | None) -> str:
-    axis = _q(force) if force else _axis_sql()
+def _balance_sql(force: str | None, src: str = "mov_c", first: str = "") -> str:
+    axis = _q(force) if force else _axis_sql(src)
     return with_base(
         f"SELECT representante_origem, exoneracao, nomeacao, saldo, "
         f"CASE WHEN saldo >= 0 THEN {_q(K.MAIS_ENTRADAS)} ELSE {_q(K.MAIS_SAIDAS)} END AS cor, {ptbr('saldo')} AS saldo_txt "
         f"FROM bal WHERE {axis} <> {_q(K.EIXO_SETOR)} OR representante_origem IN "
         f"(SELECT representante_origem FROM bal ORDER BY abs(saldo) DESC, representante_origem DESC LIMIT {K.TOP_N_SETOR})",
-        _COUNTS + ",\nbal AS (SELECT *, nomeacao - exoneracao AS saldo FROM cnt)")
+        first + _COUNTS.replace("mov_c", src) + ",\nbal AS (SELECT *, nomeacao - exoneracao AS saldo FROM cnt)")
 
 
 def _ret_events(extra: str = "") -> str:
@@ -254,7 +258,52 @@ REPORT_BODY = (
 TOP30 = "top AS (SELECT * FROM trans ORDER BY n DESC, evento, prox_evento LIMIT 30)"
 
 
-def oracle_sql(slice_filters, choice_state: str = "", choice_selected=()) -> dict[str, str]:
+_PHRASE = r"GOVERNADOR\s+EM\s+EXERC(?:\S*CIO|Ã)"
+
+
+def _roles_sql() -> str:
+    """Lines of the windows around each acting phrase, read in order of search (k: phrase, w: window)."""
+    names = ", ".join(f"({i}, {_q(n)}, {_q(label)})" for i, (n, label) in enumerate(K.NOMES_ASSINATURA)
+                      if "‰" not in n)  # not a letter: no cleaned line can end with that spelling
+
+    def holder(x: str) -> str:
+        return "CASE " + " ".join(f"WHEN contains({x}, {_q(n)}) THEN {_q(label)}" for n, label in K.NOMES_CARGO) + " END"
+
+    return rf"""
+WITH d AS (SELECT doc_id, upper(text) AS u FROM ({GAZETTE_SQL.format(documents='documents')})),
+cuts AS (SELECT doc_id, u, string_split_regex(u, '{_PHRASE}') AS gap, regexp_extract_all(u, '{_PHRASE}') AS hit FROM d),
+hits AS (SELECT doc_id, u, k, hit[k] AS phrase,
+                CAST(list_sum(list_transform(gap[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hit[1:k - 1], lambda h: length(h))), 0) AS BIGINT) AS ahead
+         FROM (SELECT *, unnest(range(1, len(hit) + 1)) AS k FROM cuts)),
+sides AS (SELECT *, substr(u, 1, ahead) AS head, substr(u, ahead + length(phrase) + 1) AS tail FROM hits),
+parts AS (SELECT *, string_split(head, chr(10))[-1] AS opened, string_split(tail, chr(10))[1] AS closed FROM sides),
+windows AS (
+  SELECT doc_id, k, 1 AS w, opened || phrase || closed AS area FROM parts
+  UNION ALL SELECT doc_id, k, 2, right(left(head, length(head) - length(opened)), 300) FROM parts
+            WHERE NOT regexp_matches(opened || phrase || closed, '\b(ATOS?|DESPACHOS?|DECRETOS?|EXPEDIENTE)\b')
+  UNION ALL SELECT doc_id, k, 3, left(tail, 5000) FROM parts),
+lines AS (SELECT doc_id, k, w, p, string_split_regex(area, '[\n\r\x0b\x0c]')[p] AS line
+          FROM (SELECT *, unnest(range(1, len(string_split_regex(area, '[\n\r\x0b\x0c]')) + 1)) AS p FROM windows)),
+read AS (SELECT *, ' ' || trim(regexp_replace(regexp_replace(line,
+           '\bID\s*:?\s*\d.*$|\b(VICE-)?GOVERNADOR(\s+EM\s+EXERC\S*CIO)?\b', ' ', 'g'), '[^A-ZÀ-Ü]+', ' ', 'g')) AS clean FROM lines),
+signed AS (SELECT doc_id, first(label ORDER BY k, w, p, i) AS label
+           FROM read JOIN (VALUES {names}) n(i, name, label) ON ends_with(clean, ' ' || name) GROUP BY doc_id),
+acting AS (SELECT DISTINCT doc_id FROM hits),
+heads AS (SELECT doc_id, replace(left(u, 15000), 'VICE-GOVERNADOR', 'VICE-#') AS pre FROM d),
+named AS (SELECT doc_id,
+  regexp_replace(regexp_extract(pre, '(?s)GOVERNADOR\s+(.{{3,120}}?)(?:\s+VICE-#|\n|$)', 1), '\s+', ' ', 'g') AS governor,
+  regexp_replace(regexp_extract(pre, '(?s)VICE-#\s+(.{{3,120}}?)(?:\s+(?:ÓRG|Ã“RG|GOVERNO DO ESTADO|ATOS DO)|\n|$)', 1), '\s+', ' ', 'g') AS vice
+  FROM heads)
+SELECT d.doc_id, coalesce(
+  coalesce(signed.label, CASE WHEN acting.doc_id IS NOT NULL THEN {holder('vice')} END) || ' - Governador em exercício',
+  {holder('governor')} || ' - Governador', {_q(K.NAO_IDENTIFICADO)}) AS governador_edicao
+FROM d JOIN named USING (doc_id) LEFT JOIN signed USING (doc_id) LEFT JOIN acting USING (doc_id)"""
+
+
+ROLES_SQL = _roles_sql()
+
+
+def oracle_sql(slice_filters, choice_state: str = "", choice_selected=(), few=()) -> dict[str, str]:
     f = slice_filters
     where = (f"estado = {_q(f.estado)} AND ano IN {_in(f.anos)} AND representante_origem IN {_in(f.representantes)} "
              f"AND autoria_ato IN {_in(f.autorias)} AND tipo_ato IN {_in(f.tipos)} AND orgao IN {_in(f.orgaos)}")
@@ -363,6 +412,20 @@ def oracle_sql(slice_filters, choice_state: str = "", choice_selected=()) -> dic
             "c AS (SELECT representante_origem, tipo_ato, count(*) AS quantidade FROM f GROUP BY ALL)"),
         "government_balance": _balance_sql(None),
         "sector_flow_top10": _flow_sql(K.EIXO_SETOR),
+        "sector_flow_auto": _flow_sql(None, "setores", SETORES),
+        "sector_balance_auto": _balance_sql(None, "setores", SETORES),
+        "document_roles": ROLES_SQL,
+        "scan_states": with_base(
+            "SELECT 'movimentacoes' AS tabela, estado, pessoa, tipo_ato, orgao, autoridade_assinante, ano, representante_origem, "
+            "data_movimentacao AS data, CAST(NULL AS DATE) AS data_exoneracao, CAST(NULL AS INTEGER) AS dias_desde_exoneracao, "
+            f"CAST(NULL AS VARCHAR) AS \"estado_N\" FROM mov_c WHERE estado IN {_in(STATE_FLAGS)} UNION ALL "
+            "SELECT 'retornos', estado, pessoa, tipo_ato, nullif(orgao, ''), autoridade_assinante, ano, representante_origem, "
+            f"data_nomeacao, data_exoneracao, dias_desde_exoneracao, \"estado_N\" FROM ret_c WHERE estado IN {_in(STATE_FLAGS)}"),
+        "government_timeline_few": with_base(
+            f"SELECT {month_period} AS periodo, representante_origem, tipo_ato, count(*) AS quantidade FROM few "
+            "WHERE data_movimentacao IS NOT NULL AND tipo_ato IS NOT NULL GROUP BY ALL",
+            f"few AS (SELECT * FROM mov_c WHERE representante_origem IN {_in(few)}),\n"
+            "mx AS (SELECT max(data_movimentacao) AS m FROM few)"),
         "sector_balance_top10": _balance_sql(K.EIXO_SETOR),
         "government_summary": with_base("SELECT representante_origem, exoneracao, nomeacao, nomeacao - exoneracao AS saldo, "
                                         "nomeacao + exoneracao AS atos FROM cnt", _COUNTS),

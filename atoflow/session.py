@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -61,6 +62,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def shared_folder(spark, label: str) -> str:
+    """A new path under the checkpoint directory, deleted when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/atoflow-{label}-{uuid.uuid4().hex}"
+    fs, where = _hadoop(spark, path)
+    # the file system forgets paths that do not exist yet, so the folder is made first
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def materialize(df, label: str = "table"):
     """Write ``df`` as parquet under the checkpoint directory and read it back.
 
@@ -69,13 +80,9 @@ def materialize(df, label: str = "table"):
     live in the shared checkpoint folder, so a lost executor cannot lose them; they are deleted by
     ``discard`` or when the application ends.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/atoflow-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, where = _hadoop(spark, path)
-    fs.deleteOnExit(where)
+    path = shared_folder(spark, label)
+    df.write.mode("overwrite").parquet(path)  # the folder exists, empty
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized = path
     return out

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..operators.sequences import day_and_id_block, neighbours
+from ..session import discard, materialize, shared_folder
 from .tables import table
 
 MOV_SQL = """
@@ -32,6 +34,60 @@ FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
 JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey
 """
 
+# Gazette lines by doc_id, ahead of the document's text or (every third) behind it.
+GAZETTE_SQL = """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(coalesce(text, ''), chr(10), linhas) ELSE concat(linhas, chr(10), coalesce(text, '')) END AS text
+FROM (SELECT doc_id, text, CASE doc_id % 14
+  WHEN 0 THEN concat('DIARIO OFICIAL', chr(10), 'THIAGO PAMPOLHA GOVERNADOR EM EXERCICIO', chr(10), 'FIM')
+  WHEN 1 THEN concat('ATOS DO PODER EXECUTIVO', chr(10), 'RODRIGO BACELLAR', chr(10), 'GOVERNADOR EM EXERCÍCIO')
+  WHEN 2 THEN concat('DESPACHOS DO GOVERNADOR EM EXERCICIO', chr(10), 'NOMEIA FULANO', chr(10), chr(10), 'RICARDO COUTO', chr(10), 'ID 123')
+  WHEN 3 THEN concat('GOVERNADOR EM EXERCICIO DO ESTADO', chr(10), 'VICE-GOVERNADOR THIAGO PAMPOLHA ATOS DO DIA')
+  WHEN 4 THEN 'GOVERNADOR CLAUDIO BOMFIM DE CASTRO E SILVA VICE-GOVERNADOR THIAGO PAMPOLHA'
+  WHEN 5 THEN concat('ATOS DO GOVERNADOR EM EXERCICIO', chr(10), repeat('X', 6000), chr(10), 'GOVERNADOR  EM EXERCÍCIO', chr(10), 'THIAGO PAMPOLHA')
+  WHEN 6 THEN concat('RODRIGO BACELLAR', chr(10), repeat('X ', 200), chr(10), 'GOVERNADOR EM EXERCICIO')
+  WHEN 7 THEN concat('RODRIGO BACELLAR', chr(10), 'DECRETO DO GOVERNADOR EM EXERCICIO')
+  WHEN 8 THEN 'O Governador Sérgio Cabral'
+  WHEN 9 THEN concat('GOVERNADOR EM EXERCICIO', chr(10), '- CLÁUDIO  CASTRO - GOVERNADOR EM EXERCICIO ID: 4 5 x')
+  WHEN 10 THEN concat(repeat('Y', 14990), chr(10), 'GOVERNADOR WILSON JOSE WITZEL')
+  WHEN 11 THEN concat('Governador Wilson José Witzel', chr(10), 'Governador em exercício', chr(10), 'XRICARDO COUTO')
+  WHEN 12 THEN concat('GOVERNADOR EM EXERCICIO', chr(10), repeat('Z', 5100), chr(10), 'LUIZ FERNANDO DE SOUZA')
+  ELSE '' END AS linhas FROM {documents})
+"""
+
+
+def gazette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, text): every document with the gazette lines that its id picks."""
+    return spark.sql(GAZETTE_SQL, documents=table(spark, sf_dir, "documents"))
+
+
+#: Complete states and how their files write the change flags; one more state has no returns file.
+STATE_FLAGS = {"EUROPE": ("True", "False"), "ASIA": ("1", "0"), "AMERICA": ("sim", "nao")}
+INCOMPLETE_STATE = "AFRICA"
+
+
+def state_folders(spark: SparkSession, sf_dir: str) -> str:
+    """Write the per-state input layout from the movements and returns views; returns its root.
+
+    The folder lies under the session's checkpoint folder and is deleted when the application ends.
+    Both tables are computed once; each state's files are folders of part files.
+    """
+    root = shared_folder(spark, "states")
+    mov, ret = materialize(movements(spark, sf_dir), "mov"), materialize(returns(spark, sf_dir), "ret")
+    for state in (*STATE_FLAGS, INCOMPLETE_STATE):
+        here = f"{root}/{state.lower()}"
+        mov.filter(F.col("estado") == state).select(*K.COLUNAS_MOVIMENTACAO, F.lit("x").alias("outra")).write.parquet(
+            f"{here}/{K.ARQUIVO_MOVIMENTACOES}")
+        if state in STATE_FLAGS:
+            yes, no = STATE_FLAGS[state]
+            flags = {c: F.when(F.col(c) == "sim", F.lit(yes)).when(F.col(c) == "nao", F.lit(no))
+                     for c in ("mudou_cargo_desde_exoneracao", "mudou_orgao_desde_exoneracao")}
+            (ret.filter(F.col("estado") == state).withColumns(flags).select(*K.COLUNAS_RETORNO).write
+             .option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+             .csv(f"{here}/{K.ARQUIVO_RETORNOS}"))
+    discard(mov)
+    discard(ret)
+    return root
+
 
 def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw movements: mov_id, estado, nome_normalizado, data_publicacao, tipo_ato, orgao,

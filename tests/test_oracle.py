@@ -48,7 +48,7 @@ def test_matches_oracle(spark, con, name):
 
 def test_every_query_registered_with_oracle_or_listed():
     no_oracle = set(catalog.SPARK) - set(ORACLE)
-    assert no_oracle == {"document_roles"}
+    assert no_oracle == set()
     assert set(ORACLE) <= set(E.queries())
 
 

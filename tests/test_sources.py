@@ -84,3 +84,12 @@ def test_missing_movement_column_is_an_error(spark, scratch):
     pd.read_parquet(path).drop(columns="tipo_ato").to_parquet(path)
     with pytest.raises(ValueError):
         states.reload(spark, scratch)
+
+
+def test_part_files_keep_the_state_of_the_folder_above(spark, scratch):
+    write_state(scratch, "rj")
+    d = os.path.join(scratch, "rj2")
+    whole = spark.read.parquet(os.path.join(scratch, "rj", "movimentacoes_pessoas.parquet"))
+    whole.repartition(3).write.parquet(os.path.join(d, "movimentacoes_pessoas.parquet"))
+    got = states.read_movements(spark, [os.path.join(scratch, "rj"), d]).groupBy("estado").count().collect()
+    assert {r["estado"]: r["count"] for r in got} == {"RJ": 3, "RJ2": 3}
