@@ -16,13 +16,6 @@ def signed(quantidade: Column | str, tipo: Column | str = "tipo_ato") -> Column:
     return F.when(t == K.EXONERACAO, -q).otherwise(q)
 
 
-def axis_mode(df: DataFrame) -> Column:
-    """'Setor' iff the only distinct non-null origin is 'Setor', else 'Governo' (scalar subquery)."""
-    one = (df.filter(F.col("origem_representante").isNotNull())
-             .agg(F.bool_and(F.col("origem_representante") == K.EIXO_SETOR).alias("s")))
-    return F.when(F.coalesce(one.select("s").scalar(), F.lit(False)), F.lit(K.EIXO_SETOR)).otherwise(F.lit(K.EIXO_GOVERNO))
-
-
 def _kept(base: DataFrame, weight: str, eixo: str | None, k: int) -> DataFrame:
     """Rows of the small per-label table ``base`` that an axis shows: all, or in 'Setor' mode those of
     the ``k`` labels with the largest weight (ties: the later label).

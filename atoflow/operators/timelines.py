@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.labels import rotulo_representante_curto
 from ..functions.text import ptbr_int, split_once, ustrip
-from .flows import axis_mode
 
 
 def acts_by_month(df: DataFrame) -> DataFrame:
@@ -19,14 +18,6 @@ def acts_by_month(df: DataFrame) -> DataFrame:
                 .groupBy("mes", "tipo_ato").agg(F.count(F.lit(1)).alias("quantidade")))
 
 
-def month_end_period(df: DataFrame, date_col: str = "data_movimentacao") -> Column:
-    """Month end, except in the slice's latest month: (latest date + 1 day).  The latest date is a
-    scalar subquery (one value), not a join."""
-    max_d = df.filter(F.col(date_col).isNotNull()).agg(F.max(date_col).alias("m")).select("m").scalar()
-    d = F.col(date_col)
-    return F.when(F.trunc(d, "MM") == F.trunc(max_d, "MM"), F.date_add(max_d, 1)).otherwise(F.last_day(d))
-
-
 def government_timeline(df: DataFrame, grain: str = "auto") -> DataFrame:
     """(periodo, representante_origem, tipo_ato, quantidade).
 
@@ -38,22 +29,26 @@ def government_timeline(df: DataFrame, grain: str = "auto") -> DataFrame:
     if grain == "auto":
         n = base.agg(F.countDistinct("representante_origem").alias("n")).first()["n"]
         grain = "month" if n <= K.ADAPTIVE_MONTH_MAX_GROUPS else "year"
-    periodo = month_end_period(base) if grain == "month" else F.year("data_movimentacao")
-    return (base.filter(F.col("representante_origem").isNotNull() & F.col("tipo_ato").isNotNull())
-                .withColumn("periodo", periodo)
-                .groupBy("periodo", "representante_origem", "tipo_ato").agg(F.count(F.lit(1)).alias("quantidade")))
-
-
-def _ordered_distinct_join(df: DataFrame, keys: list[str], value: str, pos: str, out: str) -> DataFrame:
-    """Distinct non-empty values per group, in first-seen order (by ``pos``), joined by ' / '.
-
-    ``df`` already holds one row per (group, value, ...) with the value's first position, so only
-    distinct values are collected."""
-    firsts = (df.filter(F.col(value).isNotNull() & (F.col(value) != ""))
-                .groupBy(*keys, value).agg(F.min(pos).alias("__pos")))
-    return firsts.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__pos", value))), lambda x: x[value]), " / ")
-        .alias(out))
+    keys = ["representante_origem", "tipo_ato"]
+    known = F.col("representante_origem").isNotNull() & F.col("tipo_ato").isNotNull()
+    if grain == "year":
+        return (base.filter(known).withColumn("periodo", F.year("data_movimentacao"))
+                    .groupBy("periodo", *keys).agg(F.count(F.lit(1)).alias("quantidade")))
+    # rows without a label or type count 0 but take part in the latest date, so one table of counts
+    # serves both; each branch reads all its columns, so that its exchange is reused
+    counts = base.groupBy(F.trunc("data_movimentacao", "MM").alias("mes"), *keys).agg(
+        F.count_if(known).alias("quantidade"), F.max("data_movimentacao").alias("ultima"))
+    latest = counts.filter("quantidade >= 0").agg(F.max("ultima").alias("m")).select("m").scalar()
+    shown = counts.filter(F.col("ultima").isNotNull() & (F.col("quantidade") > 0))
+    end = F.when(F.col("mes") == F.trunc(latest, "MM"), F.date_add(latest, 1)).otherwise(F.last_day("mes"))
+    return shown.select(end.alias("periodo"), *keys, "quantidade")
+
+
+def _first_seen(seen: str, value: str) -> Column:
+    """Distinct non-empty ``value`` fields of an array in order of position, joined by ' / '."""
+    values = F.transform(F.array_sort(seen), lambda x: x[value])
+    text = F.array_join(F.array_distinct(F.filter(values, lambda v: v != "")), " / ")
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit(K.NAO_IDENTIFICADO))
 
 
 def government_series(df: DataFrame) -> DataFrame:
@@ -64,47 +59,50 @@ def government_series(df: DataFrame) -> DataFrame:
     quantidade_sinal, papeis (roles in first-seen order, '' in gaps), origem (first-seen origins;
     carried into gaps), rotulo_serie, total_governo (order key: larger first), max_quantidade.
 
-    The rows are read once, into (month, representative, type, role, origin) counts with the first
-    position of each combination; counts, role lists and origin lists all come from that table.
+    The rows are reduced to (month, representative, type, role, origin) counts with the first
+    position of each combination, then to one row per month, representative and type; totals and
+    the next month of a series come from windows over those rows, and a row is repeated for the
+    months up to its successor.  Rows without date, representative or type count 0 and only
+    take part in the axis mode.
     """
-    base = df.filter(F.col("data_movimentacao").isNotNull() & F.col("representante_governo").isNotNull()
-                     & F.col("tipo_ato").isNotNull())
-    base = base.withColumn("periodo", F.trunc("data_movimentacao", "MM"))
+    known = F.col("data_movimentacao").isNotNull() & F.col("representante_governo").isNotNull() & F.col("tipo_ato").isNotNull()
     keys = ["periodo", "representante_governo", "tipo_ato"]
     _, tail = split_once("governador_edicao", " - ")
-    base = base.withColumn("__papel", ustrip(F.coalesce(tail, F.col("governador_edicao"))))
-    combos = base.groupBy(*keys, "__papel", "origem_representante").agg(
-        F.count(F.lit(1)).alias("__n"), F.min(F.struct("data_movimentacao", "mov_id")).alias("__first"))
-
-    counts = combos.groupBy(*keys).agg(F.sum("__n").alias("quantidade"))
-    papeis = _ordered_distinct_join(combos, keys, "__papel", "__first", "papeis")
-    origens = _ordered_distinct_join(combos, keys, "origem_representante", "__first", "origem")
-    serie = (counts.join(papeis, keys, "left").join(origens, keys, "left")
-                   .fillna({"papeis": K.NAO_IDENTIFICADO, "origem": K.NAO_IDENTIFICADO}))
-
-    totals = serie.groupBy("representante_governo").agg(
-        F.sum("quantidade").alias("total_governo"),
-        F.min_by("origem", F.struct("tipo_ato", "periodo")).alias("origem_governo"))
-    max_q = serie.agg(F.max("quantidade").alias("m")).select("m").scalar()
-
-    main = serie.filter(F.col("tipo_ato").isin(K.NOMEACAO, K.EXONERACAO))
-    spans = main.groupBy("representante_governo", "tipo_ato").agg(F.min("periodo").alias("lo"), F.max("periodo").alias("hi"))
-    calendar = spans.select("representante_governo", "tipo_ato",
-                            F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("periodo"))
-    filled = calendar.join(main, keys, "left").join(totals, "representante_governo", "left")
-    eixo = axis_mode(df)
-    origem = F.coalesce(F.col("origem"), F.col("origem_governo"))
+    base = df.withColumns({"periodo": F.trunc("data_movimentacao", "MM"),
+                           "papel": ustrip(F.coalesce(tail, F.col("governador_edicao"))), "origem": F.col("origem_representante")})
+    combos = base.groupBy(*keys, "papel", "origem").agg(
+        F.count_if(known).alias("n"), F.min(F.struct("data_movimentacao", "mov_id")).alias("pos"))
+    months = combos.groupBy(*keys).agg(
+        F.sum("n").alias("quantidade"), F.collect_list(F.struct("pos", "papel", "origem")).alias("vistos"),
+        F.bool_and(F.when(F.col("origem").isNotNull(), F.col("origem") == K.EIXO_SETOR)).alias("setor"))
+    # the condition holds for every row; with it the subquery reads the same columns as the main
+    # branch and reuses its exchange
+    whole = months.filter(F.size("vistos") > 0).agg(F.struct(
+        F.max("quantidade").alias("max"), F.bool_and("setor").alias("setor")).alias("t")).select("t").scalar()
+
+    serie = months.filter((F.col("quantidade") > 0)).select(
+        *keys, "quantidade", _first_seen("vistos", "papel").alias("papeis"), _first_seen("vistos", "origem").alias("origem"))
+    rep = Window.partitionBy("representante_governo")
+    one = Window.partitionBy("representante_governo", "tipo_ato").orderBy("periodo")
+    rows = (serie.withColumns({"total_governo": F.sum("quantidade").over(rep),
+                               "origem_governo": F.min_by("origem", F.struct("tipo_ato", "periodo")).over(rep)})
+                 .filter(F.col("tipo_ato").isin(K.NOMEACAO, K.EXONERACAO))
+                 .withColumn("seguinte", F.lead("periodo").over(one)))
+    last = F.coalesce(F.add_months("seguinte", -1), F.col("periodo"))
+    filled = rows.select(F.posexplode(F.sequence("periodo", last, F.expr("INTERVAL 1 MONTH"))).alias("pos", "mes"), "*")
+    here = lambda c, gap: F.when(F.col("pos") == 0, F.col(c)).otherwise(gap)
+    filled = filled.withColumn("quantidade", here("quantidade", F.lit(None)))
     return filled.select(
-        "periodo", "representante_governo", "tipo_ato", "quantidade",
+        F.col("mes").alias("periodo"), "representante_governo", "tipo_ato", "quantidade",
         F.when(F.col("tipo_ato") == K.EXONERACAO, -F.col("quantidade")).otherwise(F.col("quantidade"))
         .alias("quantidade_sinal"),
-        F.coalesce(F.col("papeis"), F.lit("")).alias("papeis"),
-        origem.alias("origem"),
-        F.when(eixo == K.EIXO_SETOR, F.col("representante_governo"))
+        here("papeis", F.lit("")).alias("papeis"),
+        here("origem", F.col("origem_governo")).alias("origem"),
+        F.when(whole["setor"], F.col("representante_governo"))
         .otherwise(F.concat(rotulo_representante_curto("representante_governo"), F.lit(" ("),
                             F.col("origem_governo"), F.lit(")"))).alias("rotulo_serie"),
         "total_governo",
-        max_q.alias("max_quantidade"),
+        whole["max"].alias("max_quantidade"),
     )
 
 
