@@ -27,3 +27,12 @@ def test_documents_to_roles(spark, scratch):
     assert sorted(v for k, v in labels.items() if k != 3) == [
         "Rodrigo Bacellar - Governador em exercício", "Sergio Cabral - Governador"]
     assert roles.filter(F.col("governador_edicao").isNull()).count() == 0
+
+
+def test_bytes_and_newlines_as_text_mode_reads_them(spark, tmp_path):
+    raws = {"a": b"x\xff\xe2\x82Ay\r\nz\rw\n", "b": "é�".encode() + b"\xc3"}
+    for name, raw in raws.items():
+        (tmp_path / f"{name}.md").write_bytes(raw)
+    got = {r["path"][-4]: r["text"] for r in read_documents(spark, f"{tmp_path}/*.md").collect()}
+    for name, raw in raws.items():
+        assert got[name] == raw.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"), name
