@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
+import functools
 import re
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -36,9 +37,9 @@ TEMPLATES = {
 }
 #: A line with one of these words is a candidate block.
 CUE = r"(?i)licen[sc]|copyright|permission|redistribut|warrant|\bCC BY"
-#: Least share of a block's compressed size that the winning dictionary saves.
+#: Least share of a matched span's compressed size that the template's dictionary saves.
 REDUCTION = 0.1
-#: Most words of the template that may be missing from the block, as a share of its words.
+#: Most words that a matched span may lack, and most that it may put between, as a share of the template's words.
 MISSING = 0.1
 LEVEL = 3
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -53,10 +54,23 @@ class Templates:
 
     def __init__(self, templates: dict[str, str]):
         options = dict(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.words = {k: norm_words(v) for k, v in templates.items()}
+        self.words = {k: w for k, v in templates.items() if (w := norm_words(v))}
         self.plain = zstandard.ZstdCompressor(**options)
         self.given = {k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(
             " ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for k, w in self.words.items()}
+        self.slack = {k: int(MISSING * len(w)) for k, w in self.words.items()}
+        self.ids = {x: i for i, x in enumerate(sorted({x for w in self.words.values() for x in w}), 1)}
+        self.own, self.first, self.places = {}, {}, {}
+        for k, w in self.words.items():
+            own, first = np.zeros(len(self.ids) + 1, bool), np.zeros(len(self.ids) + 1, bool)
+            own[[self.ids[x] for x in w]] = True
+            first[[self.ids[x] for x in w[:self.slack[k] + 1]]] = True
+            at = [0] * (len(self.ids) + 1)
+            for i, x in enumerate(w):
+                at[self.ids[x]] |= 1 << i
+            self.own[k], self.first[k], self.places[k] = own, first, at
+        self.saved = functools.lru_cache(maxsize=1 << 16)(
+            lambda block: {k: (saved, place) for place, (saved, k) in enumerate(self.rank(block.split(" ")))})
 
     def rank(self, words: list[str]) -> list[tuple[float, str]]:
         """Templates by the share of the block's compressed size that they save, best first; ties by name."""
@@ -65,38 +79,56 @@ class Templates:
         saved = [((alone - len(c.compress(block))) / alone, k) for k, c in self.given.items()]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
-    def differences(self, words: list[str], name: str) -> tuple[int, int, int]:
-        """Template words that the block lacks, words that the block puts between them, and changed words in place.
+    def spans(self, ids: np.ndarray, name: str) -> list[tuple[int, int, int, int]]:
+        """(start, end, missing, extra) of the places that hold the template's wording, none across another.
 
-        The block's words before the first and after the last word of the template do not count.
+        A place is tried where a window of the template's length (and as many words more as it may
+        hold in between) has enough of the template's words and starts with one that can be its
+        first.  Missing and extra words are counted from the longest common subsequence of the
+        template and the span, so that the words around a span do not count.
         """
-        want = self.words[name]
-        ops = difflib.SequenceMatcher(None, want, words, autojunk=False).get_opcodes()
-        while ops and ops[0][0] == "insert":
-            ops = ops[1:]
-        while ops and ops[-1][0] == "insert":
-            ops = ops[:-1]
-        missing = sum(i2 - i1 for tag, i1, i2, _, _ in ops if tag in ("delete", "replace"))
-        extra = sum(j2 - j1 for tag, _, _, j1, j2 in ops if tag in ("insert", "replace"))
-        return missing, extra, sum(tag == "replace" for tag, *_ in ops)
+        m, slack = len(self.words[name]), self.slack[name]
+        starts = np.arange(max(len(ids) - (m - slack) + 1, 0))
+        held = np.concatenate([[0], np.cumsum(self.own[name][ids])])
+        enough = held[np.minimum(starts + m + slack, len(ids))] - held[starts] >= m - slack
+        at, full, found = self.places[name], (1 << m) - 1, []
+        for s in np.flatnonzero(enough & self.first[name][ids[starts]]).tolist():
+            left, best = full, None  # bits of template words outside the common subsequence so far
+            for n, x in enumerate(ids[s:s + m + slack].tolist(), 1):
+                hit = left & at[x]
+                left = ((left + hit) | (left - hit)) & full
+                missing = left.bit_count()
+                extra = n - (m - missing)
+                if missing <= slack and extra <= slack and (best is None or missing + extra < best[0]):
+                    best = missing + extra, s, s + n, missing, extra
+            if best:
+                found.append(best)
+        out, taken = [], np.zeros(len(ids), bool)
+        for _, s, e, missing, extra in sorted(found):
+            if not taken[s:e].any():
+                taken[s:e] = True
+                out.append((s, e, missing, extra))
+        return out
+
+    def matches(self, words: list[str]) -> list[tuple]:
+        """(key, start, end, template, reduction, missing, extra) of every confirmed wording, best key first.
+
+        The reduction is that of the matched span alone, so the words around it cannot push it
+        under ``REDUCTION``.  Fewest differences per word come first, ties by length and rank.
+        """
+        ids = np.array([self.ids.get(x, 0) for x in words], dtype=np.int64)
+        out = []
+        for name, want in self.words.items():
+            for s, e, missing, extra in self.spans(ids, name):
+                saved, place = self.saved(" ".join(words[s:e]))[name]
+                if saved >= REDUCTION:
+                    out.append((((missing + extra) / len(want), -len(want), place), s, e, name, saved, missing, extra))
+        return sorted(out)
 
     def judge(self, block: str) -> tuple[str | None, float, int, int]:
-        """(template, reduction, missing, extra): the winner confirmed by its wording, else None.
-
-        All templates that save ``REDUCTION`` or more are compared by wording; of those with few
-        enough missing words the one with the fewest differences per word wins, ties by rank.
-        """
-        words = norm_words(block)
-        best = None
-        for place, (saved, name) in enumerate(self.rank(words) if words else []):
-            if saved < REDUCTION:
-                break
-            missing, extra, _ = self.differences(words, name)
-            if missing <= MISSING * len(self.words[name]) and extra <= MISSING * len(self.words[name]):
-                key = ((missing + extra) / len(self.words[name]), -len(self.words[name]), place)
-                if best is None or key < best[0]:
-                    best = key, name, saved, missing, extra
-        return best[1:] if best else (None, 0.0, 0, 0)
+        """(template, reduction, missing, extra): the best confirmed template of a block, else None."""
+        found = self.matches(norm_words(block))
+        return found[0][3:] if found else (None, 0.0, 0, 0)
 
 
 def candidate_blocks(text: Column, cue: str = CUE) -> Column:
@@ -109,10 +141,11 @@ def candidate_blocks(text: Column, cue: str = CUE) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row per confirmed block: id, line, license, reduction, missing, extra, exact.
 
-    Each distinct candidate block is compressed once, alone and with every template as raw
-    dictionary; templates are ranked by the share of the size they save, and the winner is
-    confirmed by its exact wording differences (counts of missing and extra words).  Null and empty
-    texts have no blocks.  Repeated rows give repeated results.  Other columns are not read.
+    Each distinct candidate block is searched once for spans of about a template's length that hold
+    its wording; a span is compressed alone and with every template as raw dictionary, templates
+    are ranked by the share of the size they save, and the winner is the one with the fewest wording
+    differences (counts of missing and extra words).  Null and empty texts have no blocks.  Repeated
+    rows give repeated results.  Other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
     found = docs.select(F.col(id_col).alias("id"), F.explode(candidate_blocks(F.col(text_col))).alias("x")).select(

@@ -44,3 +44,14 @@ def test_awkward_rows(spark):
     assert rows(licenses.scan(awkward(spark)), "doc_id", "line", "license", "exact") == [(6, 0, "MIT", False)] or \
         rows(licenses.scan(awkward(spark)), "doc_id", "line") in ([(6, 0)], [])
     assert licenses.scan(empty(spark)).count() == 0
+
+
+def test_words_around_a_notice_do_not_count():
+    judge = licenses.Templates(licenses.TEMPLATES).judge
+    around = [f"wort{i * 7919 % 977}" for i in range(400)]
+    for name, text in licenses.TEMPLATES.items():
+        for n in (0, 10, 30, 80, 200, 400):
+            for at in (0, n // 2, n):
+                assert judge(" ".join([*around[:at], text, *around[at:n]]))[::2] == (name, 0), (name, n, at)
+    notice = licenses.TEMPLATES["MIT-grant"].replace("free of charge", "free of any charge")
+    assert {judge(" ".join(["the software"] * n + [notice] + ["to any person"] * n)) for n in (0, 5, 300)} == {judge(notice)}
