@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Wordings that are looked for (fixed values: notices as their publishers give them).
 TEMPLATES = {
@@ -35,7 +37,7 @@ TEMPLATES = {
         "documentation files (the \"Software\"), to deal in the Software without restriction"),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: A line with one of these words is a candidate block.
+#: A text with one of these words is searched.
 CUE = r"(?i)licen[sc]|copyright|permission|redistribut|warrant|\bCC BY"
 #: Least share of a matched span's compressed size that the template's dictionary saves.
 REDUCTION = 0.1
@@ -43,6 +45,7 @@ REDUCTION = 0.1
 MISSING = 0.1
 LEVEL = 3
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+BREAK = re.compile("\r\n|\r|\n")
 
 
 def norm_words(text: str) -> list[str]:
@@ -130,36 +133,47 @@ class Templates:
         found = self.matches(norm_words(block))
         return found[0][3:] if found else (None, 0.0, 0, 0)
 
+    def search(self, text: str) -> list[tuple[int, str, float, int, int]]:
+        """(line, template, reduction, missing, extra) of a whole text, whose words run on over line borders.
 
-def candidate_blocks(text: Column, cue: str = CUE) -> Column:
-    """Lines of a whole text that carry a cue, with their line numbers from 0; null gives none."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n"),
-                        lambda x, i: F.struct(i.alias("line"), F.substring(x, 1, 2 ** 31 - 1).alias("block")))
-    return F.filter(lines, lambda x: x["block"].rlike(cue))
+        The line is that of the span's first word, from 0; a line yields the best span that starts in it.
+        """
+        text = text.lower()
+        found = self.matches(WORD.findall(text))
+        if not found:
+            return []
+        starts = [x.start() for x in WORD.finditer(text)]
+        breaks = [x.end() for x in BREAK.finditer(text)]
+        best = {}
+        for _, s, _, *rest in found:
+            best.setdefault(bisect.bisect_right(breaks, starts[s]), rest)
+        return [(line, *rest) for line, rest in sorted(best.items())]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per confirmed block: id, line, license, reduction, missing, extra, exact.
-
-    Each distinct candidate block is searched once for spans of about a template's length that hold
-    its wording; a span is compressed alone and with every template as raw dictionary, templates
-    are ranked by the share of the size they save, and the winner is the one with the fewest wording
-    differences (counts of missing and extra words).  Null and empty texts have no blocks.  Repeated
-    rows give repeated results.  Other columns are not read.
+    """One row per confirmed notice: id, line, license, reduction, missing, extra, exact.
+
+    Each text with a cue is searched for spans of about a template's length that hold its wording,
+    in one line or wrapped over several (the line is that of the first word, from 0); marks in front
+    of a line are no words.  A span is compressed alone and with every template as raw dictionary,
+    templates are ranked by the share of the size they save, and the winner is the one with the
+    fewest wording differences (counts of missing and extra words).  Null and empty texts have no
+    notices.  Repeated rows give repeated results.  Other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
-    found = docs.select(F.col(id_col).alias("id"), F.explode(candidate_blocks(F.col(text_col))).alias("x")).select(
-        "id", "x.line", "x.block")
-    distinct = found.select("block").distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(CUE))
+    schema = T.StructType([texts.schema["id"], *T._parse_datatype_string(
+        "line int, license string, reduction double, missing int, extra int").fields])
 
     def run(batches):
-        judge = Templates(templates).judge
-        for pdf in batches:
-            rows = [(b, *judge(b)) for b in pdf["block"]]
-            yield pd.DataFrame(rows, columns=["block", "license", "reduction", "missing", "extra"])
-
-    judged = distinct.mapInPandas(run, "block string, license string, reduction double, missing int, extra int")
-    judged = judged.filter("license is not null")
-    return found.join(judged, "block").select(
+        search = Templates(templates).search
+        for batch in batches:
+            rows = [(i, *r) for i, text in enumerate(batch.column("text")) for r in search(text.as_py())]
+            at, *cols = zip(*rows) if rows else [()] * 6
+            kinds = (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *map(pa.array, cols, kinds)],
+                                             schema.names)
+
+    return texts.mapInArrow(run, schema).select(
         F.col("id").alias(id_col), "line", "license", F.round("reduction", 6).alias("reduction"), "missing", "extra",
         ((F.col("missing") == 0) & (F.col("extra") == 0)).alias("exact"))

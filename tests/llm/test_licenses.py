@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from atoflow.llm import licenses
 
@@ -55,3 +56,14 @@ def test_words_around_a_notice_do_not_count():
                 assert judge(" ".join([*around[:at], text, *around[at:n]]))[::2] == (name, 0), (name, n, at)
     notice = licenses.TEMPLATES["MIT-grant"].replace("free of charge", "free of any charge")
     assert {judge(" ".join(["the software"] * n + [notice] + ["to any person"] * n)) for n in (0, 5, 300)} == {judge(notice)}
+
+
+def test_wrapped_notices_are_found_where_they_start(spark):
+    docs, want = [], []
+    for i, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        for j, (width, mark, end) in enumerate(((24, "", "\n"), (40, " * ", "\r\n"), (72, "# ", "\r"), (10_000, "// ", "\n"))):
+            lines = ["/*", "Some file of 2024", "", *textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False), "", "and its words"]
+            docs.append((i * 10 + j, end.join(mark + x for x in lines)))
+            want.append((i * 10 + j, 3, name, True))
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.select("doc_id", "line", "license", "exact").collect()) == want
