@@ -136,7 +136,8 @@ class Templates:
     def search(self, text: str) -> list[tuple[int, str, float, int, int]]:
         """(line, template, reduction, missing, extra) of a whole text, whose words run on over line borders.
 
-        The line is that of the span's first word, from 0; a line yields the best span that starts in it.
+        The line is that of the span's first word, from 0.  Every confirmed template counts whose span
+        does not lie inside that of a better one; a line yields each template once, by its best span.
         """
         text = text.lower()
         found = self.matches(WORD.findall(text))
@@ -144,10 +145,14 @@ class Templates:
             return []
         starts = [x.start() for x in WORD.finditer(text)]
         breaks = [x.end() for x in BREAK.finditer(text)]
-        best = {}
-        for _, s, _, *rest in found:
-            best.setdefault(bisect.bisect_right(breaks, starts[s]), rest)
-        return [(line, *rest) for line, rest in sorted(best.items())]
+        reach, best = {}, {}  # reach: for each word the furthest end of the better spans that hold it
+        for _, s, e, name, *rest in found:
+            if reach.get(s, 0) >= e:
+                continue
+            for i in range(s, e):
+                reach[i] = max(reach.get(i, 0), e)
+            best.setdefault((bisect.bisect_right(breaks, starts[s]), name), rest)
+        return [(*at, *rest) for at, rest in sorted(best.items())]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
@@ -156,9 +161,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     Each text with a cue is searched for spans of about a template's length that hold its wording,
     in one line or wrapped over several (the line is that of the first word, from 0); marks in front
     of a line are no words.  A span is compressed alone and with every template as raw dictionary,
-    templates are ranked by the share of the size they save, and the winner is the one with the
-    fewest wording differences (counts of missing and extra words).  Null and empty texts have no
-    notices.  Repeated rows give repeated results.  Other columns are not read.
+    templates are ranked by the share of the size they save, and confirmed by their wording
+    differences (counts of missing and extra words); of templates whose spans lie in one another the
+    one with the fewest differences per word wins, all others have a row each.  A template that
+    starts several times in one line has one row for it.  Null and empty texts have no notices.
+    Repeated rows give repeated results.  Other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(CUE))

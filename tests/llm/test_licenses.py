@@ -67,3 +67,17 @@ def test_wrapped_notices_are_found_where_they_start(spark):
             want.append((i * 10 + j, 3, name, True))
     got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(tuple(r) for r in got.select("doc_id", "line", "license", "exact").collect()) == want
+
+
+def test_every_notice_of_a_line_has_a_row(spark):
+    grant = licenses.TEMPLATES["MIT-grant"].replace("free of charge", "free of any charge")
+    docs = [(1, "x\nReleased under the MIT License. Licensed under the Apache License, Version 2.0."),
+            (2, " or ".join(licenses.TEMPLATES.values())),
+            (3, LINES["MIT"] + " Or: " + LINES["MIT"] + "\n" + LINES["MIT"]),
+            (4, LINES["GPL-3.0"] + " " + grant)]
+    want = [(1, 1, "Apache-2.0", True), (1, 1, "MIT", True), *((2, 0, k, True) for k in sorted(licenses.TEMPLATES)),
+            (3, 0, "MIT", True), (3, 1, "MIT", True), (4, 0, "GPL-3.0", True), (4, 0, "MIT-grant", False)]
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.select("doc_id", "line", "license", "exact").collect()) == want
+    inside = licenses.scan(spark.createDataFrame([(1, licenses.TEMPLATES["Apache-2.0-notice"])], "doc_id long, text string"))
+    assert [r.license for r in inside.collect()] == ["Apache-2.0-notice"]
