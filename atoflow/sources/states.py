@@ -48,10 +48,14 @@ def complete_states(spark: SparkSession, root: str) -> list[tuple[str, str]]:
 
 
 def state_from_path(path_col: Column | None = None) -> Column:
-    """Upper-cased name of the folder that holds the input, be it one file or a folder of part files."""
+    """Upper-cased name of the folder that holds the input, be it one file or a folder of part files.
+
+    ``_metadata.file_path`` is percent-encoded, so the name is decoded; a plus sign stands for itself.
+    """
     p = path_col if path_col is not None else F.col("_metadata.file_path")
     names = "|".join(re.escape(n) for n in (K.ARQUIVO_MOVIMENTACOES, K.ARQUIVO_RETORNOS))
-    return F.upper(F.regexp_extract(p, rf"/([^/]+)/(?:{names})(?:/[^/]+)?$", 1))
+    folder = F.regexp_extract(p, rf"/([^/]+)/(?:{names})(?:/[^/]+)?$", 1)
+    return F.upper(F.coalesce(F.try_url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))), folder))
 
 
 def read_movements(spark: SparkSession, dirs: list[str]) -> DataFrame:

@@ -93,3 +93,12 @@ def test_part_files_keep_the_state_of_the_folder_above(spark, scratch):
     whole.repartition(3).write.parquet(os.path.join(d, "movimentacoes_pessoas.parquet"))
     got = states.read_movements(spark, [os.path.join(scratch, "rj"), d]).groupBy("estado").count().collect()
     assert {r["estado"]: r["count"] for r in got} == {"RJ": 3, "RJ2": 3}
+
+
+def test_state_names_are_those_of_the_folders(spark, scratch):
+    for name in ("middle east", "são paulo", "a%20b", "a+b"):
+        write_state(scratch, name)
+    names = [s for s, _ in states.complete_states(spark, scratch)]
+    assert names == ["A%20B", "A+B", "MIDDLE EAST", "SÃO PAULO"]
+    for table in states.reload(spark, scratch):
+        assert sorted(r[0] for r in table.select("estado").distinct().collect()) == names
