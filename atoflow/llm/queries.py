@@ -86,7 +86,8 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's sketch, that of its edited text (last quarter replaced by the start of the
-    next document), and the containment of the first in the edited and in the next one's."""
+    next document), the containment of the first in the edited and in the next one's, and the number
+    of hashes that each containment rests on (0 for a text with words: no estimate)."""
     own = sketch.document_fingerprints(_read(spark, sf_dir, "documents"))
     pairs = sketch.with_next(own, "id", ["text", "sk"])
     n = F.length("text")
@@ -98,7 +99,9 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         sketch.fingerprint(F.col("sk")).alias("fingerprint"), sketch.fingerprint(F.col("edited_sk")).alias("edited_fingerprint"),
         sketch.containment(F.col("sk"), F.col("edited_sk")).alias("near_edited"),
-        sketch.containment(F.col("sk"), F.col("next_sk")).alias("near_next"))
+        sketch.containment(F.col("sk"), F.col("next_sk")).alias("near_next"),
+        sketch.comparable(F.col("sk"), F.col("edited_sk")).alias("near_edited_hashes"),
+        sketch.comparable(F.col("sk"), F.col("next_sk")).alias("near_next_hashes"))
 
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,7 @@ def containment(a: Column, b: Column) -> Column:
     """Estimated share of ``a``'s shingles that ``b`` has, over the hashes both sketches are complete for.
 
     Two texts without shingles are alike (1.0); a text without shingles is contained in no other (0.0).
+    Where :func:`comparable` is 0 for a text with shingles there is no estimate, and 0.0 stands for none.
     """
     bound = F.least(a["bound"], b["bound"])
     mine = F.filter(a["kept"], lambda h: h <= bound)
@@ -72,6 +73,11 @@ def containment(a: Column, b: Column) -> Column:
                 F.size(m) > 0, F.size(F.array_intersect(m, b["kept"])) / F.size(m))), F.lit(0.0))))
 
 
+def comparable(a: Column, b: Column) -> Column:
+    """Number of ``a``'s retained hashes up to the bound that both sketches are complete for: what containment rests on."""
+    return F.size(F.filter(a["kept"], lambda h: h <= F.least(a["bound"], b["bound"])))
+
+
 def fingerprint(sk: Column) -> Column:
     """The sketch as text: bound and retained hashes in hexadecimal."""
     hexed = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")

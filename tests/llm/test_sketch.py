@@ -108,3 +108,19 @@ def test_empty_table(spark):
 def test_no_python_on_the_main_path(spark):
     plan = queries.document_fingerprints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_no_estimate_is_told_from_not_contained(spark, scratch):
+    """Short texts before a long one that holds them whole: 0.0 without a comparable hash is no estimate."""
+    parts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(60)]
+    whole = " ".join(parts)
+    spark.createDataFrame([(2 * i + k, (t, whole)[k]) for i, t in enumerate(parts) for k in (0, 1)],
+                          "doc_id long, text string").write.parquet(f"{scratch}/documents.parquet")
+    got = {r.doc_id: r for r in queries.document_fingerprints(spark, scratch).collect()}
+    undefined = 0
+    for i, t in enumerate(parts):
+        a, c = plain_sketch(t), plain_sketch(whole)
+        n = sum(h <= min(a[0], c[0]) for h in a[1])
+        assert got[2 * i].near_next_hashes == n and got[2 * i].near_next == float(n > 0)
+        undefined += n == 0
+    assert 0 < undefined < len(parts)
