@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -106,9 +107,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the rows that are not held out.
 
     Confirmed toxic rows and, without their labels, rows of all texts are sampled by a hash of the
-    id to the expected numbers given; only their features leave Spark: per feature its document
-    counts, from which the ``features`` with the largest two-proportion score are chosen, and per
-    sampled row the chosen features it has.  The class prior is the toxic share of the labelled
+    id to the expected numbers given.  Per feature of the confirmed rows its document counts in them
+    and in all texts leave Spark, from which the ``features`` with the largest two-proportion score
+    are chosen, and per sampled row the chosen features it has, for the gradient steps.  The class prior is the toxic share of the labelled
     rows.  Without a confirmed row every text scores 0; without a telling feature every text scores
     the prior, 0.5 at most.
     """
@@ -123,36 +124,52 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = F.broadcast(known.filter((F.col("y") == 1) & share(max_positive, n_pos)).select("id", F.lit(1).alias("p")))
     n_docs = docs.count()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(~held_out("id"))
+    texts = rows.select("text")
     rows = rows.join(picked, "id", "left").withColumn("u", share(max_unlabelled, n_docs * 2 / 3) | F.col("id").isNull())
     rows = rows.filter("p = 1 or u").select(F.coalesce("p", F.lit(0)).alias("p"), F.col("u").cast("int").alias("u"), "text")
 
-    def count(batches):
-        totals: dict[str, list[int]] = {}
-        n = [0, 0]
+    def confirmed(batches):
+        totals, n = Counter(), 0
         for b in batches:
-            for p, u, t in zip(*(b.column(c).to_pylist() for c in ("p", "u", "text"))):
-                n[0] += p
-                n[1] += u
-                for f in text_features(t):
-                    c = totals.setdefault(f, [0, 0])
-                    c[0] += p
-                    c[1] += u
+            n += b.num_rows
+            for t in b.column("text").to_pylist():
+                totals.update(text_features(t))
         totals[""] = n
-        keys = list(totals)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), *(pa.array([totals[f][i] for f in keys], pa.int64()) for i in (0, 1))],
-            names=["f", "p", "u"])
-
-    counts = rows.mapInArrow(count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    counts = counts.filter(f"p >= {MIN_COUNT} or f = ''")
-    total = counts.filter("f = ''").first()
-    if total is None or not total.p or not total.u:
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["f", "p"])
+
+    # features of at most about max_positive texts
+    counts = rows.filter("p = 1").select("text").mapInArrow(confirmed, "f string, p long").groupBy("f").agg(F.sum("p").alias("p"))
+    p_of = {r.f: r.p for r in counts.filter(f"p >= {MIN_COUNT} or f = ''").collect()}
+    n = p_of.pop("", 0)
+    if not n:
         return Model({}, -50.0)
-    n, m = total.p, total.u
-    rate = (F.col("p") + F.col("u")) / (n + m)
-    z = (F.col("p") / n - F.col("u") / m) / F.sqrt(rate * (1 - rate) * (1 / n + 1 / m) + 1e-9)
-    best = counts.filter("f != ''").select("f", z.alias("z")).filter("z > 0").orderBy(F.desc("z"), "f").limit(features)
-    names = [r.f for r in best.collect()]  # at most `features` rows
+    kept = sorted(p_of)
+    known_place = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(kept)})
+
+    def everywhere(batches):
+        at, seen, totals, m = known_place.value, {}, Counter(), 0
+        for b in batches:
+            m += b.num_rows
+            for t in b.column("text"):
+                hits: set[int] = set()
+                for w in set(WORD.findall((t.as_py() or "").lower())):
+                    found = seen.get(w)
+                    if found is None:
+                        found = tuple(at[f] for f in word_features(w) if f in at)
+                        if len(seen) < 500_000:
+                            seen[w] = found
+                    hits.update(found)
+                totals.update(hits)
+        totals[-1] = m
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(list(totals.values()), pa.int64())], names=["f", "u"])
+
+    every = texts.mapInArrow(everywhere, "f int, u long").groupBy("f").agg(F.sum("u").alias("u")).toArrow()
+    p, u = np.array([p_of[f] for f in kept], float), np.zeros(len(kept) + 1)
+    u[every["f"].to_numpy()] = every["u"].to_numpy()
+    u, m = u[:-1], u[-1]
+    rate = (p + u) / (n + m)
+    z = (p / n - u / m) / np.sqrt(np.maximum(rate * (1 - rate), 0) * (1 / n + 1 / m) + 1e-9)
+    names = [kept[i] for i in np.argsort(-z, kind="stable")[:features].tolist() if z[i] > 0]
     if not names:
         return Model({}, min(0.0, float(np.log(prior / (1 - prior)))))
     place = {f: i for i, f in enumerate(names)}
@@ -169,6 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for side in ("p", "u"):
         mine = found[side].to_numpy() == 1
         sides.append(Rows(flat[np.repeat(mine, lengths)], lengths[mine]))
+    if not sides[1].n:
+        return Model({}, -50.0)
     w, bias = fit_nnpu(*sides, len(names), prior)
     return Model({f: float(a) for f, a in zip(names, w)}, bias)
 

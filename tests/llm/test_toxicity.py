@@ -70,3 +70,23 @@ def test_no_labels_and_empty_table(spark):
     df = awkward(spark)
     assert toxicity.drop_toxic(df, labels(spark).limit(0)).count() == len(ROWS)
     assert toxicity.drop_toxic(empty(spark), labels(spark)).count() == 0
+
+
+def test_features_are_chosen_by_counts_over_all_texts(spark):
+    d = "/root/testdata/sf0.01"
+    docs, known = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    toxic = {r.doc_id for r in known.collect() if r.toxic == 1}
+    rows = [(r.doc_id in toxic, toxicity.text_features(r.text)) for r in docs.collect() if not held(r.doc_id)]
+    n, m, p, u = sum(y for y, _ in rows), len(rows), {}, {}
+    for y, found in rows:
+        for f in found:
+            u[f] = u.get(f, 0) + 1
+            p[f] = p.get(f, 0) + y
+
+    def z(f):
+        rate = (p[f] + u[f]) / (n + m)
+        return (p[f] / n - u[f] / m) / np.sqrt(rate * (1 - rate) * (1 / n + 1 / m) + 1e-9)
+
+    want = sorted((f for f in p if p[f] >= toxicity.MIN_COUNT and z(f) > 0), key=lambda f: (-z(f), f))[:40]
+    got = toxicity.train(docs, known, max_unlabelled=30, features=40)
+    assert len(want) == 40 and sorted(got.weights) == sorted(want)
