@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atoflow.llm import bpe, chunks, importance, licenses, packing, preference, simhash, sketch, toxicity, urls
+from atoflow.llm import bpe, chunks, htmltext, importance, licenses, packing, preference, simhash, sketch, toxicity, urls
 
 SHINGLE, RADIUS = 3, 2
 #: Rules of the URL query: host and start of path (fixed values of the query).
@@ -180,6 +180,11 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_read(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_chat_formatting": chat_formatting,
@@ -191,5 +196,6 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash_near_dedup,
     "op9_toxicity": toxicity_scores,
     "op10_license_scans": license_scans,
+    "op11_html_extraction": html_extraction,
 }
 ORACLES = {"op2_chat_formatting": CHAT_SQL, "op6_url_filters": URL_SQL, "op7_exact_dedup": DEDUP_SQL}

@@ -26,6 +26,7 @@ CONTRACT = {
     "op7_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
     "op8_simhash_near_dedup": ["doc_id", "fingerprint", "component_id"],
     "op9_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op11_html_extraction": ["page_id", "url", "text", "n_chars"],
 }
 
 
