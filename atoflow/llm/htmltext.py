@@ -177,6 +177,8 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+#: Pages whose blocks are held at a time.
+SLICE = 64
 #: Block features, in the order of the columns that the tree reads.
 FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after",
             "in a frame", "in the article", "page has an article")
@@ -275,10 +277,11 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
     return Tree(leaf.label, f, float(cut), fit_tree(x[go], y[go], depth - 1), fit_tree(x[~go], y[~go], depth - 1))
 
 
-def main_text(page: str | None, tree: Tree) -> str:
-    """Blocks of a page that the tree takes for main text, joined by one space."""
-    found = blocks(page)
-    return " ".join(b.text for b, keep in zip(found, tree.predict(features(found))) if keep)
+def main_texts(pages: list[str | None], tree: Tree) -> list[str]:
+    """Per page, its blocks that the tree takes for main text, joined by one space."""
+    found = [blocks(p) for p in pages]
+    keep = iter(tree.predict(np.concatenate([features(page) for page in found])).tolist())
+    return [" ".join(b.text for b in page if next(keep)) for page in found]
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", tree: Tree | None = None) -> DataFrame:
@@ -297,7 +300,8 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", tr
 
     def run(batches):
         for b in batches:
-            texts = pa.array([main_text(t.as_py(), tree) for t in b.column(at)], pa.string())
+            column = b.column(at)
+            texts = pa.array([x for i in range(0, b.num_rows, SLICE) for x in main_texts(column.slice(i, SLICE).to_pylist(), tree)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(b.columns)], names=names)
 
     return pages.mapInArrow(run, schema)

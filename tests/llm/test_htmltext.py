@@ -61,7 +61,7 @@ CASES = [
 
 @pytest.mark.parametrize("page,want", CASES)
 def test_cases(page, want):
-    assert htmltext.main_text(page, TREE) == want
+    assert htmltext.main_texts([page, page], TREE) == [want, want]
 
 
 def test_given_pages_give_their_articles(spark):
