@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atoflow.llm import bpe, chunks, htmltext, importance, licenses, packing, preference, simhash, sketch, toxicity, urls
+from atoflow.llm import (bpe, chunks, htmltext, importance, licenses, packing, preference, ranges, repair, simhash, sketch,
+                         toxicity, trie, urls)
 
 SHINGLE, RADIUS = 3, 2
 #: Rules of the URL query: host and start of path (fixed values of the query).
@@ -185,6 +186,54 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, ids) of the rebuilt conversations: conversation c has the first h turns of conversation
+    c-c%20, then its own turns behind its first h; h is the unsigned crc32 of its decimal id, mod 4.
+    Rows without id belong to no conversation."""
+    at = trie.numbered(turns.filter("conv_id is not null").select(
+        "conv_id", "turn", *trie.token(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))), "conv_id", "turn")
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    ids = at.select("conv_id").distinct().withColumn("h", h)
+    # at most three turns of each conversation
+    heads = at.filter("d <= 3 and conv_id % 20 = 0").groupBy(F.col("conv_id").alias("base")).agg(
+        F.sort_array(F.collect_list(F.struct("d", "a", "b", "words"))).alias("head"))
+    taken = ids.withColumn("base", F.expr("conv_id - conv_id % 20")).join(heads, "base", "left").select(
+        "conv_id", "h", F.slice(F.coalesce("head", F.array().cast(heads.schema["head"].dataType)), F.lit(1), F.col("h")).alias("head"))
+    first = taken.select("conv_id", F.inline("head"))
+    # only conversations whose base is shorter than h shift; their own turns keep their place otherwise
+    short = taken.filter("h > size(head)").select("conv_id", (F.col("h") - F.size("head")).alias("shift"))
+    own = at.withColumn("h", h).filter("d > h").join(short, "conv_id", "left").select(
+        "conv_id", (F.col("d") - F.coalesce("shift", F.lit(0))).alias("d"), "a", "b", "words")
+    return first.unionByName(own), ids.select("conv_id")
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, ids = rebuilt_turns(_read(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(turns, ids)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The conversations with faults put in by the crc32 of ``conv_id:turn``, mod 20; nulls are one space."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    lot = (F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20).alias("lot")
+    return turns.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), lot).filter("lot <> 0").select(
+        "conv_id", "turn", F.when(F.col("lot") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("lot") == 1, "").when(F.col("lot") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("lot") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+
+
+def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations")
+    rows = damaged(turns)
+    done = repair.repair(rows)
+    ids = turns.select("conv_id").distinct().withColumn("k", ranges.group_key("conv_id"))
+    out = ids.join(done.conversations.drop("conv_id"), "k", "left").join(
+        repair.gaps(rows, ranges.group_key("conv_id"), "turn"), "k", "left").join(repair.digest(done), "k", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("conv_id", *map(zero, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+                      F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_chat_formatting": chat_formatting,
@@ -197,5 +246,7 @@ QUERIES = {
     "op9_toxicity": toxicity_scores,
     "op10_license_scans": license_scans,
     "op11_html_extraction": html_extraction,
+    "op12_conversation_prefix_trie": conversation_trie,
+    "op13_conversation_structure_repair": structure_repair,
 }
 ORACLES = {"op2_chat_formatting": CHAT_SQL, "op6_url_filters": URL_SQL, "op7_exact_dedup": DEDUP_SQL}

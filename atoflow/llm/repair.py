@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atoflow.llm.common import fresh, shared_table
-from atoflow.llm.ranges import SEGMENT_CHARS, SEGMENT_ROWS, group_key, segments, tie
+from atoflow.llm.common import shared_table
+from atoflow.llm.ranges import SEGMENT_CHARS, SEGMENT_ROWS, digests, group_key, segments, tie
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 #: States: nothing yet, after the system turn, after a user turn, after an assistant turn.
@@ -231,8 +231,9 @@ def scan(items: DataFrame, backwards: bool = False, fan: int = FAN) -> DataFrame
 
 @dataclass
 class Repaired:
-    """``conversations``: id, blank, duplicate, truncated, illegal, cost, audit.  ``parts``: k, seg and
-    ``lines``, the repaired (role, text) in order; one part per segment of a conversation."""
+    """``conversations``: id, blank, duplicate, truncated, illegal, cost, audit.  ``parts``: k, seg, alone
+    (its conversation has no other part) and ``lines``, the repaired (role, text) in order; one part per
+    segment of a conversation."""
 
     conversations: DataFrame
     parts: DataFrame
@@ -326,11 +327,12 @@ def repair(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
         "seg", "no", F.coalesce(*(F.when(F.element_at("m", j + 1) < FAR, F.lit(j)) for j in range(4))).alias("state"))
     last = long.groupBy("k").agg(F.max("seg").alias("seg"), F.lit(True).alias("last"))
     way = ways.join(entered, "seg", "left").join(last, ["k", "seg"], "left").select(
-        "k", "seg", F.coalesce("state", F.lit(START)).alias("state"), (F.col("no").isNull() | F.col("last").isNotNull()).alias("last"), "edits", "cost", "to")
+        "k", "seg", F.coalesce("state", F.lit(START)).alias("state"), (F.col("no").isNull() | F.col("last").isNotNull()).alias("last"),
+        F.col("no").isNull().alias("alone"), "edits", "cost", "to")
     at = lambda c: F.element_at(c, F.col("state") + 1)
     tail = lambda values: F.element_at(F.array(*map(F.lit, values)), (at("to") + 1).cast("int"))
     way = shared_table(way.select(
-        "k", "seg", "state", F.concat(at("edits"), F.when(F.col("last"), tail(TAIL)).otherwise("")).alias("edits"),
+        "k", "seg", "state", "alone", F.concat(at("edits"), F.when(F.col("last"), tail(TAIL)).otherwise("")).alias("edits"),
         (at("cost") + F.when(F.col("last"), tail(END)).otherwise(0)).cast("long").alias("cost")), "repair")
 
     def mend(batches):
@@ -339,10 +341,11 @@ def repair(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
             out = []
             for roles, texts, edits, state in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
                 out.append([{"role": r, "text": t} for r, t in apply_edits(roles, texts, edits, state)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, line)], names=["k", "seg", "lines"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(6), pa.array(out, line)], names=["k", "seg", "alone", "lines"])
 
-    parts = cut.join(way.select("seg", "edits", "state"), "seg").select("k", "seg", "role", "text", "edits", "state").mapInArrow(
-        mend, "k string, seg long, lines array<struct<role:string,text:string>>")
+    parts = shared_table(cut.join(way.select("seg", "edits", "state", "alone"), "seg").select(
+        "k", "seg", "role", "text", "edits", "state", "alone").mapInArrow(
+        mend, "k string, seg long, alone boolean, lines array<struct<role:string,text:string>>"), "repair")
 
     count = lambda kind: F.sum(F.size(F.filter("kinds", lambda x: x == kind))).cast("long")
     border = long.filter("before is not null").groupBy("k").agg(
@@ -357,6 +360,18 @@ def repair(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
     return Repaired(out, parts)
 
 
+def digest(done: Repaired) -> DataFrame:
+    """SHA-256 of each repaired conversation's ``role:text`` lines, joined by line feeds: ``k, digest``.
+
+    Conversations of one segment are digested where they are; only longer ones bring their segments
+    together.  A conversation without repaired turns has the digest of nothing.
+    """
+    lines = F.transform("lines", lambda x: F.concat(x["role"], F.lit(":"), x["text"]))
+    parts = done.parts.select("k", "seg", "alone", F.when(F.size("lines") > 0, F.array_join(lines, "\n")).alias("text"))
+    one = parts.filter("alone").select("k", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    return one.unionByName(digests(parts.filter("not alone"), "k", ["seg"], "text", "\n"))
+
+
 def _seen_before(seen: DataFrame, cut: DataFrame, long: DataFrame) -> DataFrame:
     """``seen`` with the duplicates marked whose first copy stands in an earlier segment."""
     first = cut.join(long.select("seg"), "seg", "left_semi").join(seen.select("seg", "kinds"), "seg").select(

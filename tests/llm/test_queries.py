@@ -27,6 +27,8 @@ CONTRACT = {
     "op8_simhash_near_dedup": ["doc_id", "fingerprint", "component_id"],
     "op9_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op11_html_extraction": ["page_id", "url", "text", "n_chars"],
+    "op12_conversation_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op13_conversation_structure_repair": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
 }
 
 
