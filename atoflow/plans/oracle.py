@@ -8,7 +8,7 @@ against a separate implementation of the same semantics.
 from __future__ import annotations
 
 from .. import constants as K
-from ..sources.fixtures import GAZETTE_SQL, MOV_SQL, STATE_FLAGS
+from ..sources.fixtures import GAZETTE_SQL, INCOMPLETE_STATE, MOV_SQL
 
 
 def _q(s: str) -> str:
@@ -284,8 +284,8 @@ windows AS (
   UNION ALL SELECT doc_id, k, 3, left(tail, 5000) FROM parts),
 lines AS (SELECT doc_id, k, w, p, string_split_regex(area, '[\n\r\x0b\x0c]')[p] AS line
           FROM (SELECT *, unnest(range(1, len(string_split_regex(area, '[\n\r\x0b\x0c]')) + 1)) AS p FROM windows)),
-read AS (SELECT *, ' ' || trim(regexp_replace(regexp_replace(line,
-           '\bID\s*:?\s*\d.*$|\b(VICE-)?GOVERNADOR(\s+EM\s+EXERC\S*CIO)?\b', ' ', 'g'), '[^A-ZÀ-Ü]+', ' ', 'g')) AS clean FROM lines),
+bare AS (SELECT *, regexp_replace(regexp_replace(line, '\bID\s*:?\s*\d+.*$', ''), '\bGOVERNADOR(\s+EM\s+EXERC\S*CIO)?\b', '', 'g') AS rest FROM lines),
+read AS (SELECT *, ' ' || trim(regexp_replace(rest, '[^A-ZÀ-Ü]+', ' ', 'g')) AS clean FROM bare),
 signed AS (SELECT doc_id, first(label ORDER BY k, w, p, i) AS label
            FROM read JOIN (VALUES {names}) n(i, name, label) ON ends_with(clean, ' ' || name) GROUP BY doc_id),
 acting AS (SELECT DISTINCT doc_id FROM hits),
@@ -418,9 +418,9 @@ def oracle_sql(slice_filters, choice_state: str = "", choice_selected=(), few=()
         "scan_states": with_base(
             "SELECT 'movimentacoes' AS tabela, estado, pessoa, tipo_ato, orgao, autoridade_assinante, ano, representante_origem, "
             "data_movimentacao AS data, CAST(NULL AS DATE) AS data_exoneracao, CAST(NULL AS INTEGER) AS dias_desde_exoneracao, "
-            f"CAST(NULL AS VARCHAR) AS \"estado_N\" FROM mov_c WHERE estado IN {_in(STATE_FLAGS)} UNION ALL "
+            f"CAST(NULL AS VARCHAR) AS \"estado_N\" FROM mov_c WHERE estado <> {_q(INCOMPLETE_STATE)} UNION ALL "
             "SELECT 'retornos', estado, pessoa, tipo_ato, nullif(orgao, ''), autoridade_assinante, ano, representante_origem, "
-            f"data_nomeacao, data_exoneracao, dias_desde_exoneracao, \"estado_N\" FROM ret_c WHERE estado IN {_in(STATE_FLAGS)}"),
+            f"data_nomeacao, data_exoneracao, dias_desde_exoneracao, \"estado_N\" FROM ret_c WHERE estado <> {_q(INCOMPLETE_STATE)}"),
         "government_timeline_few": with_base(
             f"SELECT {month_period} AS periodo, representante_origem, tipo_ato, count(*) AS quantidade FROM few "
             "WHERE data_movimentacao IS NOT NULL AND tipo_ato IS NOT NULL GROUP BY ALL",

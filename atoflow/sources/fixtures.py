@@ -37,7 +37,7 @@ JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionke
 # Gazette lines by doc_id, ahead of the document's text or (every third) behind it.
 GAZETTE_SQL = """
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(coalesce(text, ''), chr(10), linhas) ELSE concat(linhas, chr(10), coalesce(text, '')) END AS text
-FROM (SELECT doc_id, text, CASE doc_id % 14
+FROM (SELECT doc_id, text, CASE doc_id % 16
   WHEN 0 THEN concat('DIARIO OFICIAL', chr(10), 'THIAGO PAMPOLHA GOVERNADOR EM EXERCICIO', chr(10), 'FIM')
   WHEN 1 THEN concat('ATOS DO PODER EXECUTIVO', chr(10), 'RODRIGO BACELLAR', chr(10), 'GOVERNADOR EM EXERCÍCIO')
   WHEN 2 THEN concat('DESPACHOS DO GOVERNADOR EM EXERCICIO', chr(10), 'NOMEIA FULANO', chr(10), chr(10), 'RICARDO COUTO', chr(10), 'ID 123')
@@ -51,6 +51,8 @@ FROM (SELECT doc_id, text, CASE doc_id % 14
   WHEN 10 THEN concat(repeat('Y', 14990), chr(10), 'GOVERNADOR WILSON JOSE WITZEL')
   WHEN 11 THEN concat('Governador Wilson José Witzel', chr(10), 'Governador em exercício', chr(10), 'XRICARDO COUTO')
   WHEN 12 THEN concat('GOVERNADOR EM EXERCICIO', chr(10), repeat('Z', 5100), chr(10), 'LUIZ FERNANDO DE SOUZA')
+  WHEN 13 THEN concat('GOVERNADOR EM EXERCICIO', chr(10), 'THIAGO PAMPOLHA VICE-GOVERNADOR', chr(10), 'RODRIGO BACELLAR')
+  WHEN 14 THEN concat('GOVERNADOR EM EXERCICIO', chr(10), 'RICARDO GOVERNADOR COUTO')
   ELSE '' END AS linhas FROM {documents})
 """
 
@@ -60,8 +62,8 @@ def gazette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(GAZETTE_SQL, documents=table(spark, sf_dir, "documents"))
 
 
-#: Complete states and how their files write the change flags; one more state has no returns file.
-STATE_FLAGS = {"EUROPE": ("True", "False"), "ASIA": ("1", "0"), "AMERICA": ("sim", "nao")}
+#: How the states' files write the change flags, in turn by state name; one state has no returns file.
+FLAG_SPELLINGS = (("True", "False"), ("1", "0"), ("sim", "nao"))
 INCOMPLETE_STATE = "AFRICA"
 
 
@@ -69,16 +71,18 @@ def state_folders(spark: SparkSession, sf_dir: str) -> str:
     """Write the per-state input layout from the movements and returns views; returns its root.
 
     The folder lies under the session's checkpoint folder and is deleted when the application ends.
-    Both tables are computed once; each state's files are folders of part files.
+    Every state of the movements has a folder.  Both tables are computed once; each state's files are
+    folders of part files.
     """
     root = shared_folder(spark, "states")
     mov, ret = materialize(movements(spark, sf_dir), "mov"), materialize(returns(spark, sf_dir), "ret")
-    for state in (*STATE_FLAGS, INCOMPLETE_STATE):
+    states = [r.estado for r in mov.select("estado").filter("estado is not null").distinct().orderBy("estado").collect()]
+    for i, state in enumerate(states):
         here = f"{root}/{state.lower()}"
         mov.filter(F.col("estado") == state).select(*K.COLUNAS_MOVIMENTACAO, F.lit("x").alias("outra")).write.parquet(
             f"{here}/{K.ARQUIVO_MOVIMENTACOES}")
-        if state in STATE_FLAGS:
-            yes, no = STATE_FLAGS[state]
+        if state != INCOMPLETE_STATE:
+            yes, no = FLAG_SPELLINGS[i % len(FLAG_SPELLINGS)]
             flags = {c: F.when(F.col(c) == "sim", F.lit(yes)).when(F.col(c) == "nao", F.lit(no))
                      for c in ("mudou_cargo_desde_exoneracao", "mudou_orgao_desde_exoneracao")}
             (ret.filter(F.col("estado") == state).withColumns(flags).select(*K.COLUNAS_RETORNO).write
