@@ -110,11 +110,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     id to the expected numbers given.  Per feature of the confirmed rows its document counts in them
     and in all texts leave Spark, from which the ``features`` with the largest two-proportion score
     are chosen, and per sampled row the chosen features it has, for the gradient steps.  The class prior is the toxic share of the labelled
-    rows.  Without a confirmed row every text scores 0; without a telling feature every text scores
+    rows that ``docs`` still has: an earlier stage may have dropped more of the one class than of the
+    other.  Without a confirmed row every text scores 0; without a telling feature every text scores
     the prior, 0.5 at most.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter(
         ~held_out("id") & F.col("y").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
+    known = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
     n_known, n_pos = known.agg(F.count("*"), F.coalesce(F.sum(F.col("y")), F.lit(0))).first()
     if not n_pos:
         return Model({}, -50.0)

@@ -90,3 +90,11 @@ def test_features_are_chosen_by_counts_over_all_texts(spark):
     want = sorted((f for f in p if p[f] >= toxicity.MIN_COUNT and z(f) > 0), key=lambda f: (-z(f), f))[:40]
     got = toxicity.train(docs, known, max_unlabelled=30, features=40)
     assert len(want) == 40 and sorted(got.weights) == sorted(want)
+
+
+def test_labels_of_absent_rows_change_nothing(spark):
+    docs = spark.createDataFrame([(i, ("vile filth words" if i % 5 == 0 else "calm plain words") + f" number {i % 11}") for i in range(300)],
+                                 "doc_id long, text string")
+    here = labels(spark, [(i, 1, int(i % 5 == 0)) for i in range(300)])
+    gone = labels(spark, [(i, 0, 0) for i in range(1000, 4000)])
+    assert toxicity.train(docs, here) == toxicity.train(docs, here.union(gone))
