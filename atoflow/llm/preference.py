@@ -14,10 +14,14 @@ def head(role: Column) -> Column:
     return F.concat(F.lit(OPEN), role, F.lit(CLOSE))
 
 
-def _turns(side: DataFrame, name: str) -> DataFrame:
-    """Conversations as arrays of (turn, role, text); order: turn (nulls first), role, text."""
+def _gather(only: Column | None = None) -> Column:
+    """Turns of a group as an array of (turn, role, text); order: turn (nulls first), role, text."""
     clean = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return side.groupBy("pair_id").agg(F.sort_array(F.collect_list(clean)).alias(name))
+    return F.sort_array(F.collect_list(clean if only is None else F.when(only, clean)))
+
+
+def _turns(side: DataFrame, name: str) -> DataFrame:
+    return side.groupBy("pair_id").agg(_gather().alias(name))
 
 
 def _render(turns: Column) -> Column:
@@ -55,6 +59,36 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     none = F.array().cast(sides[0].schema["c"].dataType)
     both = sides[0].join(sides[1], "pair_id", "full").select(
         "pair_id", F.coalesce("c", none).alias("c"), F.coalesce("r", none).alias("r"))
+    return _formatted(both)
+
+
+def conversation_pairs(conversations: DataFrame) -> DataFrame:
+    """``preference_pairs`` rows in which every conversation ``(conv_id, turn, role, text)`` is chosen once.
+
+    pair_id is the chosen conversation's id.  Conversations 2k and 2k+1 are partners: the rejected
+    side is the first half of the chosen one's turns (rounded down), then the partner's turns from
+    that position on; a missing or shorter partner adds nothing.  Positions count rows in the order
+    of turn (nulls first), role, text, so that null, repeated and skipped turn numbers keep their
+    rows.  Turns with a null conv_id belong to no conversation and are left out; no rows give no
+    rows.  Other columns are not read.  Both partners are gathered in one group, which holds no
+    other conversation.
+    """
+    odd = F.pmod("conv_id", F.lit(2)) == 1
+    both = (conversations.select("conv_id", "turn", "role", "text").filter("conv_id is not null")
+            .groupBy((F.col("conv_id") - F.pmod("conv_id", F.lit(2))).alias("even"))
+            .agg(_gather(~odd).alias("a"), _gather(odd).alias("b")))
+
+    def pair(pair_id, c, other):
+        half = F.floor(F.size(c) / 2).cast("int")
+        r = F.concat(F.slice(c, F.lit(1), half), F.slice(other, half + 1, F.size(other)))
+        return F.struct(pair_id.cast("long").alias("pair_id"), F.col(c).alias("c"), r.alias("r"))
+
+    sides = F.array(pair(F.col("even"), "a", "b"), pair(F.col("even") + 1, "b", "a"))
+    return _formatted(both.select(F.explode(sides).alias("p")).select("p.*").filter(F.size("c") > 0))
+
+
+def _formatted(both: DataFrame) -> DataFrame:
+    """Rows of ``preference_pairs`` from the ordered turns ``(pair_id, c, r)`` of both sides."""
     same = lambda a, b: (a["role"] == b["role"]) & (a["text"] == b["text"])
     equal = F.zip_with(F.col("c"), F.col("r"), lambda a, b: F.coalesce(same(a, b), F.lit(False)))
     # 1-based place of the first difference; none: as many turns as the longer side has, which equal each other

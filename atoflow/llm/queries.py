@@ -30,16 +30,10 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs from the conversations: chosen is conversation 2k; rejected has its first half of turns,
-    then the later turns of conversation 2k+1."""
-    turns = _read(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") - F.pmod("conv_id", F.lit(2))).alias("pair_id"),
-        (F.pmod("conv_id", F.lit(2)) == 0).alias("first"), "turn", "role", "text")
-    chosen = turns.filter("first")
-    half = chosen.groupBy("pair_id").agg(F.expr("count(*) div 2").alias("half"))
-    rejected = turns.join(half, "pair_id").filter((F.col("first") & (F.col("turn") < F.col("half")))
-                                                  | (~F.col("first") & (F.col("turn") >= F.col("half"))))
-    out = preference.preference_pairs(chosen, rejected)
+    """Every conversation is chosen once (pair_id: its id).  Rejected has the first half of its turns,
+    then the later turns of the other conversation of 2k and 2k+1, counted by position; without that
+    one only the first half.  Turns without a conv_id belong to no conversation."""
+    out = preference.conversation_pairs(_read(spark, sf_dir, "conversations"))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["s"], s["e"])), ",")
     return out.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected",
                       spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"))
@@ -47,16 +41,20 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHAT_SQL = """
 WITH t AS (
-  SELECT conv_id - conv_id % 2 AS pair_id, conv_id % 2 = 0 AS first, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-  FROM conversations
-), half AS (SELECT pair_id, count(*) // 2 AS half FROM t WHERE first GROUP BY pair_id),
-sides AS (
-  SELECT pair_id, 'c' AS side, turn, role, text FROM t WHERE first
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), placed_turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place,
+         count(*) OVER (PARTITION BY conv_id) // 2 AS half FROM t
+), sides AS (
+  SELECT conv_id AS pair_id, 'c' AS side, place, role, text FROM placed_turns
   UNION ALL
-  SELECT t.pair_id, 'r', turn, role, text FROM t JOIN half USING (pair_id)
-  WHERE (first AND turn < half) OR (NOT first AND turn >= half)
+  SELECT conv_id, 'r', place, role, text FROM placed_turns WHERE place < half
+  UNION ALL
+  SELECT own.conv_id, 'r', other.place, other.role, other.text
+  FROM (SELECT DISTINCT conv_id, half FROM placed_turns) own JOIN placed_turns other ON other.conv_id = xor(own.conv_id, 1)
+  WHERE other.place >= own.half
 ), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS pos FROM sides
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY place) AS pos FROM sides
 ), aligned AS (
   SELECT pair_id, pos, max(CASE WHEN side = 'c' THEN role END) AS cr, max(CASE WHEN side = 'r' THEN role END) AS rr,
          max(CASE WHEN side = 'c' THEN text END) AS ct, max(CASE WHEN side = 'r' THEN text END) AS rt

@@ -51,9 +51,49 @@ def test_masked_spans_are_the_assistant_turns(spark):
     assert [r.chosen[a:b] for a, b in r.chosen_mask] == ["yes<|end|>\n"]
 
 
+CONVERSATIONS = {
+    0: [(0, "user", "a"), (1, "assistant", "b"), (2, "user", "c"), (3, "assistant", "d")],
+    1: [(0, "user", "a"), (1, "assistant", "x"), (2, "user", "y")],
+    2: [(None, "user", None), (None, None, "q"), (5, "assistant", "z"), (5, "assistant", "z")],  # null, repeated, skipped turns
+    3: [(1, "user", "only")],
+    5: [(0, "user", "odd"), (1, "assistant", "alone")],  # no partner
+    8: [(0, "user", "even"), (1, "assistant", "alone"), (2, "user", "")],
+    -2: [(0, "user", "m"), (1, "assistant", "n")],
+    -1: [(0, "user", "m"), (1, "assistant", "o")],
+    None: [(0, "user", "no conversation")],
+}
+
+
+def test_every_conversation_is_chosen_once(spark):
+    rows = [(c, *t, "x", "y") for c, turns in CONVERSATIONS.items() for t in turns]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pair_id string, half string")
+    clean = lambda x: sorted(((t is not None, t or 0), ro or "", tx or "") for t, ro, tx in x)
+    want = {}
+    for c, turns in CONVERSATIONS.items():
+        if c is not None:
+            own, other, half = clean(turns), clean(CONVERSATIONS.get(c ^ 1, [])), len(turns) // 2
+            number = lambda side: [(i, ro, tx) for i, (_, ro, tx) in enumerate(side)]
+            want[c] = plain(number(own), number(own[:half] + other[half:]))
+    got = [(r.pair_id, (r.prompt_turns, r.prompt, r.chosen, r.rejected, [tuple(x) for x in r.chosen_mask], [tuple(x) for x in r.rejected_mask]))
+           for r in preference.conversation_pairs(conversations).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_empty_table(spark):
     none = frame(spark, 0).limit(0)
     assert preference.preference_pairs(none, none).count() == 0
+    assert preference.conversation_pairs(none.withColumnRenamed("pair_id", "conv_id")).count() == 0
+
+
+def test_query_reads_every_turn(spark):
+    from atoflow.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    out = queries.chat_formatting(spark, sf)
+    assert out.count() == turns.select("conv_id").distinct().count()
+    marks = out.selectExpr("sum(regexp_count(prompt, '<[|]end[|]>') + regexp_count(chosen, '<[|]end[|]>')) as n").first().n
+    assert marks == turns.count()
 
 
 def test_no_python_on_the_main_path(spark):
