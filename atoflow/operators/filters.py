@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cleanse import clean_movements, clean_movements_by_value
+
 
 @dataclass(frozen=True)
 class Filters:
@@ -42,6 +44,18 @@ def slice_movements(mov_c: DataFrame, f: Filters) -> DataFrame:
     return out
 
 
+def slice_raw(mov: DataFrame, f: Filters, accent_blind: bool = False) -> DataFrame:
+    """The cleaned slice of raw movements: equals ``slice_movements(clean_movements(mov), f)``.
+
+    Where a label is filtered (representative, authorship), the distinct raw values of the state's
+    rows are classified once and the predicate is applied to them, not to the label text of each row.
+    """
+    if f.estado and "estado" in mov.columns:
+        mov = mov.filter(F.col("estado") == F.lit(f.estado))
+    by_label = f.representantes or f.autorias
+    return slice_movements((clean_movements_by_value if by_label else clean_movements)(mov, accent_blind), f)
+
+
 def filter_choices(mov_c: DataFrame, ret_c: DataFrame) -> DataFrame:
     """(filtro, valor) for every filter: states from the movements; years, raw agencies and
     representatives from both tables; distinct, non-null, sorted by (filtro, valor).

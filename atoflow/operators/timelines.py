@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.labels import rotulo_representante_curto
 from ..functions.text import ptbr_int, split_once, ustrip
+from ..session import materialize
 
 
 def acts_by_month(df: DataFrame) -> DataFrame:
@@ -23,12 +24,10 @@ def government_timeline(df: DataFrame, grain: str = "auto") -> DataFrame:
 
     ``grain='month'``: periodo = month end (date), current month -> latest date + 1 day.
     ``grain='year'``: periodo = year (int).  ``grain='auto'``: month when the slice has at most
-    three distinct representatives, else year — this one value is fetched with a small action.
+    three distinct representatives, else year.  The type of periodo depends on that, so the monthly
+    counts are written to a table, and both the choice and the result are read from it.
     """
     base = df.filter(F.col("data_movimentacao").isNotNull())
-    if grain == "auto":
-        n = base.agg(F.countDistinct("representante_origem").alias("n")).first()["n"]
-        grain = "month" if n <= K.ADAPTIVE_MONTH_MAX_GROUPS else "year"
     keys = ["representante_origem", "tipo_ato"]
     known = F.col("representante_origem").isNotNull() & F.col("tipo_ato").isNotNull()
     if grain == "year":
@@ -38,6 +37,11 @@ def government_timeline(df: DataFrame, grain: str = "auto") -> DataFrame:
     # serves both; each branch reads all its columns, so that its exchange is reused
     counts = base.groupBy(F.trunc("data_movimentacao", "MM").alias("mes"), *keys).agg(
         F.count_if(known).alias("quantidade"), F.max("data_movimentacao").alias("ultima"))
+    if grain == "auto":
+        counts = materialize(counts, "counts")
+        if counts.agg(F.countDistinct("representante_origem").alias("n")).first()["n"] > K.ADAPTIVE_MONTH_MAX_GROUPS:
+            return (counts.filter(F.col("quantidade") > 0).groupBy(F.year("mes").alias("periodo"), *keys)
+                          .agg(F.sum("quantidade").alias("quantidade")))
     latest = counts.filter("quantidade >= 0").agg(F.max("ultima").alias("m")).select("m").scalar()
     shown = counts.filter(F.col("ultima").isNotNull() & (F.col("quantidade") > 0))
     end = F.when(F.col("mes") == F.trunc(latest, "MM"), F.date_add(latest, 1)).otherwise(F.last_day("mes"))

@@ -16,7 +16,7 @@ from .. import constants as K
 from ..functions.labels import rotulo_governo_curto, rotulo_representante_curto
 from ..operators import agencies, flows, kpis, markov, timelines, transitions
 from ..operators.cleanse import clean_movements, clean_returns
-from ..operators.filters import Filters, filter_choices, representative_choices, slice_movements
+from ..operators.filters import Filters, filter_choices, representative_choices, slice_raw
 from ..session import materialize
 from ..operators.roles import document_roles
 from ..sources import fixtures, states
@@ -104,11 +104,11 @@ def _round(df: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
 SPARK: dict[str, Builder] = {
     "clean_movements": mov_c,
     "classify_returns": ret_c,
-    "filter_slice": lambda s, sf: slice_movements(mov_c(s, sf), SLICE),
+    "filter_slice": lambda s, sf: slice_raw(fixtures.movements(s, sf), SLICE),
     "filter_choices": lambda s, sf: filter_choices(mov_c(s, sf), ret_c(s, sf)),
     "representative_choices": _representative_choices,
     "kpi_cards": lambda s, sf: kpis.kpi_cards(mov_c(s, sf)),
-    "kpi_cards_slice": lambda s, sf: kpis.kpi_cards(slice_movements(mov_c(s, sf), SLICE)),
+    "kpi_cards_slice": lambda s, sf: kpis.kpi_cards(slice_raw(fixtures.movements(s, sf), SLICE)),
     "slice_reading": lambda s, sf: kpis.slice_reading(mov_c(s, sf)),
     "period_label": lambda s, sf: kpis.period_label(mov_c(s, sf), by=["estado"]),
     "acts_by_year": lambda s, sf: flows.acts_by_year(mov_c(s, sf)),
@@ -148,5 +148,5 @@ SPARK: dict[str, Builder] = {
     "sector_flow_auto": lambda s, sf: flows.government_flow(_agencies_as_sectors(s, sf)),
     "sector_balance_auto": lambda s, sf: flows.government_balance(_agencies_as_sectors(s, sf)),
     "government_timeline_few": lambda s, sf: timelines.government_timeline(
-        slice_movements(mov_c(s, sf), Filters(representantes=FEW)), grain="auto"),
+        slice_raw(fixtures.movements(s, sf), Filters(representantes=FEW)), grain="auto"),
 }
