@@ -187,22 +187,37 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(turns, ids) of the rebuilt conversations: conversation c has the first h turns of conversation
     c-c%20, then its own turns behind its first h; h is the unsigned crc32 of its decimal id, mod 4.
-    Rows without id belong to no conversation."""
-    at = trie.numbered(turns.filter("conv_id is not null").select(
+    Rows without id belong to no conversation.
+
+    The turns have the hashes of their prefixes, made of those of the original conversations: the
+    base's first turns, plus a conversation's own hash less that of its first h turns."""
+    at = trie.prefixes(turns.filter("conv_id is not null").select(
         "conv_id", "turn", *trie.token(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))), "conv_id", "turn")
-    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
-    ids = at.select("conv_id").distinct().withColumn("h", h)
-    # at most three turns of each conversation
-    heads = at.filter("d <= 3 and conv_id % 20 = 0").groupBy(F.col("conv_id").alias("base")).agg(
-        F.sort_array(F.collect_list(F.struct("d", "a", "b", "words"))).alias("head"))
-    taken = ids.withColumn("base", F.expr("conv_id - conv_id % 20")).join(heads, "base", "left").select(
-        "conv_id", "h", F.slice(F.coalesce("head", F.array().cast(heads.schema["head"].dataType)), F.lit(1), F.col("h")).alias("head"))
-    first = taken.select("conv_id", F.inline("head"))
+    # at most four turns of each of a base's conversations
+    heads = at.filter("d <= 4").groupBy(F.expr("conv_id - conv_id % 20").alias("base")).agg(
+        F.collect_list(F.struct("conv_id", "d", "words", "x", "y")).alias("all"))
+    base = F.sort_array(F.filter("all", lambda s: (s.conv_id == F.col("base")) & (s.d <= 3)))
+    each = heads.withColumn("head", base).select("all", "head", F.explode(F.transform(F.filter("all", lambda s: s.d == 1), lambda s: s.conv_id)).alias("conv_id")).withColumn(
+        "h", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int"))
+    at_place = lambda d: F.filter("all", lambda s: (s.conv_id == F.col("conv_id")) & (s.d == d))
+    taken = each.select("conv_id", "h", F.slice("head", F.lit(1), F.col("h")).alias("head"), F.get(at_place(F.col("h")), F.lit(0)).alias("own"),
+                        (F.size(at_place(F.col("h") + 1)) > 0).alias("goes_on"))
     # only conversations whose base is shorter than h shift; their own turns keep their place otherwise
-    short = taken.filter("h > size(head)").select("conv_id", (F.col("h") - F.size("head")).alias("shift"))
-    own = at.withColumn("h", h).filter("d > h").join(short, "conv_id", "left").select(
-        "conv_id", (F.col("d") - F.coalesce("shift", F.lit(0))).alias("d"), "a", "b", "words")
-    return first.unionByName(own), ids.select("conv_id")
+    n, zero = F.size("head"), F.lit(0).cast("long")
+    before = lambda i, v: F.coalesce(F.get("head", i - 1)[v], zero)
+    moved = lambda c, v, hash_base: trie.shifted(
+        F.col(c) - F.coalesce(F.col("own")[v], zero), F.col("h") - n, hash_base, before(n, v))
+    kind = "array<struct<d:bigint,words:bigint,x:bigint,y:bigint,px:bigint,py:bigint,last:boolean>>"
+    base_x, base_y = trie.BASES
+    root = F.struct(zero, zero, zero, zero, F.lit(None).cast("long"), F.lit(None).cast("long"), (n == 0) & ~F.col("goes_on"))
+    head = F.transform("head", lambda s, i: F.struct(s.d, s.words, s.x, s.y, before(i, "x"), before(i, "y"), (s.d == n) & ~F.col("goes_on")))
+    own = F.struct(F.col("d") - (F.col("h") - n), F.col("words"), moved("x", "x", base_x), moved("y", "y", base_y),
+                   moved("px", "x", base_x), moved("py", "y", base_y), F.col("last"))
+    none = F.array().cast(kind)
+    rows = at.join(taken, "conv_id").select("conv_id", F.inline(F.concat(
+        F.when(F.col("d") == 1, F.concat(F.array(root).cast(kind), head.cast(kind))).otherwise(none),
+        F.when(F.col("d") > F.col("h"), F.array(own).cast(kind)).otherwise(none))))
+    return rows, rows.filter("d = 0").select("conv_id")
 
 
 def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,20 +8,27 @@ tasks' sums.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atoflow.llm.common import SPACE_CLASS, shared_table
-from atoflow.llm.ranges import digests, segments
+from atoflow.llm.ranges import digests
 
 MODULUS = (1 << 61) - 1
 BASES = (911_382_323_717_171, 1_972_663_111_939_393)
 #: Components of at most so many nodes are decomposed inside one task.
 SMALL = 4096
+#: Most large components whose centroids and totals are broadcast (some MB).
+BROADCAST = 100_000
 #: Parts over which the nodes of one large component are dealt in a join.
 SALT = 32
+#: Columns that name a node, and the top of its component.
+KEY, TOP = ["d", "x", "y"], ["top_d", "top_x", "top_y"]
 
 
 def token(role: Column, text: Column) -> list[Column]:
@@ -32,182 +39,220 @@ def token(role: Column, text: Column) -> list[Column]:
             F.size(F.array_remove(F.split(text, SPACE_CLASS + "+"), "")).cast("long").alias("words")]
 
 
-def _streamed(rows: DataFrame, by: list[str], cols: list[str], out: list[str], start, step) -> DataFrame:
-    """``rows`` in ranges of ``by`` plus long columns ``p`` (range) and ``out`` (running values of the key in it).
+def _times(value: Column, factor: Column, more: Column) -> Column:
+    """``(value * factor + more) % MODULUS``: a product of two 61-bit numbers fits a decimal."""
+    wide = lambda c: c.cast("decimal(20,0)")
+    return ((wide(value) * wide(factor) + wide(more)) % F.lit(MODULUS).cast("decimal(20,0)")).cast("long")
 
-    The key is the first column of ``by``.  A key with many rows lies in several ranges, and no task
-    keeps more than a batch.
-    """
-    flat = rows.select(*cols).repartitionByRange(*(F.col(c).asc_nulls_first() for c in by)).sortWithinPartitions(
-        *(F.col(c).asc_nulls_first() for c in by))
-    key = cols.index(by[0])
 
-    def run(batches):
-        p, now, state = TaskContext.get().partitionId(), None, None
-        for b in batches:
-            values = [c.to_pylist() for c in b.columns]
-            got = []
-            for row in zip(*values):
-                if state is None or row[key] != now:
-                    now, state = row[key], start
-                state = step(state, row)
-                got.append(state)
-            more = [pa.array([g[i] for g in got], pa.int64()) for i in range(len(out))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p] * b.num_rows, pa.int64()), *more], names=[*cols, "p", *out])
+def shifted(value: Column, places: Column, base: int, more: Column) -> Column:
+    """A sum of hashes moved to depths less by ``places`` (0 to 3), plus the hash ``more``; ``value`` may be below zero."""
+    m = MODULUS
+    back = F.get(F.array(*(F.lit(pow(base, -n, m)) for n in range(4))), places.cast("int"))
+    return F.when(places == 0, F.pmod(value + more, F.lit(m))).otherwise(_times(F.pmod(value, F.lit(m)), back, more))
 
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cols] + [f"{c} long" for c in ("p", *out)])
-    return shared_table(flat.mapInArrow(run, schema), "trie")
 
+def prefixes(turns: DataFrame, id_col: str, turn_col: str) -> DataFrame:
+    """``id_col, d, words, x, y, px, py, last``: the place d (from 1) of each turn by number, null first, equal ones
+    by digest, the hash of the first d turns and of the first d-1, and whether the turn is its conversation's last.
 
-def _before(cut: DataFrame, key: str, by: str, out: list[str]) -> DataFrame:
-    """Sums of ``out`` over the earlier ranges of each key that lies in several: ``key, p, before_*``.
-
-    Only the first and the last key of a range can lie in others, so there are at most two rows a
-    range: small enough for a broadcast, whatever the table's size.
+    The turns are dealt by ranges, so that a long conversation lies in several, and no task keeps more
+    than a batch.  Places and hashes are counted within a range first (:func:`_before` has the rest).
     """
-    last = cut.groupBy(key, "p").agg(F.max_by(F.struct(*out), by).alias("s"))
-    several = cut.groupBy(key).agg(F.min("p").alias("lo"), F.max("p").alias("hi")).filter("lo < hi").select(key)
-    w = Window.partitionBy(key).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    # sums of 61-bit numbers over up to as many ranges: as decimals
-    return F.broadcast(last.join(F.broadcast(several), key, "left_semi").select(
-        key, "p", *(F.sum(F.col(f"s.{c}").cast("decimal(20,0)")).over(w).alias(f"before_{c}") for c in out)))
-
-
-def numbered(turns: DataFrame, id_col: str, turn_col: str) -> DataFrame:
-    """``id_col, d, a, b, words``: the place d (from 1) of each turn by number, null first, equal ones by digest."""
-    cut = _streamed(turns, [id_col, turn_col, "a", "b"], [id_col, turn_col, "a", "b", "words"], ["at"], (0,), lambda s, _: (s[0] + 1,))
-    return cut.join(_before(cut, id_col, "at", ["at"]), [id_col, "p"], "left").select(
-        id_col, (F.col("at") + F.coalesce("before_at", F.lit(0))).cast("long").alias("d"), "a", "b", "words")
+    by = [F.col(c).asc_nulls_first() for c in (id_col, turn_col, "a", "b")]
+    flat = turns.select(id_col, turn_col, "a", "b", "words").repartitionByRange(*by).sortWithinPartitions(*by).select(id_col, "a", "b", "words")
+    m, (base_x, base_y) = MODULUS, BASES
+    names = [id_col, "at", "words", "x", "y", "px", "py", "last", "edge", "p"]
 
+    def run(batches):
+        p, now, first, rows = TaskContext.get().partitionId(), None, True, []
 
-def paths(turns: DataFrame) -> DataFrame:
-    """``conv_id, d, words, x, y, px, py``: the hash of each conversation's first d turns and of its first d-1."""
-    m, (base_x, base_y) = MODULUS, BASES
+        def table(done):
+            cols = list(zip(*done))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), *(pa.array(c, pa.bool_()) for c in cols[7:]),
+                                               pa.array([p] * len(done), pa.int64())], names=names)
 
-    def step(s, row):
-        _, d, a, b, _ = row
-        tx, ty = a * pow(base_x, d, m) % m, b * pow(base_y, d, m) % m
-        return (s[0] + tx) % m, (s[1] + ty) % m, tx, ty
+        for b in batches:
+            for key, a, b_, n in zip(*(c.to_pylist() for c in b.columns)):
+                if key != now:
+                    if rows:
+                        rows[-1][7:] = True, first
+                        first = False
+                    now, at, x, y, fx, fy = key, 0, 0, 0, 1, 1
+                at, fx, fy, px, py = at + 1, fx * base_x % m, fy * base_y % m, x, y
+                x, y = (x + a * fx) % m, (y + b_ * fy) % m
+                rows.append([key, at, n, x, y, px, py, False, False])
+            # whether a row is the last of its key shows at the next one
+            if len(rows) > 1:
+                yield table(rows[:-1])
+                rows = rows[-1:]
+        if rows:
+            rows[-1][7:] = True, True
+            yield table(rows)
+
+    kind = turns.schema[id_col].dataType.simpleString()
+    cut = shared_table(flat.withColumn(id_col, F.col(id_col).cast("long")).mapInArrow(
+        run, f"`{id_col}` long, " + ", ".join(f"{c} long" for c in names[1:7]) + ", last boolean, edge boolean, p long"), "trie")
+    cut = cut.join(_before(cut, id_col), [id_col, "p"], "left")
+    whole = lambda c, v: F.when(F.col("n").isNull(), F.col(c)).otherwise(_times(F.col(c), F.col(f"f{v}"), F.col(f"b{v}"))).alias(c)
+    return cut.select(F.col(id_col).cast(kind).alias(id_col), (F.col("at") + F.coalesce("n", F.lit(0))).cast("long").alias("d"), "words",
+                      whole("x", "x"), whole("y", "y"), whole("px", "x"), whole("py", "y"),
+                      (F.col("last") & ~F.coalesce("later", F.lit(False))).alias("last"))
+
+
+def _before(cut: DataFrame, key: str) -> DataFrame:
+    """Of each key that lies in several ranges ``p``: number of rows and hashes of the earlier ranges, the factors
+    that move a range's own hashes behind them, and whether a later range follows.
 
-    cut = _streamed(turns, ["conv_id", "d"], ["conv_id", "d", "a", "b", "words"], ["sx", "sy", "tx", "ty"], (0, 0, 0, 0), step)
-    cut = cut.join(_before(cut, "conv_id", "d", ["sx", "sy"]), ["conv_id", "p"], "left")
-    whole = lambda c: F.pmod(F.col(f"s{c}") + F.coalesce(F.col(f"before_s{c}") % m, F.lit(0)).cast("long"), F.lit(m))
-    cut = cut.select("conv_id", "d", "words", whole("x").alias("x"), whole("y").alias("y"), "tx", "ty")
-    return cut.select("conv_id", "d", "words", "x", "y", F.pmod(F.col("x") - F.col("tx"), F.lit(m)).alias("px"),
-                      F.pmod(F.col("y") - F.col("ty"), F.lit(m)).alias("py"))
+    Only the first and the last key of a range can lie in others, so there are at most two rows a
+    range: small enough for the driver and a broadcast, whatever the table's size.
+    """
+    parts = defaultdict(list)
+    for k, *row in cut.filter("edge").select(key, "p", "at", "x", "y").collect():
+        parts[k].append(row)
+    m, out = MODULUS, []
+    for k, rows in parts.items():
+        n, x, y = 0, 0, 0
+        for i, (p, at, own_x, own_y) in enumerate(sorted(rows)):
+            fx, fy = (pow(base, n, m) for base in BASES)
+            if len(rows) > 1:
+                out.append((k, p, n, x, y, fx, fy, i + 1 < len(rows)))
+            n, x, y = n + at, (x + own_x * fx) % m, (y + own_y * fy) % m
+    names = [key, "p", "n", "bx", "by", "fx", "fy", "later"]
+    table = pa.table([pa.array([r[i] for r in out], pa.bool_() if c == "later" else pa.int64()) for i, c in enumerate(names)], names=names)
+    return F.broadcast(cut.sparkSession.createDataFrame(table))
+
+
+def _rooted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` of :func:`prefixes` and the textless prefix (d = 0) of every conversation."""
+    zero = [F.lit(0).cast("long").alias(c) for c in ("d", "words", "x", "y")]
+    none = [F.lit(None).cast("long").alias(c) for c in ("px", "py")]
+    some = rows.filter("d = 1").select("conv_id", F.lit(False).alias("last"))
+    return rows.unionByName(ids.distinct().join(some, "conv_id", "left").select(
+        "conv_id", *zero, *none, F.coalesce("last", F.lit(True)).alias("last")))
 
 
 def prefix_trie(turns: DataFrame, ids: DataFrame, small: int = SMALL) -> DataFrame:
     """One row per node of the trie of the conversations' first d turns, the textless root included.
 
     ``turns(conv_id long, d, a, b, words)`` are digests of turns (:func:`token`), numbered from 1
-    without holes (:func:`numbered`); ``ids(conv_id)`` all conversations, also those without turns.
+    without holes; ``ids(conv_id)`` all conversations, also those without turns.  Turns that have the
+    hashes of their prefixes already (columns of :func:`prefixes`) bring the textless prefixes, d = 0,
+    with them, and ``ids`` are not read.
     Columns: ``conv_id`` (smallest member), ``depth``, ``parent_conv_id`` (root: null), ``n_convs``,
     ``n_children``, ``n_leaves``, ``saved_tokens``, ``ends_sha256``.  Repeated ids count once; no
     conversations give no rows.
 
     The parent edges form a tree.  Its node counts come from the members: a conversation owns the
-    nodes whose smallest member it is, so a node has below it what its members own.  With them
-    :func:`rollup` decomposes the tree.
+    nodes whose smallest member it is, the deepest of its own, so a node has below it what its members
+    own, but for its own smallest member's shallower nodes.  With them :func:`rollup` decomposes the tree.
     """
-    ids = ids.distinct()
-    rows = shared_table(paths(turns).unionByName(ids.select(
-        "conv_id", *(F.lit(0).cast("long").alias(c) for c in ("d", "words", "x", "y")), F.lit(None).cast("long").alias("px"),
-        F.lit(None).cast("long").alias("py"))), "trie")
-    key = ["d", "x", "y"]
-    lengths = rows.groupBy("conv_id").agg(F.max("d").alias("len"))
-    found = shared_table(rows.groupBy(*key).agg(
+    rows = shared_table(turns if "px" in turns.columns else _rooted(prefixes(turns, "conv_id", "d"), ids), "trie")
+    held = rows.groupBy(*KEY).agg(F.min("conv_id").alias("conv_id")).groupBy("conv_id").agg(
+        F.count("*").alias("own"), F.min("d").alias("first"))
+    nodes = shared_table(rows.join(held, "conv_id", "left").groupBy(*KEY).agg(
         F.min("conv_id").alias("rep"), F.count("*").alias("n_convs"), F.max("words").alias("words"),
-        F.any_value("px").alias("px"), F.any_value("py").alias("py")), "trie")
-    owned = found.groupBy(F.col("rep").alias("conv_id")).agg(F.count("*").alias("own"))
-    held = shared_table(lengths.join(owned, "conv_id", "left").select("conv_id", "len", F.coalesce("own", F.lit(0)).alias("own")), "trie")
-    members = rows.join(held, "conv_id").groupBy(*key).agg(F.sum("own").alias("below"))
-    parents = found.select((F.col("d") + 1).alias("d"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("rep").alias("parent_rep"))
-    children = found.filter("d > 0").groupBy((F.col("d") - 1).alias("d"), F.col("px").alias("x"), F.col("py").alias("y")).agg(
-        F.count("*").alias("n_children"))
-    nodes = found.join(members, key).join(children, key, "left").join(parents, ["d", "px", "py"], "left").join(
-        held.select(F.col("conv_id").alias("rep"), "len", "own"), "rep")
-    nodes = shared_table(nodes.select(
-        "rep", "d", "x", "y", "parent_rep", "n_convs", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"),
-        (F.col("below") - F.col("own") + F.col("len") - F.col("d") + 1).cast("long").alias("size"),
-        F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long").alias("leaves"),
+        F.any_value("px").alias("px"), F.any_value("py").alias("py"), F.sum("own").alias("below"),
+        F.min_by("first", "conv_id").alias("first"), F.min(F.col("last").cast("long")).alias("leaves")).select(
+        *KEY, "px", "py", "rep", "n_convs", (F.col("below") - F.col("d") + F.col("first")).cast("long").alias("size"), "leaves",
         ((F.col("n_convs") - 1) * F.col("words")).alias("saved")), "trie")
-    # (smallest member, depth) names a node: at a depth a conversation is a member of one node
-    steps = shared_table(rows.join(nodes.select(*key, "rep", "parent_rep"), key).select("conv_id", "d", "rep", "parent_rep"), "trie")
-    totals = rollup(nodes.select("rep", "d", "parent_rep", "size", "leaves", "saved"), steps, small)
-    ends = held.select("conv_id", F.col("len").alias("d")).join(steps, ["conv_id", "d"]).select(
-        F.concat_ws(":", "rep", "d").alias("k"), F.col("conv_id").cast("string").alias("end"), "conv_id")
-    pieces = segments(ends, "k", [F.col("conv_id")], ["end"], label="trie").select("k", "seg", F.array_join("end", ",").alias("text"))
-    sha = digests(pieces, "k", ["seg"], "text", ",").withColumn("rep", F.split("k", ":")[0].cast("long")).withColumn(
-        "d", F.split("k", ":")[1].cast("long")).drop("k")
-    return nodes.drop("leaves", "saved", "size", "x", "y").join(totals, ["rep", "d"]).join(sha, ["rep", "d"], "left").select(
-        F.col("rep").alias("conv_id"), F.col("d").alias("depth"), F.col("parent_rep").alias("parent_conv_id"), "n_convs", "n_children",
-        F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"),
-        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+    totals = rollup(nodes.drop("n_convs"), rows, small)
+    sha = _ends(rows.filter("last"))
+    children = nodes.filter("d > 0").groupBy((F.col("d") - 1).alias("d"), F.col("px").alias("x"), F.col("py").alias("y")).agg(
+        F.count("*").alias("n_children"))
+    parents = nodes.select((F.col("d") + 1).alias("d"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("rep").alias("parent_rep"))
+    return nodes.select(*KEY, "px", "py", "rep", "n_convs").join(totals, KEY).join(children, KEY, "left").join(sha, KEY, "left").join(
+        parents, ["d", "px", "py"], "left").select(
+        F.col("rep").alias("conv_id"), F.col("d").alias("depth"), F.col("parent_rep").alias("parent_conv_id"), "n_convs",
+        F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), F.col("leaves").alias("n_leaves"),
+        F.col("saved").alias("saved_tokens"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+def _ends(last: DataFrame) -> DataFrame:
+    """``d, x, y, digest``: SHA-256 of the ids of the conversations that end at a node, ascending and comma-joined.
+
+    Dealt by ranges of node and id, and cut by places in them: a node's ids lie in any number of
+    ranges, in pieces of at most 1 024.
+    """
+    by = ["k", "conv_id"]
+    # ids differ, so a range that is made again has the same order
+    cut = last.select(F.concat_ws(":", *KEY).alias("k"), "conv_id").repartitionByRange(*by).sortWithinPartitions(*by).withColumn(
+        "seg", F.shiftright(F.monotonically_increasing_id(), 10))
+    pieces = cut.groupBy("k", "seg").agg(F.array_join(F.sort_array(F.collect_list("conv_id")).cast("array<string>"), ",").alias("text"))
+    return digests(pieces, "k", ["seg"], "text", ",").select("digest", *(F.split("k", ":")[i].cast("long").alias(c) for i, c in enumerate(KEY)))
 
 
 def rollup(nodes: DataFrame, steps: DataFrame, small: int = SMALL) -> DataFrame:
-    """Sums of ``leaves`` and ``saved`` over each node's subtree: ``rep, d, leaves, saved``.
+    """Sums of ``leaves`` and ``saved`` over each node's subtree: ``d, x, y, leaves, saved``.
 
-    ``nodes(rep, d, parent_rep, size, leaves, saved)`` with the subtree's number of nodes;
-    ``steps(conv_id, d, rep, parent_rep)`` names the node that each conversation passes at each depth.
+    ``nodes(d, x, y, px, py, rep, size, leaves, saved)`` with the subtree's number of nodes;
+    ``steps(conv_id, d, x, y, px, py)`` names the node that each conversation passes at each depth.
 
     Centroid decomposition: a component's nodes with over half of it below them are a path from its
     top, and the last of them is the centroid.  What lies in the component at and under the centroid
     is totalled once and added to every node of that path; the centroid goes, and its children's
-    subtrees and the rest above are components of at most half the size.  Components of at most
-    ``small`` nodes are finished in one task each by the same method; larger ones take one round
-    per halving.  A node's component below a centroid is named by the centroid's child, which the
-    path of the node's own smallest member passes.
+    subtrees and the rest above are components of at most half the size.  Larger components take one
+    round per halving; those of at most ``small`` nodes are set aside and all finished together, one
+    task each, by the same method.  A node's component below a centroid is named by the centroid's
+    child, which the path of the node's own smallest member passes.
     """
-    root = nodes.filter("d = 0").select("rep", "size").first()
+    root = nodes.filter("d = 0").select("size").first()
     if root is None:
-        return nodes.select("rep", "d", "leaves", "saved")
+        return nodes.select(*KEY, "leaves", "saved")
     zero = F.lit(0).cast("long")
-    state = nodes.select("*", F.lit(root.rep).alias("top_rep"), zero.alias("top_d"), F.lit(root.size).alias("n"),
-                         zero.alias("got_leaves"), zero.alias("got_saved"))
-    done = []
-    while not state.filter(F.col("n") > small).isEmpty():
-        done.append(_finished(state.filter(F.col("n") <= small)))
-        settled, state = _round(state.filter(F.col("n") > small), steps)
-        done.append(settled)
-    out = _finished(state)
-    for part in done:
-        out = out.unionByName(part)
-    return out
-
-
-TOP = ["top_rep", "top_d"]
-
-
-def _per_component(rows: DataFrame, info: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``info(top_rep, top_d, ...)``; a component's rows are dealt over ``SALT`` parts."""
+    state = nodes.select("*", *(zero.alias(c) for c in TOP), F.lit(root.size).alias("n"), zero.alias("got_leaves"), zero.alias("got_saved"))
+    settled, aside = [], []
+    more = root.size > small
+    while more:
+        gone, state = _round(state, steps, small, root.size // small)
+        settled.append(gone)
+        aside.append(state.filter(F.col("n") <= small))
+        state = state.filter(F.col("n") > small)
+        more = not state.isEmpty()
+    out = _finished(reduce(DataFrame.unionByName, aside) if aside else state)
+    return reduce(DataFrame.unionByName, settled, out)
+
+
+def _per_component(rows: DataFrame, info: DataFrame, most: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``info(*TOP, ...)``, at most ``most`` rows.
+
+    There are few large components, so that ``info`` is broadcast; of more than ``BROADCAST``, a
+    component's rows are dealt over ``SALT`` parts.
+    """
+    if most <= BROADCAST:
+        return rows.join(F.broadcast(info), TOP, how)
     salted = info.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("rep", "d"), F.lit(SALT))).join(salted, [*TOP, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(SALT))).join(salted, [*TOP, "salt"], how).drop("salt")
 
 
-def _round(state: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Takes the centroid out of each component: (totals of the centroids, state of the new components)."""
+def _round(state: DataFrame, steps: DataFrame, small: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Takes the centroid out of each component, of which there are at most ``most``: (totals of the centroids,
+    state of the new components).  The size ``n`` of a new component of at most ``small`` nodes may read 0."""
     on_path = F.col("size") * 2 > F.col("n")
-    centre = state.filter(on_path).groupBy(*TOP).agg(F.min_by(F.struct("rep", "d", "size"), "size").alias("c"))
-    rows = _per_component(state, centre.select(*TOP, F.col("c.rep").alias("c_rep"), F.col("c.d").alias("c_d"), F.col("c.size").alias("c_size")))
+    # sizes fall along a path, so the smallest is one node's
+    centre = state.filter(on_path).groupBy(*TOP).agg(*(F.min_by(c, "size").alias(f"c_{c}") for c in KEY), F.min("size").alias("c_size"))
+    rows = _per_component(state, centre, most)
     # the node itself is looked up where it is not deeper than the centroid: every row finds one step
-    passed = steps.select(F.col("conv_id").alias("rep"), F.col("d").alias("at"), F.col("rep").alias("s_rep"), F.col("parent_rep").alias("s_parent"))
+    passed = steps.select(F.col("conv_id").alias("rep"), F.col("d").alias("at"), *(F.col(c).alias(f"s_{c}") for c in ("x", "y", "px", "py")))
     rows = rows.withColumn("at", F.least(F.col("c_d") + 1, F.col("d"))).join(passed, ["rep", "at"])
-    rows = shared_table(rows.withColumn("centre", (F.col("d") == F.col("c_d")) & (F.col("rep") == F.col("c_rep"))).withColumn(
-        "under", (F.col("d") > F.col("c_d")) & (F.col("s_parent") == F.col("c_rep"))), "trie")
+    rows = shared_table(rows.withColumn("centre", (F.col("d") == F.col("c_d")) & (F.col("x") == F.col("c_x")) & (F.col("y") == F.col("c_y"))).withColumn(
+        "under", (F.col("d") > F.col("c_d")) & (F.col("s_px") == F.col("c_x")) & (F.col("s_py") == F.col("c_y"))), "trie")
     total = rows.filter("centre or under").groupBy(*TOP).agg(F.sum("leaves").alias("t_leaves"), F.sum("saved").alias("t_saved"))
-    rows = _per_component(rows, total)
+    # only the large ones among the centroids' children need their size told to the nodes below
+    large = rows.filter(F.col("under") & (F.col("at") == F.col("d")) & (F.col("size") > small)).select(
+        *(F.col(c).alias(t) for c, t in zip(KEY, TOP)), F.col("size").alias("large"))
+    rows = _per_component(rows, total, most)
     for v in ("leaves", "saved"):
         rows = rows.withColumn(f"got_{v}", F.col(f"got_{v}") + F.when(on_path, F.col(f"t_{v}")).otherwise(0))
-    rows = shared_table(rows, "trie")
-    rest = rows.filter("not centre").select(
-        "rep", "d", "parent_rep", F.when(on_path, F.col("size") - F.col("c_size")).otherwise(F.col("size")).alias("size"), "leaves", "saved",
-        F.when(F.col("under"), F.col("s_rep")).otherwise(F.col("top_rep")).alias("top_rep"),
-        F.when(F.col("under"), F.col("at")).otherwise(F.col("top_d")).alias("top_d"), "got_leaves", "got_saved")
-    tops = rest.filter("rep = top_rep and d = top_d").select(*TOP, F.col("size").alias("n"))
-    settled = rows.filter("centre").select("rep", "d", F.col("got_leaves").alias("leaves"), F.col("got_saved").alias("saved"))
-    return settled, shared_table(_per_component(rest, tops), "trie")
+    under = F.coalesce("under", F.lit(False))
+    rows = rows.withColumn("size", F.when(on_path & ~F.col("centre"), F.col("size") - F.col("c_size")).otherwise(F.col("size"))).withColumn(
+        "n", F.col("n") - F.col("c_size"))
+    for t, s in zip(TOP, ("at", "s_x", "s_y")):
+        rows = rows.withColumn(t, F.when(under, F.col(s)).otherwise(F.col(t)))
+    rows = _per_component(rows, large, most, "left").withColumn("n", F.when(under, F.coalesce("large", F.lit(0))).otherwise(F.col("n")).cast("long"))
+    rows = shared_table(rows.select(*KEY, "px", "py", "rep", "size", "leaves", "saved", *TOP, "n", "got_leaves", "got_saved", "centre"), "trie")
+    return (rows.filter("centre").select(*KEY, F.col("got_leaves").alias("leaves"), F.col("got_saved").alias("saved")),
+            rows.filter("not centre").drop("centre"))
 
 
 def decompose(size: list[int], parent: list[int], leaves: list[int], saved: list[int]) -> tuple[list[int], list[int]]:
@@ -247,30 +292,30 @@ def decompose(size: list[int], parent: list[int], leaves: list[int], saved: list
 
 def _finished(state: DataFrame) -> DataFrame:
     """Totals of the nodes of small components, each component decomposed where its rows are."""
-    cols = [*TOP, "d", "rep", "parent_rep", "size", "leaves", "saved", "got_leaves", "got_saved"]
-    rows = state.select(*cols).repartition(*TOP).sortWithinPartitions(*TOP, "d", "rep")
+    cols = [*TOP, *KEY, "px", "py", "size", "leaves", "saved", "got_leaves", "got_saved"]
+    rows = state.select(*cols).repartition(*TOP).sortWithinPartitions(*TOP, *KEY)
+    names = [*KEY, "leaves", "saved"]
 
     def close(held):
-        place = {(d, rep): i for i, (_, _, d, rep, *_) in enumerate(held)}
-        parent = [-1 if i == 0 else place[r[2] - 1, r[4]] for i, r in enumerate(held)]
-        more = decompose([r[5] for r in held], parent, [r[6] for r in held], [r[7] for r in held])
-        return [(r[3], r[2], r[8] + a, r[9] + b) for r, a, b in zip(held, *more)]
+        place = {row[3:6]: i for i, row in enumerate(held)}
+        parent = [-1 if i == 0 else place[r[3] - 1, r[6], r[7]] for i, r in enumerate(held)]
+        more = decompose([r[8] for r in held], parent, [r[9] for r in held], [r[10] for r in held])
+        return [(*r[3:6], r[11] + a, r[12] + b) for r, a, b in zip(held, *more)]
 
     def run(batches):
         now, held = None, []
-        names = ["rep", "d", "leaves", "saved"]
-        table = lambda out: pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=names)
+        table = lambda out: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
         for b in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:2] != now:
+                if row[:3] != now:
                     if held:
                         out.extend(close(held))
-                    now, held = row[:2], []
+                    now, held = row[:3], []
                 held.append(row)
             if out:
                 yield table(out)
         if held:
             yield table(close(held))
 
-    return rows.mapInArrow(run, "rep long, d long, leaves long, saved long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))

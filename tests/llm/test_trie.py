@@ -97,3 +97,61 @@ def test_empty(spark):
     assert got(trie.prefix_trie(turns, ids)) == []
     turns, ids = queries.rebuilt_turns(spark.createDataFrame([(5, 0, "user", "x"), (None, 1, "user", "x")], SCHEMA))
     assert got(trie.prefix_trie(turns, ids)) == plain([(5, 0, "user", "x")])
+
+
+def task_count(spark, group, work):
+    """Tasks of all stages that ``work`` runs."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+
+
+def test_few_rounds_of_tasks(spark):
+    """At a fixed number of shuffle partitions the query takes time for each of its exchanges."""
+    fixed = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in fixed}
+    rows = [(c, t, "user", f"{c % 7} {t}" if t else "hello") for c in range(300) for t in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = []
+    try:
+        for k, v in fixed.items():
+            spark.conf.set(k, v)
+        tasks = task_count(spark, "trie-tasks", lambda: out.extend(got(trie.prefix_trie(*queries.rebuilt_turns(df), small=100))))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert out == plain(rows)
+    assert tasks < 18 * 60
+
+
+def test_salted_components(spark, monkeypatch):
+    """More large components than are broadcast."""
+    monkeypatch.setattr(trie, "BROADCAST", 0)
+    monkeypatch.setattr(trie, "SALT", 3)
+    rows = shared(4)
+    assert got(trie.prefix_trie(*queries.rebuilt_turns(spark.createDataFrame(rows, SCHEMA)), small=20)) == plain(rows)
+
+
+def test_digests_of_turns_and_ids(spark):
+    """Turns without hashes, numbered by the caller; an id without turns, one that comes twice."""
+    convs = {c: tuple((r, x) for r, x in [("user", "a b"), ("assistant", "c"), ("user", "d")][:c % 4]) for c in range(9)}
+    convs[20] = tuple(("user", "same words") for _ in range(300))
+    convs[21] = convs[20][:290]
+    df = spark.createDataFrame([(c, d, *t) for c, seq in convs.items() for d, t in enumerate(seq, 1)], "conv_id long, d long, role string, text string")
+    ids = spark.createDataFrame([(c,) for c in [*convs, 3]], "conv_id long")
+    turns = df.select("conv_id", "d", *trie.token(F.col("role"), F.col("text")))
+    assert got(trie.prefix_trie(turns, ids, small=64)) == nodes_of(convs)
+
+
+def test_short_bases_move_turns(spark):
+    """Conversations in several ranges, with a base that is absent or shorter than their h."""
+    rows = [(c, t, "user", f"w{t % 3}") for c in (41, 42, 43, 44, 45, 46, 47, 48, 60, 61, 62, 63, 64, 65) for t in range(1 if c == 60 else 120)]
+    shifts = {zlib.crc32(str(c).encode()) % 4 - (0 if c < 60 else 1) for c in {r[0] for r in rows} if c != 60}
+    assert {1, 2, 3} <= shifts
+    assert got(trie.prefix_trie(*queries.rebuilt_turns(spark.createDataFrame(rows, SCHEMA).repartition(7)))) == plain(rows)
